@@ -1,0 +1,11 @@
+"""Small helpers of the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """Marks df for broadcasting if a count shows at most most_rows rows; else the join shuffles."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
