@@ -7,10 +7,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
-def python_rounded(values: pd.Series) -> pd.Series:
+def python_rounded(column: str) -> Column:
     """str(round(v, 3)): halves by the exact binary value, exponents as Python writes them. For text exports only."""
-    return values.map(lambda v: None if pd.isna(v) else str(round(float(v), 3)))
+
+    @F.pandas_udf("string")
+    def rounded(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else str(round(float(v), 3)))
+
+    return rounded(column)
 
 
 def human_bp(bp: Column, sep: str = " ", allowed_decimals: int = 0) -> Column:
