@@ -102,7 +102,7 @@ def predict(cells: DataFrame, metric: str = "loop") -> DataFrame:
     out = counter.join(rho, "grp").join(centre_score(cells), "grp")
     nan = F.lit(float("nan"))
     empty = F.col("counter") == 0
-    out = out.select("grp", F.when(empty, nan).otherwise(F.coalesce("rho", nan)).alias("spear"), F.when(empty, nan).otherwise(F.col("pval")).alias("pval"), F.when(empty, F.lit(0.0)).otherwise(F.col("center")).alias("center"))
+    out = out.select("grp", F.when(empty, nan).otherwise(F.coalesce("rho", nan)).alias("spear"), F.when(empty, nan).otherwise(F.coalesce("pval", nan)).alias("pval"), F.when(empty, F.lit(0.0)).otherwise(F.col("center")).alias("center"))
     # in Spark NaN exceeds all numbers
     real = ~F.isnan("spear") & ~F.isnan("pval")
     return out.withColumn("test", real & (F.col("pval") < SIGNIFICANT) & (F.col("spear") > 0) & (F.col("center") > 1))

@@ -9,6 +9,8 @@ from .common import broadcast_if_small
 
 #: Parts that a chromosome's peaks are spread over where the join must shuffle.
 SPLITS = 32
+#: Peaks up to which a side of the join is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def parse_window(window: str, resolution: int) -> str | tuple[float, float]:
@@ -28,13 +30,13 @@ def _sides(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _join(a: DataFrame, b: DataFrame, keys: list[tuple[str, str]], rest: Column) -> DataFrame:
     """a with b on equal keys and rest. A side of checked size is broadcast; else b is copied to SPLITS salts, over which the rows of one key of a spread."""
-    small = b.limit(200_001).count() <= 200_000
+    small = b.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     on = rest
     if small:
         b = F.broadcast(b)
     else:
         a = a.withColumn("_sa", F.pmod(F.xxhash64("gbin_a", "feature_a"), F.lit(SPLITS)))
-        b = b.withColumn("_sb", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).cast("bigint"))
+        b = b.withColumn("_sb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPLITS - 1).cast("bigint"))))
         keys = [*keys, ("_sa", "_sb")]
     for x, y in keys:
         on = on & (F.col(x) == F.col(y))

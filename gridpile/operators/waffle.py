@@ -98,7 +98,7 @@ def merge_heads(*parts: DataFrame) -> DataFrame:
 
 
 def total(cells: DataFrame) -> DataFrame:
-    return cells.agg(F.sum("sum_nrm").alias("total"), F.sum("passage").cast("bigint").alias("passage"))
+    return cells.agg(F.coalesce(F.sum("sum_nrm"), F.lit(0.0)).alias("total"), F.coalesce(F.sum("passage"), F.lit(0)).cast("bigint").alias("passage"))
 
 
 def submatrix_rows(cells: DataFrame, genome: DataFrame) -> DataFrame:

@@ -231,7 +231,7 @@ def waffle_windows_total(spark: SparkSession, d: str) -> DataFrame:
     for w in ("intra", "0-300000", "300000-600000", "600000-3000000"):
         t = W.total(W.waffle(_pairs(spark, d, w), m, S)).withColumn("window", F.lit(w))
         out = t if out is None else out.unionByName(t)
-    return out.select("window", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("passage", F.lit(0)).cast("bigint").alias("passage"))
+    return out
 
 
 @query
