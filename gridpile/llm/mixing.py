@@ -103,5 +103,6 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def apply_mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """The mixed corpus: each row of documents as often as the mix takes it. Texts are not shuffled unless sources are too many to broadcast."""
     _, plan = plan_mix(documents, weights, most)
-    taken = _keyed(documents).join(plan.drop("source_size", "target"), "_key").withColumn("_n", _copies().cast("int")).where("_n > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*documents.columns)
+    rows = _keyed(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id", "source"))
+    taken = rows.join(plan.drop("source_size", "target"), "_key").withColumn("n", _copies().cast("int")).where("n > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
