@@ -79,7 +79,7 @@ off AS (SELECT CAST(a.range AS INT) - 2 AS di, CAST(b.range AS INT) - 2 AS dj FR
 nbr AS (SELECT y + x * 5 AS cell, y + di + (x + dj) * 5 AS ncell, greatest(abs(di), abs(dj)) AS dist, mean / greatest(abs(di), abs(dj)) AS w
   FROM d, off WHERE y + di BETWEEN 0 AND 4 AND x + dj BETWEEN 0 AND 4)"""
 _MORAN = _NBR + """,
-z AS (SELECT y + x * 5 AS cell, log2(mean) - avg(log2(mean)) OVER () AS z FROM d),
+z AS (SELECT y + x * 5 AS cell, CASE WHEN min(mean) OVER () > 0 THEN log2(nullif(mean, 0)) - avg(log2(nullif(mean, 0))) OVER () END AS z FROM d),
 rw AS (SELECT cell, ncell, w / sum(w) OVER (PARTITION BY cell) AS w FROM nbr),
 lag AS (SELECT rw.cell, sum(w * z) AS lag FROM rw JOIN z ON z.cell = ncell GROUP BY 1)"""
 
@@ -145,7 +145,7 @@ SQL: dict[str, str] = {
         (n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0 * s0) - (z4 / n) / (z2 / n) ** 2 * ((n * n - n) * s1 - 2 * n * s2 + 6 * s0 * s0)) / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - (1e0 / (n - 1)) ** 2 AS variance FROM t)
       SELECT round(i, 7) AS i, round(expected, 9) AS expected, round(variance, 7) AS variance, round((i - expected) / sqrt(variance), 5) AS z FROM v""",
     "moran_quadrants": f"""{_MORAN} SELECT cell, round(z * lag / sum(z * z) OVER () * (count(*) OVER () - 1), 6) AS local,
-        CAST(CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN lag > 0 THEN 2 WHEN z > 0 THEN 4 ELSE 3 END AS INT) AS quadrant FROM z JOIN lag USING (cell)""",
+        CAST(CASE WHEN z IS NULL THEN NULL WHEN z > 0 AND lag > 0 THEN 1 WHEN lag > 0 THEN 2 WHEN z > 0 THEN 4 ELSE 3 END AS INT) AS quadrant FROM z JOIN lag USING (cell)""",
     "polar_rings": f"""{DENSE}, plane AS (SELECT CAST(a.range AS INT) - 2 AS i, CAST(b.range AS INT) - 2 AS j FROM range(9) a, range(9) b),
       rings AS (SELECT i, j, abs(2 - i) + abs(2 - j) AS k FROM plane WHERE abs(2 - i) + abs(2 - j) < 5),
       walk AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i, j) - 1 AS t, count(*) OVER (PARTITION BY k) AS n FROM rings)
