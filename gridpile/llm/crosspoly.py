@@ -6,8 +6,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ COSINE = 0.9
 TABLES = 10
 PROBES = 4
 BLOCK = 256
+#: Groups of up to so many rows are compared together with others, larger ones by a matrix product each.
+_FEW = 16
 SEED = 20_240_607
 
 
@@ -90,12 +92,73 @@ def _parts(rows: int, width: int) -> int:
     return max(1, math.ceil(math.log(max(rows, 2) * 4) / math.log(axes)))
 
 
+def _compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) from rows (bucket, i, j, node, block, e) in the order of bucket, i, j. A group of those has at most about 2 * BLOCK rows."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            part = b.slice(at, 2048)
+            at += part.num_rows
+            keys = np.stack([part.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+            new = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            begins = [0, *new] if last is not None and (keys[0] != last).any() else [*new]
+            last = keys[-1]
+            cut = int(begins[-1]) if len(begins) else None  # where the last group begins, which may go on in the next part
+            if cut is None:
+                held.append(part)
+                continue
+            yield from _links_in([*held, part.slice(0, cut)], cosine)
+            held = [part.slice(cut)]
+    if held:
+        yield from _links_in(held, cosine)
+
+
+def _links_in(parts: list[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    if not rows.num_rows:
+        return
+    keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+    node, block = rows.column(3).to_numpy(), rows.column(4).to_numpy()
+    group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(1))])
+    e = rows.column(5).combine_chunks()
+    width = pa.compute.list_value_length(e).to_numpy()
+    found = []
+    for w in np.unique(width):
+        pick = np.flatnonzero(width == w)
+        x = e.take(pa.array(pick)).flatten().to_numpy().astype(np.float64).reshape(len(pick), w)
+        x /= np.abs(x).max(1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        g, node_w, block_w, same = group[pick], node[pick], block[pick], keys[pick, 1] == keys[pick, 2]
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        size = np.diff(np.append(first, len(g)))
+        few = np.repeat(size <= _FEW, size)
+        pairs = [np.zeros((0, 2), np.int64)]
+        for d in range(1, min(_FEW, len(g))):
+            a = np.flatnonzero(few[:-d] & (g[:-d] == g[d:]))
+            if not len(a):
+                break
+            pairs.append(np.stack([a, a + d], 1)[np.einsum("ij,ij->i", x[a], x[a + d]) >= cosine])
+        for f, m in zip(first[size > _FEW], size[size > _FEW], strict=True):
+            own = x[f : f + m]
+            r, c = np.nonzero(np.triu(own @ own.T >= cosine, 1))
+            pairs.append(np.stack([r + f, c + f], 1))
+        one, two = np.concatenate(pairs).T
+        ok = same[one] | (block_w[one] != block_w[two])  # two rows of one block meet in that block's own group
+        one, two = node_w[one[ok]], node_w[two[ok]]
+        found.append((np.minimum(one, two)[one != two], np.maximum(one, two)[one != two]))
+    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def near_vectors(embeddings: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """All rows with their links: vec_id, n_links, component_id, kept.
 
     Equal vectors are first gathered into one class, whose members all link. Class vectors are put in the buckets of their
-    probes; a bucket of more than BLOCK classes is cut into blocks and every two blocks are compared by one matrix product in
-    a task of their own, so that no group grows with the data. Products of at least cosine, in double precision, are links.
+    probes; a bucket of more than BLOCK classes is cut into blocks and every two blocks are a group of their own, compared by one
+    matrix product, so that no group grows with the data. Products of at least cosine, in double precision, are links.
     Null and zero vectors, and those with null or non-finite components, link with nothing. Vectors of different widths
     never link. Rows with equal vec_id are one node: their links are joined; rows with a null vec_id are nodes of their own without links.
     """
@@ -138,29 +201,9 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, tables: int = TA
     vectors = heads.select("node", "e")
     spread = spread.join(vectors, "node")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        pdf = pdf.sort_values("node")
-        unit = [np.asarray(v, np.float64) for v in pdf["e"]]
-        unit = [u / np.abs(u).max() for u in unit]
-        widths = {len(u) for u in unit}
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        node, block = pdf["node"].to_numpy(), pdf["block"].to_numpy()
-        for w in widths:
-            pick = np.array([k for k, u in enumerate(unit) if len(u) == w])
-            x = np.stack([unit[k] for k in pick])
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            left, right = pick[block[pick] == i], pick[block[pick] == j]
-            where = {k: p for p, k in enumerate(pick)}
-            a, b = x[[where[k] for k in left]], x[[where[k] for k in right]]
-            if len(a) and len(b):
-                r, c = np.nonzero(a @ b.T >= cosine)
-                one, two = node[left[r]], node[right[c]]
-                ok = one < two if i == j else one != two
-                found.append((np.minimum(one, two)[ok], np.maximum(one, two)[ok]))
-        return pd.DataFrame({"a": np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]), "b": np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])})
-
-    links = spread.groupBy("bucket", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+    columns = ["bucket", "i", "j", "node", "block", "e"]
+    dealt = spread.select(*columns).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    links = dealt.mapInArrow(lambda batches: _compare(batches, cosine), "a bigint, b bigint").distinct()
     links = stored(links, "vector-links")
     return _report(embeddings, members, classes, links)
 
