@@ -33,6 +33,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of at most 1000 rows, so that a worker's memory stays small; a smaller setting stands."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 1000:
+        spark.conf.set(key, "1000")
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """Marks df for broadcasting only after counting that it has at most most_rows rows; else joins shuffle."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

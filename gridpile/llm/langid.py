@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored, text_or_empty
+from .common import broadcast_if_small, small_batches, stored, text_or_empty
 
 UNKNOWN = "und"
 CELLS = 1 << 13
@@ -50,6 +50,7 @@ def _trigrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities of trigram cells, from a bounded sample of rows (doc_id, text, lang); the last is UNKNOWN, which holds all cells alike."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), text_or_empty("text").alias("text"))
     share = min(1.0, fit_rows / max(1, rows.count()))
     rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) <= int(share * (1 << 20)))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Look-alikes of ASCII letters and signs; full-width forms and other scripts' digits follow from rules below.
@@ -191,6 +191,7 @@ def find_pii(documents: DataFrame) -> DataFrame:
     Places count code points, ends are exclusive. Null texts are empty. Each row stands alone: repeated rows give equal
     results, a null doc_id stays null, other columns are ignored, an empty table gives an empty result.
     """
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +218,7 @@ def redact(t: str) -> str:
 
 def redact_documents(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with personal data replaced in every text, and n_chars, where there is such a column, counted again. Null texts stay null."""
+    small_batches(documents.sparkSession)
     i = documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
