@@ -32,6 +32,8 @@ _PAIR = CLASSES + 1
 _BASES = np.cumsum([0, 1, _WORD_CELLS, _WORD_CELLS, _PAIR * _PAIR, _PAIR * _PAIR])
 CELLS = int(_BASES[-1])
 BLOCK = 256
+#: Tasks' updates are summed by a tree: FAN rows to a group, LEVELS levels.
+FAN, LEVELS = 64, 3
 BATCH = 16_384
 RATE = 0.15
 ROUNDS = 2
@@ -247,8 +249,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
     """Weights after one pass over the training documents, in rounds over disjoint parts of them.
 
     In a round each task makes gradient updates over its rows, starting from the round's weights, and gives for each cell its
-    update and the tokens behind it. Blocks of cells are summed by token counts, first in salted groups and then whole; the
-    model, CELLS x CLASSES numbers whatever the corpus, goes through the driver to the next round's tasks.
+    update and the tokens behind it. Blocks of cells are summed by token counts in a tree of LEVELS levels whose groups have at
+    most FAN rows, however many tasks there are; one row of each block for every FAN ** LEVELS tasks is left. The model,
+    CELLS x CLASSES numbers whatever the corpus, goes through the driver to the next round's tasks.
     """
     spark = docs.sparkSession
     w = np.zeros((CELLS, CLASSES), np.float32)
@@ -270,7 +273,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
                     learn(w, state, seen, f[at : at + BATCH], cls[at : at + BATCH])
             if seen.any():
                 delta = (w - start.value).astype(np.float64) * seen[:, None]
-                salt = TaskContext.get().partitionId() % 64
+                salt = TaskContext.get().partitionId() // FAN
                 for b in range(0, CELLS, BLOCK):
                     if seen[b : b + BLOCK].any():
                         yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK], pa.int32()), pa.array([salt], pa.int32()), pa.array([seen[b : b + BLOCK].tobytes()]), pa.array([delta[b : b + BLOCK].astype(np.float32).tobytes()])], ["block", "salt", "seen", "moved"])
@@ -278,15 +281,18 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             seen = np.sum([np.frombuffer(x) for x in pdf["seen"]], axis=0)
             moved = np.sum([np.frombuffer(x, np.float32) for x in pdf["moved"]], axis=0, dtype=np.float64)
-            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "salt": [0], "seen": [seen.tobytes()], "moved": [moved.astype(np.float32).tobytes()]})
+            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "salt": [pdf["salt"].iloc[0] // FAN], "seen": [seen.tobytes()], "moved": [moved.astype(np.float32).tobytes()]})
 
         part = docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(rounds)) == turn)).select("text")
-        sums = part.mapInArrow(run, schema).groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
-        w = w.copy()
+        sums = part.mapInArrow(run, schema)
+        for _ in range(LEVELS):
+            sums = sums.groupBy("block", "salt").applyInPandas(add, schema)
+        tokens_seen, moved = np.zeros(CELLS), np.zeros((CELLS, CLASSES))
         for r in sums.collect():
-            seen, moved = np.frombuffer(r.seen), np.frombuffer(r.moved, np.float32).reshape(-1, CLASSES)
-            at = r.block * BLOCK
-            w[at : at + len(seen)] += (moved / np.maximum(seen, 1.0)[:, None]).astype(np.float32)
+            at = slice(r.block * BLOCK, min((r.block + 1) * BLOCK, CELLS))
+            tokens_seen[at] += np.frombuffer(r.seen)
+            moved[at] += np.frombuffer(r.moved, np.float32).reshape(-1, CLASSES)
+        w = w + (moved / np.maximum(tokens_seen, 1.0)[:, None]).astype(np.float32)
         start.unpersist()
     return w
 

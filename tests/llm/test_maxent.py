@@ -64,6 +64,16 @@ def test_probabilities_sum_to_one(spark):
     assert (v.unknown_log < 0).all() and v.n == sum(every.values()) and v.v == len(every)
 
 
+def test_updates_of_many_tasks_add_up(spark, monkeypatch):
+    """Deep trees of small groups give the weights that one group gives; LEVELS too few leave rows that the driver adds."""
+    df = spark.createDataFrame([(a, b) for a, b in texts(3, 150)], "doc_id long, text string").withColumn("held_out", maxent.held_out()).repartition(20, "doc_id")
+    v = maxent.build_vocabulary(df, maxent.count_words(df))
+    one = maxent.train(df, v, rounds=1)
+    monkeypatch.setattr(maxent, "FAN", 2)
+    many = maxent.train(df, v, rounds=1)
+    assert np.abs(one[1:]).max() > 0.01 and np.allclose(one, many, atol=1e-5)
+
+
 def test_empty(spark):
     assert maxent.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
