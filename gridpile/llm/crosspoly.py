@@ -15,7 +15,10 @@ from .common import mix, stored
 from .components import components
 
 COSINE = 0.9
+#: At least so many tables; as keys grow longer with the number of rows, tables are added so that a pair at the threshold is
+#: missed with a chance of about MISS at every size.
 TABLES = 10
+MISS = 1e-3
 PROBES = 4
 BLOCK = 256
 #: Groups of up to so many rows are compared together with others, larger ones by a matrix product each.
@@ -92,6 +95,20 @@ def _parts(rows: int, width: int) -> int:
     return max(1, math.ceil(math.log(max(rows, 2) * 4) / math.log(axes)))
 
 
+def tables_for(parts: int, width: int, cosine: float = COSINE, probes: int = PROBES, miss: float = MISS) -> int:
+    """Tables needed for a pair at exactly this cosine to share a bucket but for a chance of about miss. The chance of meeting in
+    one table is taken from 400 random pairs, drawn with a fixed seed and not from the data."""
+    rng = np.random.default_rng(SEED + 1)
+    n, d, trial = 400, max(2, width), 8
+    x, z = rng.normal(size=(2, n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    one, two = keys(x, parts, trial, probes), keys(cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * z, parts, trial, probes)
+    meet = float((one[:, :, :, None] == two[:, :, None, :]).any((2, 3)).mean())
+    return max(TABLES, math.ceil(math.log(miss) / math.log1p(-min(max(meet, 1e-3), 0.99))))
+
+
 def _compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
     """Links (a, b) from rows (bucket, i, j, node, block, e) in the order of bucket, i, j. A group of those has at most about 2 * BLOCK rows."""
     held: list[pa.RecordBatch] = []
@@ -153,9 +170,11 @@ def _links_in(parts: list[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def near_vectors(embeddings: DataFrame, cosine: float = COSINE, tables: int | None = None, probes: int = PROBES) -> DataFrame:
     """All rows with their links: vec_id, n_links, component_id, kept.
 
+    Without a number of tables, tables_for gives it from the number of different vectors, so that recall does not fall as they grow.
+
     Equal vectors are first gathered into one class, whose members all link. Class vectors are put in the buckets of their
     probes; a bucket of more than BLOCK classes is cut into blocks and every two blocks are a group of their own, compared by one
     matrix product, so that no group grows with the data. Products of at least cosine, in double precision, are links.
@@ -174,6 +193,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, tables: int = TA
     n = heads.count()
     width = heads.agg(F.max(F.size("e"))).first()[0] or 1
     parts = _parts(n, width)
+    tables = tables_for(parts, width, cosine, probes) if tables is None else tables
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -85,3 +85,18 @@ def test_equals_sql(spark, small, duck):
     from gridpile.llm import queries
 
     same_rows(queries.QUERIES["op10_cross_polytope"](spark, small), duck, queries.ORACLE["op10_cross_polytope"])
+
+
+@pytest.mark.parametrize("parts", [3, 5])
+def test_recall_does_not_fall_with_key_length(parts):
+    """Pairs at cosine 0.9 exactly, with the tables that the key length asks for."""
+    r = np.random.default_rng(parts)
+    x = r.normal(size=(1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = r.normal(size=(1000, 64))
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    tables = crosspoly.tables_for(parts, 64)
+    a, b = (crosspoly.keys(v, parts, tables).reshape(1000, -1) for v in (x, 0.9 * x + np.sqrt(1 - 0.81) * z))
+    met = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)])
+    assert met > 0.99
