@@ -24,9 +24,13 @@ _BEYOND = re.compile("[ ­Ͱ-\U0010ffff]")
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _W = "(?:" + "|".join(DIGIT_WORDS) + ")"
 _RUN = re.compile(rf"\b(?:plus[ -]+)?{_W}(?:[ ,.-]{{1,2}}{_W})+\b", re.I)
+#: Letters that equal ASCII ones where case is ignored.
+_CASELESS = str.maketrans("İıſ", "iis")
 _PLUS_OR_WORD = re.compile(rf"plus[ -]+|{_W}", re.I)
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 _BRACKETED = re.compile(rf"{_OPEN}(at|@|dot|\.|punkt|punto|arroba){_CLOSE}", re.I)
+#: It matches wherever _BRACKETED does, but starts with the bracket, which is faster to look for.
+_BRACKETED_CORE = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|@|dot|\.|punkt|punto|arroba){_CLOSE}", re.I)
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.I)
 #: A bare "at" counts only before a spelled or bracketed dot, or after a name with a digit or sign in it.
 _BARE_AT = re.compile(r"(?:(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}\s{0,3}[\[({<]?\s{0,3}\bdot\b)|(?<=[0-9_])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}\.[A-Za-z]{2}))", re.I)
@@ -129,12 +133,8 @@ class Normalised:
 
 
 def _may_be_disguised(t: str) -> bool:
-    if not t.isascii() and _BEYOND.search(t):
-        return True
-    low = t.lower()
-    if "dot" in low or "punkt" in low or "punto" in low or "arroba" in low or any(x in low for x in ("(at", "[at", "{at", "<at", "( at", "[ at", "(@", "[@", "{@", "[.]", "(.)", "9 at", "_ at")) or (" at " in low and re.search(r"[0-9_]\s+at\s", low)):
-        return True
-    return ("one" in low or any(w in low for w in ("two", "six", "ten", "nine", "five", "four", "zero"))) and _RUN.search(t) is not None
+    """Whether normalise() changes t: a character beyond Latin letters is rewritten, or one of its patterns matches."""
+    return (not t.isascii() and _BEYOND.search(t) is not None) or any(p.search(t) for p in (_BRACKETED_CORE, _BARE_AT, _BARE_DOT, _RUN))
 
 
 def normalise(t: str) -> Normalised:
@@ -156,7 +156,7 @@ def normalise(t: str) -> Normalised:
                 now = next(runs, None)
             if not now or m.start() < now[0]:
                 return None
-            return "+" if m[0].lower().startswith("plus") else DIGIT_WORDS[m[0].lower()]
+            return "+" if m[0].lower().startswith("plus") else DIGIT_WORDS[m[0].translate(_CASELESS).lower()]
 
         n.rewrite(_PLUS_OR_WORD, digit)
         n.rewrite(re.compile(r"(?<=[0-9])[,.] (?=[0-9])"), lambda m: " ")

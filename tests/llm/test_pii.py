@@ -85,3 +85,38 @@ def test_query_and_redaction(spark):
     clean = {r.doc_id: r for r in pii.redact_documents(df).collect()}
     assert clean[1].text == "<EMAIL> and <IP>" and clean[1].n_chars == 16 and clean[4].text == "<EMAIL>" and clean[1].spans == "z"
     assert pii.find_pii(df.limit(0)).count() == 0 and pii.redact_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("open_, close", [*zip("[({<", "])}>", strict=True), ("(", "]")])
+@pytest.mark.parametrize("inner", ["", " ", "  ", "\t", "\n"])
+@pytest.mark.parametrize("outer", ["", " ", "\t"])
+def test_every_bracketed_sign_alone(open_, close, inner, outer):
+    at = [f"alice{outer}{open_}{inner}{w}{inner}{close}{outer}example.com" for w in ("at", "AT", "@", "arroba")]
+    dot = [f"alice@example{outer}{open_}{inner}{w}{inner}{close}{outer}com" for w in ("dot", ".", "punkt", "punto")]
+    for t in at + dot:
+        assert ("email", t) in [(k, t[s:e]) for s, k, e in pii.spans(t)[1]], t
+        assert pii.redact(t) == "<EMAIL>"
+
+
+@pytest.mark.parametrize("text, kind", [
+    ("joe7\tat\nexample.com", "email"), ("joe at\tmail\ndot com", "email"),
+    ("plus three three seven seven eight eight oh oh three", "phone"), ("plus ſeven seven seven eıght eight oh oh three three", "phone"),
+])
+def test_other_disguises_alone(text, kind):
+    assert [(k, text[s:e]) for s, k, e in pii.spans(text)[1]] == [(kind, text)]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["a", "7", "@", ".", " ", "\t", "\x85", "at", "dot", "(", "<", "}", "]", "punto", "arroba", "three", "eight", "oh", "ſ", "é", "-", "_", "com", "\xa0", "٥"]), max_size=14))
+def test_the_gate_passes_whatever_normalising_changes(parts):
+    t = "".join(parts)
+    n = pii.normalise(t)
+    assert pii._may_be_disguised(t) or (n.text == t and n.cuts is None)
+
+
+def test_every_rewritten_character_passes_the_gate():
+    import sys
+
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if ord(c) in pii._LOOKS_TABLE or c in pii._INVISIBLE or c.isdecimal():
+            assert pii._BEYOND.match(c), hex(ord(c))
