@@ -282,10 +282,11 @@ def near_links(sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """Links (a, b, likeness) between different texts, each named by the smallest doc_id that has it.
 
     Texts that share a sketch are a bucket. Small buckets are compared pair by pair. In a larger one all are compared with one
-    member, others with a second; who aligns is linked through it, the rest are parted by length and tried again. Where texts are
-    left after that, because they share no more than a frequent passage, all texts of such buckets get new sketches of their
-    rare k-mers, whose buckets are small; two of them are then compared only if they share such a sketch too. Texts without any
-    rare k-mer go on as before, and the limit for small buckets doubles until none is left.
+    member, others with a second; who aligns is linked through it, the rest are parted by length and tried again. Where any
+    text does not align with the first, all texts of the bucket, linked ones too, get new sketches of their rare k-mers, whose
+    buckets are small, so one that is alike only to a linked member is compared with it if they share such a sketch. Where texts
+    are left after all tries, because they share no more than a frequent passage, this is done again for their buckets alone.
+    Texts without any rare k-mer go on as before, and the limit for small buckets doubles until none is left.
     """
     heads = sketches.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     texts = sketches.select("doc_id", "digest", "n_words", "sketches").join(heads, ["doc_id", "digest"], "left_semi")
@@ -304,11 +305,12 @@ def near_links(sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         if rest.isEmpty():
             break
         turn += 1
-        if turn == STARS:
+        if turn in (1, STARS):
             hot = stored(whole.join(broadcast_if_small(rest.select(F.col("top").alias("key")).distinct()), "key", "left_semi").select("doc_id").distinct(), "omh-hot")
             rare = stored(_rare_entries(words.join(broadcast_if_small(hot, 1_000_000), "doc_id", "left_semi")), "omh-rare")
             more = stored(_pairs_within(_members(rare, 0), similarity).distinct(), "omh-pairs")
             found = found.union(stored(_verify(more, words, similarity), "omh-links"))
+        if turn == STARS:
             rest = stored(rest.join(rare.select("doc_id").distinct(), "doc_id", "left_anti"), "omh-rest")
             if rest.isEmpty():
                 break

@@ -122,3 +122,24 @@ def test_components(spark, seed):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     assert got == {i: root(i) for i in parent}
+
+
+@pytest.mark.parametrize("chains", [1, 3])
+def test_an_edited_copy_of_a_linked_copy(spark, chains):
+    """All share one large bucket only; each B is alike to its A alone, which is linked with the centre."""
+    r = random.Random(7)
+    new = lambda n: [r.randrange(1 << 32) for _ in range(n)]
+    base = new(200)
+    texts = [base[:k] + new(2) + base[k + 2 :] for k in range(0, 60, 4)]
+    links = set()
+    for c in range(chains):
+        a = base[:80] + new(28) + base[108:]
+        b = a[:120 + c] + new(14) + a[134 + c :]
+        assert omh.alike(np.array(a), np.array(b)) and not omh.alike(np.array(base), np.array(b))
+        links.add((len(texts), len(texts) + 1))
+        texts += [a, b]
+    rows = [(i, bytes([i]), len(t), np.array(t, np.uint32).tobytes(), [5]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, d, n, bytearray(w), s) for i, d, n, w, s in rows], "doc_id long, digest binary, n_words int, words binary, sketches array<long>")
+    got = {(x.a, x.b) for x in omh.near_links(df).collect()}
+    assert links <= got
+    assert {x.component for x in components(spark.createDataFrame(sorted(got), "a long, b long")).collect()} == {0}
