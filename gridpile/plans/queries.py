@@ -291,12 +291,12 @@ def moran_quadrants(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def moran_local(spark: SparkSession, d: str) -> DataFrame:
-    return stats.moran_local(_dense(spark, d), permutations=999)
+    return stats.moran_local(_dense(spark, d))
 
 
 @query
 def moran_hot_spots(spark: SparkSession, d: str) -> DataFrame:
-    return stats.hot_spots(stats.moran_local(_dense(spark, d), permutations=999))
+    return stats.hot_spots(stats.moran_local(_dense(spark, d)))
 
 
 @query

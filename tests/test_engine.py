@@ -342,3 +342,15 @@ def test_numbers_as_text(spark):
     assert [r.t for r in rows.select(human_bp(F.col("v")).alias("t")).collect()] == ["0 b", "500 b", "1 kb", "125 kb", "1900 kb", "3 Mb", "2 Gb"]
     assert rows.where("v = 1900000").select(human_bp(F.col("v"), allowed_decimals=1).alias("t")).first().t == "1.9 Mb"
     assert spark.range(1).select(rotate(F.array(*[F.lit(i) for i in range(4)]), 1).alias("a")).first().a == [3, 0, 1, 2]
+
+
+def test_moran_queries_run_the_operators_own_permutations(spark, monkeypatch):
+    """With 9,999 permutations p_sim can meet every level of hot spots."""
+    from gridpile.plans import queries
+
+    lone = mean_cells(spark, [[2.0 ** ((r * 5 + c) * (r * 5 + c) % 7 + 6 * (r < 2 and c < 2)) for c in range(5)] for r in range(5)])
+    monkeypatch.setattr(queries, "_dense", lambda spark, d: lone)
+    want = {r.cell: r.p_sim for r in stats.moran_local(lone, permutations=9999).collect()}
+    assert {r.cell: r.p_sim for r in queries.moran_local(spark, "").collect()} == want
+    spots = {(r.cell, r.level) for r in queries.moran_hot_spots(spark, "").collect()}
+    assert spots == {(c, x) for c, p in want.items() for x in stats.HOT_SPOT_LEVELS if p <= x}
