@@ -32,8 +32,9 @@ _BRACKETED = re.compile(rf"{_OPEN}(at|@|dot|\.|punkt|punto|arroba){_CLOSE}", re.
 #: It matches wherever _BRACKETED does, but starts with the bracket, which is faster to look for.
 _BRACKETED_CORE = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|@|dot|\.|punkt|punto|arroba){_CLOSE}", re.I)
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.I)
-#: A bare "at" counts only before a spelled or bracketed dot, or after a name with a digit or sign in it.
-_BARE_AT = re.compile(r"(?:(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}\s{0,3}[\[({<]?\s{0,3}\bdot\b)|(?<=[0-9_])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}\.[A-Za-z]{2}))", re.I)
+#: A bare "at" counts only before a spelled or bracketed dot, or after a name with a digit or "_", or another sign inside it.
+_BARE_AT = re.compile(r"(?:(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}\s{0,3}[\[({<]?\s{0,3}\bdot\b)|(?<=[A-Za-z0-9._%+-])(?P<plain>\s{1,3}at\s{1,3})(?=[A-Za-z0-9-]{1,63}\.[A-Za-z]{2}))", re.I)
+_SIGNED = re.compile(r"[0-9_]|(?<=[A-Za-z])[.%+-]+(?=[A-Za-z])")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -137,12 +138,19 @@ def _may_be_disguised(t: str) -> bool:
     return (not t.isascii() and _BEYOND.search(t) is not None) or any(p.search(t) for p in (_BRACKETED_CORE, _BARE_AT, _BARE_DOT, _RUN))
 
 
+def _signed_before(m: re.Match) -> bool:
+    start = m.start()
+    while start and m.string[start - 1] in _LOCAL_CHARS:
+        start -= 1
+    return _SIGNED.search(m.string, start, m.start()) is not None
+
+
 def normalise(t: str) -> Normalised:
     n = Normalised(t.translate(_LOOKS_TABLE) if not t.isascii() else t)  # one character for one: places stay
     if not n.text.isascii():
         n.rewrite(re.compile(f"[{_INVISIBLE}]+"), lambda m: "")
         n.rewrite(re.compile(r"(?![0-9])\d"), lambda m: str(unicodedata.digit(m[0])))
-    n.rewrite(_BARE_AT, lambda m: "@")
+    n.rewrite(_BARE_AT, lambda m: "@" if m["plain"] is None or _signed_before(m) else None)
     n.rewrite(_BRACKETED, lambda m: "@" if m[1].lower() in ("at", "@", "arroba") else ".")
     n.rewrite(_BARE_DOT, lambda m: ".")
     inside: list[tuple[int, int]] = [m.span() for m in _RUN.finditer(n.text)]

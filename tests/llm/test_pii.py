@@ -120,3 +120,14 @@ def test_every_rewritten_character_passes_the_gate():
     for c in map(chr, range(128, sys.maxunicode + 1)):
         if ord(c) in pii._LOOKS_TABLE or c in pii._INVISIBLE or c.isdecimal():
             assert pii._BEYOND.match(c), hex(ord(c))
+
+
+@pytest.mark.parametrize("name", ["jane.doe", "j_doe", "joe7b", "joe7", "joe_", "a+b", "a-b", "a%b"])
+def test_a_bare_at_after_a_name_with_a_sign(name):
+    t = f"{name} at example.com"
+    assert ("email", 0, len(t)) in [(k, s, e) for s, k, e in pii.spans(t)[1]] and pii.redact(f"to {t} now") == "to <EMAIL> now"
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "We met. at example.com", "- at example.com", "joe.x look at example.com"])
+def test_a_bare_at_after_a_plain_word(text):
+    assert pii.spans(text)[1] == []
