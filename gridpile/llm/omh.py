@@ -1,29 +1,52 @@
-"""Near-duplicate texts by Order MinHash: candidates share a sketch that keeps the text order of minimal k-mers, banded alignment decides."""
+"""Near-duplicate texts by Order MinHash: candidates share a sketch that keeps the text order of minimal k-mers, banded alignment decides.
+
+Work is done in waves, each of which only compares texts that the waves before have not put into one class. So a group of
+thousands of near copies is joined once, through a few of its members, and costs the later waves nothing.
+"""
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, mix, shingle_hashes, small_batches, stored, text_or_empty, word_hashes
 from .components import components
 
-SHINGLE = 5
-#: Sketches of a text. Each has the two least labelled k-mers of one permutation, in text order. Texts whose k-mers have
-#: Jaccard likeness j agree in one sketch with a chance of about j * j: of pairs with one word in five edited at random places
-#: 0.99 are found (measured; 0.72 with 32 sketches, 0.91 with 64), with one in ten (j = 0.42) more than 0.9999.
-SKETCHES = 128
 SIMILARITY = 0.8
-#: A bucket of up to SMALL texts is compared pair by pair. In a larger one all texts are compared with the one that shares most
-#: buckets with others, those that do not align with it with any one; what is left is parted by length, for STARS tries in all.
-SMALL = 12
-STARS = 3
+SHINGLE = 5
+
+
+@dataclass(frozen=True)
+class Level:
+    """Sketches of texts of low to high words: so many, each of the ell least k-mers of k words in text order."""
+
+    k: int
+    ell: int
+    sketches: int
+    low: int
+    high: int
+
+
+#: Five-word k-mers, and shorter ones for texts so short that an edit in five leaves no five words together. Of pairs of likeness
+#: 0.8 with edits at random places 0.91 (32 words) to 0.99 (300 words) share one of 128 sketches, at 6 to 31 words 0.98 and more.
+#: The ranges overlap, so that two texts of near length always have a level in common.
+LEVELS = (Level(1, 4, 64, 0, 10), Level(2, 3, 64, 8, 40), Level(SHINGLE, 2, 128, 32, 1 << 62))
+#: Longer texts have their 128 sketches from 4 permutations of 32 bins, or from one of 128 (low, high, permutations).
+BINNED = ((320, 1600, 4), (1280, 1 << 62, 1))
+#: Sketches of whole texts by single words, for the members of large buckets alone: a passage that many share hardly counts.
+WORDS = (Level(1, 4, 64, 0, 40), Level(1, 8, 96, 32, 1 << 62))
+#: The first wave has so many sketches of each text.
+FIRST = 16
+#: Texts of a bucket of up to SMALL are compared pair by pair, of a larger one with one text first.
+SMALL = 8
+BLOCK = 256
 
 
 def labelled(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -39,39 +62,6 @@ def labelled(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(h + occurrence * np.uint64(0x9E3779B97F4A7C15))
 
 
-def order_min_hash(h: np.ndarray, offsets: np.ndarray, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with k-mers, and their sketches (rows, sketches): the hash of the two least labelled k-mers in text order; of one k-mer, of that."""
-    counts = np.diff(offsets)
-    rows = np.flatnonzero(counts)
-    starts, counts = offsets[:-1][rows], counts[rows]
-    out = np.zeros((len(rows), sketches), np.uint64)
-    if not len(rows):
-        return rows, out
-    lab = labelled(h, offsets)
-    which = np.repeat(np.arange(len(rows)), counts)
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-    def least(v: np.ndarray) -> np.ndarray:
-        low = np.minimum.reduceat(v, starts)
-        hit = np.flatnonzero(v == np.repeat(low, counts))
-        first = np.ones(len(hit), bool)
-        first[1:] = which[hit[1:]] != which[hit[:-1]]
-        return hit[first]
-
-    for s in range(sketches):
-        seed = mix(np.full(1, s + 1, np.uint64))[0]
-        v = (lab ^ seed) * (seed | np.uint64(1))
-        v ^= v >> np.uint64(29)
-        v *= np.uint64(0xBF58476D1CE4E5B9)
-        one = least(v)
-        v[one] = top
-        two = least(v)
-        two = np.where(counts > 1, two, one)
-        a, b = lab[np.minimum(one, two)], lab[np.maximum(one, two)]
-        out[:, s] = mix(mix(a + seed) * np.uint64(3) + b)
-    return rows, out
-
-
 def _trim(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
@@ -159,193 +149,360 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float
     return None if d is None else 1 - d / longer
 
 
-def sketch_documents(documents: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, its number of words, the words as 32-bit hashes, and its sketches. Whole texts, no shuffle."""
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
+def _some(h: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of h that belong to some rows, and their offsets."""
+    counts = np.diff(offsets)[rows]
+    new = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    return h[np.arange(new[-1]) + np.repeat(offsets[:-1][rows] - new[:-1], counts)], new
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            at = 0
-            while at < whole.num_rows:  # at most about 1 MB of text at a time
-                sizes = np.cumsum([len(x or "") for x in whole.column(1).slice(at, 4096).to_pylist()])
-                n = max(1, int(np.searchsorted(sizes, 1 << 20)))
-                b = whole.slice(at, n)
-                at += b.num_rows
-                words, w_off = word_hashes(b.column(1), lower=True)
-                rows, made = order_min_hash(*shingle_hashes(words, w_off, SHINGLE))
-                sketches: list = [[]] * b.num_rows
-                for r, s in zip(rows.tolist(), made.view(np.int64).tolist(), strict=True):
-                    sketches[r] = s
-                small = (words >> np.uint64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0),
-                    pa.array([hashlib.sha256(x.encode()).digest()[:16] for x in b.column(1).to_pylist()], pa.binary()),
-                    pa.array(np.diff(w_off).astype(np.int32)),
-                    pa.array([small[w_off[i] : w_off[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary()),
-                    pa.array(sketches, pa.list_(pa.int64())),
-                ], ["doc_id", "digest", "n_words", "words", "sketches"])
-
-    return docs.mapInArrow(run, "doc_id bigint, digest binary, n_words int, words binary, sketches array<bigint>")
-
-
-def _verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) that align, with their likeness."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    words = words.join(broadcast_if_small(ids, 1_000_000), "doc_id", "left_semi")
-    both = pairs.join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("wb")), "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            a, b, wa, wb = (x.column(x.schema.get_field_index(n)).to_pylist() for n in ("a", "b", "wa", "wb"))
-            kept = [(i, j, s) for i, j, u, v in zip(a, b, wa, wb, strict=True) if (s := alike(np.frombuffer(u, np.uint32), np.frombuffer(v, np.uint32), similarity)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.float64())], ["a", "b", "likeness"])
+def _seed(s: int, level: Level) -> np.uint64:
+    return mix(np.full(1, s + 1 + (level.k << 20) + (level.ell << 28), np.uint64))[0]
 
-    return both.select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint, likeness double").dropDuplicates(["a", "b"])
 
+def order_min_hash(h: np.ndarray, offsets: np.ndarray, level: Level, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with k-mers, and sketches first to last of each: a hash of the ell least labelled k-mers (all, if fewer) in text order."""
+    last = level.sketches if last is None else min(last, level.sketches)
+    counts = np.diff(offsets)
+    rows = np.flatnonzero(counts)
+    starts, counts = offsets[:-1][rows], counts[rows]
+    out = np.zeros((len(rows), max(0, last - first)), np.uint64)
+    if not len(rows):
+        return rows, out
+    lab = labelled(h, offsets)
+    place = np.arange(len(h), dtype=np.uint64)
+    low_bits = np.uint64((1 << max(1, int(len(h)).bit_length())) - 1)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    for s in range(first, last):
+        seed = _seed(s, level)
+        v = (lab ^ seed) * (seed | np.uint64(1))
+        v &= ~low_bits  # the least value also tells its place
+        v |= place
+        picks: list[np.ndarray] = []
+        for i in range(level.ell):
+            at = (np.minimum.reduceat(v, starts) & low_bits).astype(np.int64)
+            if picks:
+                at = np.where(counts > i, at, picks[-1])
+            picks.append(at)
+            v[at] = top
+        out[:, s - first] = seed
+        for at in np.sort(np.stack(picks), axis=0):
+            out[:, s - first] = mix(out[:, s - first] * np.uint64(3) + lab[at])
+    return rows, out
 
-def _members(entries: DataFrame, turn: int) -> DataFrame:
-    """entries (doc_id, n_words, key, ...) of keys that two or more have, with the number n of those and one of them, the centre, by a hash."""
-    priority = F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("p"), F.col("doc_id").alias("d"), F.col("n_words").alias("w"))
-    entries = entries.repartition("key")  # one exchange serves both sides of the join
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(priority).alias("m")).where("n > 1")
-    return entries.join(sizes.select("key", "n", F.col("m.d").alias("centre"), F.col("m.w").alias("centre_words")), "key")
 
+def binned_order_min_hash(lab: np.ndarray, permutations: int, level: Level, first: int = 0, last: int | None = None) -> np.ndarray:
+    """As order_min_hash for one long text of labelled k-mers: each permutation gives a sketch for each of its bins of hash values; 0 for an empty bin."""
+    last = level.sketches if last is None else min(last, level.sketches)
+    bins = level.sketches // permutations
+    out = np.zeros(level.sketches, np.uint64)
+    for p in range(first // bins, -(-last // bins)):
+        seed = _seed((permutations << 12) + p, level)
+        v = (lab ^ seed) * (seed | np.uint64(1))
+        order = np.argsort(v)
+        own = v[order] >> np.uint64(64 - (bins.bit_length() - 1))
+        begin = np.searchsorted(own, np.arange(bins, dtype=np.uint64))
+        size = np.diff(np.append(begin, len(own)))
+        has = np.flatnonzero(size)
+        picks = np.stack([order[begin[has] + np.minimum(i, size[has] - 1)] for i in range(level.ell)])
+        made = np.full(len(has), seed, np.uint64)
+        for at in np.sort(picks, axis=0):
+            made = mix(made * np.uint64(3) + lab[at])
+        out[p * bins + has] = mix(made + has.astype(np.uint64))
+    return out[first:last]
+
+
+def sketch_rows(words: np.ndarray, offsets: np.ndarray, levels: tuple[Level, ...] = LEVELS, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of sketches first to last of every level that a row of word hashes belongs to."""
+    n = np.diff(offsets)
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for level in levels:
+        rows = np.flatnonzero((n >= max(1, level.low)) & (n <= level.high))
+        plain = rows[n[rows] < BINNED[0][0] * 5 // 4] if level.k == SHINGLE else rows
+        if len(plain):
+            have, made = order_min_hash(*shingle_hashes(*_some(words, offsets, plain), level.k), level, first, last)
+            found.append((np.repeat(plain[have], made.shape[1]), made.ravel()))
+        for low, high, permutations in BINNED if level.k == SHINGLE else ():
+            for r in rows[(n[rows] >= low) & (n[rows] < high)].tolist():
+                one = np.array([0, n[r]])
+                h, o = shingle_hashes(words[offsets[r] : offsets[r + 1]], one, level.k)
+                made = binned_order_min_hash(labelled(h, o), permutations, level, first, last)
+                made = made[made != 0]
+                found.append((np.full(len(made), r), made))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of batches of at most about 1 MB of text, or one row, with their word hashes."""
+    for whole in batches:
+        at = 0
+        while at < whole.num_rows:
+            sizes = np.cumsum(pa.compute.binary_length(whole.column(column).slice(at, 4096)).fill_null(0).to_numpy(zero_copy_only=False))
+            part = whole.slice(at, max(1, int(np.searchsorted(sizes, 1 << 20))))
+            at += part.num_rows
+            yield part, *word_hashes(part.column(column), lower=True)
+
+
+_MANY = 32
+_MEETS = 33
+
+
+def _entries(texts: DataFrame, levels: tuple[Level, ...], first: int, last: int | None, gather: bool) -> DataFrame:
+    """(key, doc_id, comp, info) for the sketches of texts (doc_id, text, comp, meets). info: meets, whether the row stands for several, words.
+
+    gather: of the texts of a batch that have one class and share a key, the one that meets most stands for all; so the many
+    copies of a text, already in one class, do not meet again in one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words, offsets in _slices(batches, 1):
+            row, key = sketch_rows(words, offsets, levels, first, last)
+            doc, comp, meets = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+            info = (np.minimum(meets, (1 << 30) - 1) << _MEETS) | np.diff(offsets)
+            if gather:
+                _, name, size = np.unique(comp, return_inverse=True, return_counts=True)
+                shared = size[name][row] > 1
+                many = np.flatnonzero(shared)
+                order = many[np.lexsort((-info[row[many]], comp[row[many]], key[many]))]
+                new = np.ones(len(order), bool)
+                new[1:] = (key[order[1:]] != key[order[:-1]]) | (comp[row[order[1:]]] != comp[row[order[:-1]]])
+                first_of = np.flatnonzero(new)
+                several = np.diff(np.append(first_of, len(order))) > 1
+                keep = np.concatenate([np.flatnonzero(~shared), order[first_of]])
+                bit = np.concatenate([np.zeros(int((~shared).sum()), np.int64), several.astype(np.int64) << _MANY])
+            else:
+                keep, bit = np.arange(len(row)), np.zeros(len(row), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(doc[row[keep]]), pa.array(comp[row[keep]]), pa.array(info[row[keep]] | bit)], ["key", "doc_id", "comp", "info"])
 
-def _with_middle(large: DataFrame) -> DataFrame:
-    """Members of large buckets with their hash's choice as `other` and, as the centre, the one that meets most texts in all its
-    buckets: the original of many copies rather than one of them. A group so has the same centre in most of its buckets."""
-    meets = large.groupBy("doc_id").agg((-F.sum("n")).alias("meets"))
-    large = stored(large.withColumnsRenamed({"centre": "other", "centre_words": "other_words"}).join(meets, "doc_id"), "omh-meets")
-    middle = large.groupBy("key").agg(F.min(F.struct("meets", "doc_id", "n_words")).alias("m")).select("key", F.col("m.doc_id").alias("centre"), F.col("m.n_words").alias("centre_words"))
-    return large.drop("meets").join(middle, "key")
+    return texts.select("doc_id", "text", "comp", "meets").mapInArrow(run, "key bigint, doc_id bigint, comp bigint, info bigint")
 
 
-def _near_in_length(one: str, two: str, similarity: float) -> Column:
-    return F.least(one, two) >= similarity * F.greatest(one, two) - 1e-6
+def _near(one: np.ndarray, two: np.ndarray, similarity: float) -> np.ndarray:
+    return np.minimum(one, two) >= similarity * np.maximum(one, two) - 1e-6
 
 
-def _pairs_within(small: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of all rows (doc_id, n_words, key) that share a key, unless their lengths alone keep them apart. Keys have a bounded number of rows."""
-    one = small.select("key", F.col("doc_id").alias("a"), F.col("n_words").alias("wa"))
-    two = small.select("key", F.col("doc_id").alias("b"), F.col("n_words").alias("wb"))
-    return one.join(two, "key").where((F.col("a") < F.col("b")) & _near_in_length("wa", "wb", similarity)).select("a", "b")
+def _met(parts: list[list[np.ndarray]], similarity: float) -> pa.RecordBatch:
+    out = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    a, b, ca, cb, large, na, nb = out
+    words = np.int64((1 << _MANY) - 1)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(a, b), np.maximum(a, b), np.where(a < b, ca, cb), np.where(a < b, cb, ca), large, _near(na & words, nb & words, similarity))], ["a", "b", "ca", "cb", "large", "near"])
 
 
-def _by_length(large: DataFrame, similarity: float) -> DataFrame:
-    """Entries under keys of one key and one of two length classes, such that every two texts near enough in length meet in one."""
-    c = F.floor(F.log(F.col("n_words").cast("double")) / -float(np.log(similarity) - 1e-9))
-    return large.withColumn("c", F.explode(F.array(c, c + 1))).select("doc_id", "n_words", F.xxhash64("key", "c").alias("key"), "top")
+_MET = "a bigint, b bigint, ca bigint, cb bigint, large boolean, near boolean"
 
 
-def _rare_entries(words: DataFrame) -> DataFrame:
-    """Entries (doc_id, n_words, key) by sketches of each text's rare k-mers alone, those that at most SMALL of these texts have.
+def _across(entries: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ca, cb, large, near) for texts of different classes that share a key, near in length or not.
 
-    No two of those sketches are equal in more than SMALL texts. A text without rare k-mers has no entries.
+    In a small bucket all such pairs; in a large one, or where a row stands for several texts, the text that meets most with each
+    of another class. Buckets are read as a sorted stream, of which a task keeps at most a batch and SMALL rows.
     """
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(k: np.ndarray, doc: np.ndarray, comp: np.ndarray, info: np.ndarray, first: np.ndarray, open_group: bool) -> Iterator[list[np.ndarray]]:
+        """Of whole groups; or, with open_group, of a first row and further rows of its group, which is large."""
+        size = np.diff(np.append(first, len(k)))
+        whole = np.maximum.reduceat(((info >> _MANY) & 1), first) == 0
+        small = np.repeat((size <= SMALL) & whole, size) if not open_group else np.zeros(len(k), bool)
+        for d in range(1, SMALL):
+            i = np.flatnonzero(small[:-d] & (k[d:] == k[:-d]) & (comp[d:] != comp[:-d])) if len(k) > d else np.zeros(0, np.int64)
+            if len(i):
+                yield [doc[i], doc[i + d], comp[i], comp[i + d], np.zeros(len(i), bool), info[i], info[i + d]]
+        head = np.repeat(first, size)
+        i = np.flatnonzero(~small & (comp != comp[head]))
+        if len(i):
+            h = head[i]
+            yield [doc[h], doc[i], comp[h], comp[i], np.ones(len(i), bool), info[h], info[i]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        streaming = False  # held is the first row of a large group, whose rows so far are done
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                ids = b.column(0).slice(i, 64).to_numpy()
-                each = [np.frombuffer(x, np.uint32) for x in b.column(1).slice(i, 64).to_pylist()]
-                n = np.array([len(x) for x in each])
-                g, off = shingle_hashes(np.concatenate(each).astype(np.uint64), np.concatenate([[0], np.cumsum(n)]), SHINGLE)
-                counts = np.diff(off)
-                at = np.arange(len(g)) - np.repeat(off[:-1], counts)
-                made = [pa.array(np.repeat(ids, counts)), pa.array(np.repeat(n, counts).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(labelled(g, off).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_words", "at", "gram"])
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids: np.ndarray, n: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
-            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            rows, made = order_min_hash(g.view(np.uint64), np.append(first, len(ids)))
-            first = first[rows]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[first], SKETCHES)), pa.array(np.repeat(n[first], SKETCHES)), pa.array(made.ravel().view(np.int64))], ["doc_id", "n_words", "key"])
+            if not b.num_rows:
+                continue
+            new = [b.column(i).to_numpy() for i in range(4)]
+            at = [np.concatenate(x) for x in zip(held, new, strict=True)] if held is not None else new
+            first = np.flatnonzero(np.concatenate([[True], at[0][1:] != at[0][:-1]]))
+            made: list[list[np.ndarray]] = []
+            begin = 0
+            if streaming:
+                begin = int(first[1]) if len(first) > 1 else len(at[0])
+                made += pairs(*[x[:begin] for x in at], np.zeros(1, np.int64), True)
+                first = first[1:] - begin
+                if not len(first):
+                    held = [x[:1] for x in at]
+                    yield _met(made, similarity)
+                    continue
+                at, streaming = [x[begin:] for x in at], False
+            cut = int(first[-1])
+            if cut:
+                made += pairs(*[x[:cut] for x in at], first[:-1], False)
+            held = [x[cut:] for x in at]
+            if len(held[0]) > SMALL:
+                made += pairs(*held, np.zeros(1, np.int64), True)
+                held, streaming = [x[:1] for x in held], True
+            yield _met(made, similarity)
+        if held is not None and not streaming:
+            yield _met(list(pairs(*held, np.zeros(1, np.int64), False)), similarity)
+
+    dealt = entries.repartition("key").sortWithinPartitions("key", F.desc("info"), "doc_id")
+    return dealt.mapInArrow(run, _MET).distinct()
+
+
+def _every(entries: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different classes that share a key: buckets are cut into blocks of about BLOCK, and every two blocks are a group of their own."""
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d")
+    placed = entries.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "comp", "info")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(x: list[np.ndarray]) -> pa.RecordBatch:
+            first = np.flatnonzero(np.concatenate([[True], (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1]) | (x[2][1:] != x[2][:-1])]))
+            made = []
+            for f, to in zip(first, np.append(first[1:], len(x[0])), strict=True):
+                block, doc, comp, info = (c[f:to] for c in x[3:])
+                r, c = np.nonzero(np.triu((comp[:, None] != comp[None]) & ((x[1][f] == x[2][f]) | (block[:, None] != block[None])), 1))
+                made.append([doc[r], doc[c], comp[r], comp[c], np.zeros(len(r), bool), info[r], info[c]])
+            return _met(made, similarity)
 
         held: list[np.ndarray] | None = None
         for b in batches:
-            new = [b.column(i).to_numpy() for i in range(3)]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last text may go on in the next batch
+            if not b.num_rows:
+                continue
+            new = [b.column(i).to_numpy() for i in range(7)]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held is not None else new
+            differ = (held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1])
+            cut = int(np.flatnonzero(differ)[-1]) + 1 if differ.any() else 0
             if cut:
-                yield out(*[x[:cut] for x in held])
+                yield out([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
-        if held is not None and len(held[0]):
-            yield out(*held)
+        if held is not None:
+            yield out(held)
 
-    found = words.mapInArrow(grams, "doc_id bigint, n_words int, at int, gram bigint")
-    frequent = found.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("gram")
-    rare = found.join(frequent, "gram", "left_anti").select("doc_id", "n_words", "gram", "at")
-    return rare.repartition("doc_id").sortWithinPartitions("doc_id", "at").select("doc_id", "n_words", "gram").mapInArrow(sketch, "doc_id bigint, n_words int, key bigint").distinct()
+    dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
+    return dealt.mapInArrow(run, _MET).where("near").select("a", "b").distinct()
 
 
-def near_links(sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b, likeness) between different texts, each named by the smallest doc_id that has it.
+def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) that align, with their likeness. Texts (doc_id, text) go on as 32-bit hashes of their words."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = texts.select("doc_id", "text").join(broadcast_if_small(ids, 1_000_000), "doc_id", "left_semi")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words, offsets in _slices(batches, 1):
+            small = (words >> np.uint64(32)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([small[offsets[i] : offsets[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())], ["doc_id", "words"])
+
+    words = stored(texts.mapInArrow(hashed, "doc_id bigint, words binary"), "omh-words")
+    both = pairs.join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("wb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            a, b, wa, wb = (x.column(x.schema.get_field_index(n)).to_pylist() for n in ("a", "b", "wa", "wb"))
+            kept = [(i, j, s) for i, j, u, v in zip(a, b, wa, wb, strict=True) if (s := alike(np.frombuffer(u, np.uint32), np.frombuffer(v, np.uint32), similarity)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.float64())], ["a", "b", "likeness"])
+
+    return stored(both.select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint, likeness double").dropDuplicates(["a", "b"]), "omh-links")
+
 
-    Texts that share a sketch are a bucket. Small buckets are compared pair by pair. In a larger one all are compared with one
-    member, others with a second; who aligns is linked through it, the rest are parted by length and tried again. Where any
-    text does not align with the first, all texts of the bucket, linked ones too, get new sketches of their rare k-mers, whose
-    buckets are small, so one that is alike only to a linked member is compared with it if they share such a sketch. Where texts
-    are left after all tries, because they share no more than a frequent passage, this is done again for their buckets alone.
-    Texts without any rare k-mer go on as before, and the limit for small buckets doubles until none is left.
+def _first_wave(texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links by the first sketches, and (doc_id, meets) of the members of large buckets: the sum of their buckets' sizes.
+
+    The text that meets most, the original of many copies rather than one of them, is what a large bucket's others are compared with.
+    """
+    entries = stored(_entries(texts, LEVELS, 0, FIRST, False), "omh-first")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(entries.join(sizes, "key").select("key", "doc_id", F.col("info").bitwiseAND((1 << _MANY) - 1).alias("n_words"), "n"), "omh-members")
+    near = F.least("wa", "wb") >= similarity * F.greatest("wa", "wb") - 1e-6
+    side = lambda x, y: members.where(F.col("n") <= SMALL).select("key", F.col("doc_id").alias(x), F.col("n_words").alias(y))
+    pairs = side("a", "wa").join(side("b", "wb"), "key").where((F.col("a") < F.col("b")) & near).select("a", "b")
+    large = members.where(F.col("n") > SMALL)
+    meets = stored(large.groupBy("doc_id").agg(F.sum("n").alias("meets")), "omh-meets")
+    large = large.join(broadcast_if_small(meets, 1_000_000), "doc_id")
+    middle = large.groupBy("key").agg(F.max(F.struct("meets", "doc_id", "n_words")).alias("m")).select("key", F.col("m.doc_id").alias("c"), F.col("m.n_words").alias("wb"))
+    star = large.join(middle, "key").where("doc_id <> c").withColumnRenamed("n_words", "wa").where(near).select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
+    return _verify(stored(pairs.union(star).distinct(), "omh-pairs"), texts, similarity), meets
+
+
+def near_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of all texts (doc_id, text) that alike ones tie together; texts of the same doc_id are one node.
+
+    Two texts that share a sketch are compared, unless they are in one class already: after FIRST sketches of each text classes
+    are formed, and then texts of different classes meet in the buckets of all other sketches. Where a large bucket holds
+    texts of other classes that do not align with the one compared, all texts of those classes, linked ones too, get sketches of
+    single words over the whole text, in which a passage that many share hardly counts. What still meets in large buckets
+    there is compared pair by pair, in blocks.
     """
-    heads = sketches.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    texts = sketches.select("doc_id", "digest", "n_words", "sketches").join(heads, ["doc_id", "digest"], "left_semi")
-    words = sketches.select("doc_id", "words")
-    entries = texts.select("doc_id", "n_words", F.explode("sketches").alias("key"))
-    members = stored(_members(entries, 0), "omh-members")
-    whole = stored(_with_middle(members.where(F.col("n") > SMALL)), "omh-large")
-    pairs = _pairs_within(members.where(F.col("n") <= SMALL), similarity)
-    tried, found, turn, limit = whole.withColumn("top", F.col("key")), None, 0, SMALL
-    while True:
-        star = tried.where(F.col("doc_id") != F.col("centre")).withColumns({"a": F.least("doc_id", "centre"), "b": F.greatest("doc_id", "centre")})
-        pairs = pairs.union(star.where(_near_in_length("n_words", "centre_words", similarity)).select("a", "b")).distinct()
-        links = stored(_verify(stored(pairs, "omh-pairs"), words, similarity), "omh-links")
-        found = links if found is None else found.union(links)
-        rest = stored(star.join(links.select("a", "b"), ["a", "b"], "left_anti").drop("a", "b", "centre", "centre_words"), "omh-rest")
-        if rest.isEmpty():
-            break
-        turn += 1
-        if turn in (1, STARS):
-            hot = stored(whole.join(broadcast_if_small(rest.select(F.col("top").alias("key")).distinct()), "key", "left_semi").select("doc_id").distinct(), "omh-hot")
-            rare = stored(_rare_entries(words.join(broadcast_if_small(hot, 1_000_000), "doc_id", "left_semi")), "omh-rare")
-            more = stored(_pairs_within(_members(rare, 0), similarity).distinct(), "omh-pairs")
-            found = found.union(stored(_verify(more, words, similarity), "omh-links"))
-        if turn == STARS:
-            rest = stored(rest.join(rare.select("doc_id").distinct(), "doc_id", "left_anti"), "omh-rest")
-            if rest.isEmpty():
-                break
-        if turn >= STARS:
-            limit *= 2
-        if turn == 1:
-            pairs, tried = pairs.limit(0), rest.withColumnsRenamed({"other": "centre", "other_words": "centre_words"})
-        else:
-            live = _by_length(rest, similarity) if turn == 2 else rest.select("doc_id", "n_words", "key", "top")
-            members = stored(_members(live, turn), "omh-members")
-            pairs, tried = _pairs_within(members.where(F.col("n") <= limit), similarity), members.where(F.col("n") > limit)
-    return found.dropDuplicates(["a", "b"])
+    plain = texts.withColumns({"comp": F.col("doc_id"), "meets": F.lit(0).cast("bigint")})
+    links, meets = _first_wave(plain, similarity)
+
+    def labelled_texts(links: DataFrame, some: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Texts with their classes by links; only those of the doc_ids in some, if given."""
+        classes = stored(components(links.select("a", "b")), "omh-classes")
+        label = classes.withColumnRenamed("node", "doc_id").join(meets, "doc_id", "full")
+        label = broadcast_if_small(stored(label.select("doc_id", F.coalesce("component", "doc_id").alias("c"), F.coalesce("meets", F.lit(0)).alias("m")), "omh-labels"), 1_000_000)
+        rows = texts if some is None else texts.join(broadcast_if_small(some, 1_000_000), "doc_id", "left_semi")
+        rows = rows.join(label, "doc_id", "left").select("doc_id", "text", F.coalesce("c", "doc_id").alias("comp"), F.coalesce("m", F.lit(0)).cast("bigint").alias("meets"))
+        return rows, classes
+
+    def unresolved(met: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+        """doc_ids of the classes that met in a large bucket without aligning there."""
+        loose = met.where("large").join(links.select("a", "b"), ["a", "b"], "left_anti")
+        comps = stored(loose.select(F.col("ca").alias("component")).union(loose.select("cb")).distinct(), "omh-open")
+        inside = classes.join(broadcast_if_small(comps, 1_000_000), "component", "left_semi").select("node")
+        return stored(inside.union(comps).toDF("doc_id").distinct(), "omh-hot")
+
+    rows, classes = labelled_texts(links)
+    met = stored(_across(_entries(rows, LEVELS, FIRST, None, True), similarity), "omh-met")
+    more = _verify(stored(met.where("near").select("a", "b").distinct(), "omh-pairs"), texts, similarity)
+    hot = unresolved(met, more, classes)
+    links = links.union(more)
+    if not hot.isEmpty():
+        rows, classes = labelled_texts(links, hot)
+        met = stored(_across(_entries(rows, WORDS, 0, None, True), similarity), "omh-met")
+        more = _verify(stored(met.where("near").select("a", "b").distinct(), "omh-pairs"), texts, similarity)
+        hot = unresolved(met, more, classes)
+        links = links.union(more)
+        if not hot.isEmpty():
+            rows, classes = labelled_texts(links, hot)
+            links = links.union(_verify(stored(_every(_entries(rows, WORDS, 0, None, False), similarity), "omh-pairs"), texts, similarity))
+    return links
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each row of documents: doc_id, class_id, kept, n_links.
-
-    Rows of equal text are one text. Texts of similarity (1 - word edits / words of the longer) of at least `similarity` that
-    share a sketch are linked, and a class is what links reach; class_id is its smallest doc_id, kept says whether the row
-    has it, n_links counts the different texts that its text is linked to. Case of A-Z and kinds of white space do not count
-    as edits. Null texts equal empty ones. Texts without words are alike only if equal. Rows with one doc_id are one node;
-    those with a null doc_id are kept, without a class. Other columns are ignored.
+    """One row for each row of documents: doc_id, class_id, kept.
+
+    Rows of equal text are one text. Texts of similarity (1 - word edits / words of the longer) of at least `similarity`, itself
+    at least 0.8, that share a sketch are tied, and a class is what ties reach; class_id is its smallest doc_id, kept says
+    whether the row has it. Links inside a class are not counted: that would take every two members of each large group. Case
+    of A-Z and kinds of white space do not count as edits. Null texts equal empty ones. Texts without words are alike only if
+    equal. Rows with one doc_id are one node; those with a null doc_id are kept, without a class. Long texts are taken whole,
+    an empty table gives an empty result, other columns are ignored.
     """
+    if similarity < SIMILARITY:
+        raise ValueError(f"the sketches are made for a similarity of at least {SIMILARITY}")
     small_batches(documents.sparkSession)
-    sketches = stored(sketch_documents(documents), "omh-sketches")
-    links = stored(near_links(sketches, similarity), "omh-all-links")
-    heads = stored(sketches.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head")), "omh-heads")
-    ends = links.select(F.col("a").alias("head")).union(links.select("b")).groupBy("head").agg(F.count("*").alias("n"))
-    # one doc_id with several texts links them
-    same = sketches.select("doc_id", "digest").where("doc_id is not null").distinct().join(heads, "digest").where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    ids_twice = sketches.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("digest").alias("n")).where("n > 1").select(F.col("doc_id").alias("b"))
-    reach = components(links.select("a", "b").union(same.join(ids_twice, "b", "left_semi").select("a", "b")))
-    classes = heads.join(reach.withColumnRenamed("node", "head"), "head", "left").join(ends, "head", "left")
-    classes = classes.select("digest", F.coalesce("component", "head").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
-    rows = sketches.select("doc_id", "digest").join(classes, "digest", "left")
-    named = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
-    return rows.select("doc_id", named.alias("class_id"), F.coalesce(named == F.col("doc_id"), F.lit(True)).alias("kept"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
+    digest = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
+    ids = stored(docs.select("doc_id", digest.alias("digest")), "omh-ids")
+    named = ids.where("doc_id is not null")
+    heads = named.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("digest", "head")
+    heads = stored(heads, "omh-heads")
+    twice = stored(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "omh-twice")
+    with_head = ids.join(broadcast_if_small(heads, 1_000_000), "digest", "left").withColumn("head", F.coalesce("head", "doc_id"))
+    texts = docs.where("doc_id is not null")
+    if twice.isEmpty():
+        copies = stored(with_head.where("head <> doc_id").select("doc_id"), "omh-copies")
+        texts = texts.join(broadcast_if_small(copies, 1_000_000), "doc_id", "left_anti")
+    else:
+        own = with_head.where("head = doc_id").select("doc_id", "digest").distinct()
+        texts = texts.withColumn("digest", digest).dropDuplicates(["doc_id", "digest"]).join(own, ["doc_id", "digest"], "left_semi")
+        texts = stored(texts.select("doc_id", "text"), "omh-texts")
+    links = near_links(texts, similarity).select("a", "b")
+    # one doc_id with several texts ties them
+    again = broadcast_if_small(twice, 1_000_000)
+    same = with_head.where("head <> doc_id").join(again, "doc_id", "left_semi").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    reach = stored(components(links.union(same)).withColumnRenamed("node", "head"), "omh-reach")
+    rows = with_head.join(broadcast_if_small(reach, 1_000_000), "head", "left")
+    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "head"))
+    return rows.select("doc_id", class_id.alias("class_id"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridpile.llm import omh
+from gridpile.llm.common import word_hashes
 from gridpile.llm.components import components
 
 SCHEMA = "doc_id long, text string, digest string, words string, key string, lang string"
@@ -34,17 +35,18 @@ def test_whole_band_distance(a, b, most):
 
 def test_labels_and_order():
     """Repeats differ by their number; sketches change with the order of the words, not with case or spaces."""
-    from gridpile.llm.common import shingle_hashes, word_hashes
-
     lab = omh.labelled(np.array([5, 7, 5, 5, 5], np.uint64), np.array([0, 4, 5]))
     assert len(set(lab[:4].tolist())) == 4 and lab[4] == lab[0]
     r = random.Random(1)
-    w = [f"w{r.randrange(400)}" for _ in range(300)]
-    texts = [" ".join(w), "\n".join(w).upper(), " ".join(w[150:] + w[:150]), "", "one two"]
-    rows, s = omh.order_min_hash(*shingle_hashes(*word_hashes(pa.array(texts), True), 5))
-    assert rows.tolist() == [0, 1, 2, 4] and (s[0] == s[1]).all()
-    same = (s[0] == s[2]).mean()
-    assert 0.2 < same < 0.8  # almost the same k-mers, half of the pairs in another order
+    for n in (300, 900, 2000):
+        w = [f"w{r.randrange(400)}" for _ in range(n)]
+        texts = [" ".join(w), "\n".join(w).upper(), " ".join(w[n // 2 :] + w[: n // 2]), "", "one two"]
+        row, key = omh.sketch_rows(*word_hashes(pa.array(texts), True))
+        sets = [set(key[row == i].tolist()) for i in range(5)]
+        assert sets[0] == sets[1] and not sets[3] and sets[4]
+        assert 0.2 < len(sets[0] & sets[2]) / len(sets[0]) < 0.8  # almost the same k-mers, half of the pairs in another order
+        parts = [set(omh.sketch_rows(*word_hashes(pa.array(texts), True), first=f, last=t)[1].tolist()) for f, t in ((0, omh.FIRST), (omh.FIRST, None))]
+        assert parts[0] | parts[1] == set(key.tolist()) and not parts[0] & parts[1]
 
 
 def edited(r, w, share):
@@ -124,38 +126,84 @@ def test_components(spark, seed):
     assert got == {i: root(i) for i in parent}
 
 
+def classes_of(spark, texts):
+    df = spark.createDataFrame([(i, t, "", "", "", "") for i, t in enumerate(texts)], SCHEMA)
+    return [r.class_id for r in sorted(omh.near_duplicates(df).collect(), key=lambda r: r.doc_id)]
+
+
 @pytest.mark.parametrize("chains", [1, 3])
 def test_an_edited_copy_of_a_linked_copy(spark, chains):
-    """All share one large bucket only; each B is alike to its A alone, which is linked with the centre."""
+    """Each B is alike to its A alone, one of many members of a class whose centre it is not alike to."""
     r = random.Random(7)
-    new = lambda n: [r.randrange(1 << 32) for _ in range(n)]
+    new = lambda n: [f"n{r.randrange(10**9)}" for _ in range(n)]
     base = new(200)
-    texts = [base[:k] + new(2) + base[k + 2 :] for k in range(0, 60, 4)]
-    links = set()
+    texts = [base[:k] + new(2) + base[k + 2 :] for k in range(0, 120, 2)]
     for c in range(chains):
         a = base[:80] + new(28) + base[108:]
-        b = a[:120 + c] + new(14) + a[134 + c :]
-        assert omh.alike(np.array(a), np.array(b)) and not omh.alike(np.array(base), np.array(b))
-        links.add((len(texts), len(texts) + 1))
+        b = a[: 120 + c] + new(14) + a[134 + c :]
+        assert distance(a, b) <= 40 < distance(base, b)
         texts += [a, b]
-    rows = [(i, bytes([i]), len(t), np.array(t, np.uint32).tobytes(), [5]) for i, t in enumerate(texts)]
-    df = spark.createDataFrame([(i, d, n, bytearray(w), s) for i, d, n, w, s in rows], "doc_id long, digest binary, n_words int, words binary, sketches array<long>")
-    got = {(x.a, x.b) for x in omh.near_links(df).collect()}
-    assert links <= got
-    assert {x.component for x in components(spark.createDataFrame(sorted(got), "a long, b long")).collect()} == {0}
-
+    assert set(classes_of(spark, [" ".join(t) for t in texts])) == {0}
 
-def test_recall_at_the_threshold():
-    """Of pairs of 300 words with 60 edits at random places at least 0.98 share a sketch."""
-    from gridpile.llm.common import shingle_hashes, word_hashes
 
-    r = random.Random(11)
+def test_a_chain_of_edits_and_families_with_one_core(spark):
+    """60 texts of which only near ones are alike are one class; families that share half their text are classes of their own."""
+    r = random.Random(9)
+    word = lambda: f"n{r.randrange(10**9)}"
+    now = [word() for _ in range(120)]
     texts = []
-    for _ in range(400):
-        w = [f"w{r.randrange(3000)}" for _ in range(300)]
+    for _ in range(60):
+        texts.append(now)
+        now = [word() if r.random() < 0.07 else w for w in now]
+    core = [word() for _ in range(80)]
+    families = 40
+    for _ in range(families):
+        own = [word() for _ in range(80)]
+        texts += [core + [word() if r.random() < 0.04 else w for w in own] for _ in range(6)]
+    got = classes_of(spark, [" ".join(t) for t in texts])
+    assert set(got[:60]) == {0}
+    assert got[60:] == [60 + 6 * f for f in range(families) for _ in range(6)]
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 10, 11, 14, 20, 30, 33, 40, 60, 100, 300, 380, 450, 1300, 1700])
+def test_recall_at_the_threshold(n):
+    """Of pairs of n words with n / 5 edits at random places nine in ten and more share a sketch, by k-mers as by single words."""
+    r = random.Random(n)
+    texts = []
+    trials = 300 if n < 1000 else 80
+    for _ in range(trials):
+        w = [f"w{r.randrange(3000)}" for _ in range(n)]
         v = list(w)
-        for i in r.sample(range(300), 60):
+        for i in r.sample(range(n), n // 5):
             v[i] = f"n{r.randrange(10**6)}"
         texts += [" ".join(w), " ".join(v)]
-    rows, s = omh.order_min_hash(*shingle_hashes(*word_hashes(pa.array(texts), True), omh.SHINGLE))
-    assert len(rows) == 800 and (s[::2] == s[1::2]).any(1).mean() >= 0.98
+    words = word_hashes(pa.array(texts), True)
+    for levels in (omh.LEVELS, omh.WORDS):
+        row, key = omh.sketch_rows(*words, levels)
+        sets = [set(key[row == i].tolist()) for i in range(2 * trials)]
+        assert sum(bool(sets[2 * i] & sets[2 * i + 1]) for i in range(trials)) >= 0.92 * trials
+
+
+def test_pairs_across_classes(spark):
+    """In small buckets all pairs of different classes, in large ones those with the text that meets most, also where a bucket fills many batches."""
+    r = random.Random(4)
+    rows = []
+    for key in range(60):
+        n = r.choice([1, 2, 3, 8, 9, 700 if key % 20 == 0 else 5])
+        rows += [(key, 1000 * key + i, r.choice([1, 2, 1000 * key + i]), (r.randrange(9) << omh._MEETS) | 100) for i in range(n)]
+    got = {(x.a, x.b, x.large) for x in omh._across(spark.createDataFrame(rows, "key long, doc_id long, comp long, info long").repartition(5), 0.8).collect()}
+    expected = set()
+    for key in range(60):
+        own = sorted(((-i, d, c) for k, d, c, i in rows if k == key))
+        if len(own) <= omh.SMALL:
+            expected |= {(min(a, b), max(a, b), False) for (_, a, c), (_, b, e) in itertools.combinations(own, 2) if c != e}
+        else:
+            expected |= {(min(own[0][1], b), max(own[0][1], b), True) for _, b, c in own[1:] if c != own[0][2]}
+    assert got == expected
+    every = {(x.a, x.b) for x in omh._every(spark.createDataFrame(rows, "key long, doc_id long, comp long, info long"), 0.8).collect()}
+    assert every == {(min(a, b), max(a, b)) for key in range(60) for (a, c), (b, e) in itertools.combinations([(d, c) for k, d, c, _ in rows if k == key], 2) if c != e}
+
+
+def test_similarity_below_the_sketches(spark):
+    with pytest.raises(ValueError):
+        omh.near_duplicates(spark.createDataFrame([], SCHEMA), 0.5)
