@@ -6,7 +6,6 @@ thousands of near copies is joined once, through a few of its members, and costs
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +46,8 @@ FIRST = 16
 #: Texts of a bucket of up to SMALL are compared pair by pair, of a larger one with one text first.
 SMALL = 8
 BLOCK = 256
+#: Cells of a text's word counts, which tell that two texts have too few words in common.
+CELLS = 1024
 
 
 def labelled(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -82,62 +83,42 @@ def _common_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(in_a, np.diff(np.append(first, len(v))) - in_a).sum())
 
 
-#: In the first try diagonals go that lag so many words behind the furthest one; edits rarely come in such runs.
-LAG = 40
-
-
-def banded_distance(a: np.ndarray, b: np.ndarray, most: int, lag: int | None = LAG) -> int | None:
+def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Word edit distance of a and b if it is at most most, else None.
 
-    The alignment stays in the band of diagonals that `most` edits can reach. For 1, 2, ... edits it keeps how far each
-    diagonal gets; matching runs are skipped with the diagonal's list of mismatches, made when it is first entered. With a
-    lag, diagonals far behind are given up: what is found then is an alignment, not always the shortest; where none is found
-    the whole band is searched.
+    The alignment stays in the band of diagonals that `most` edits can reach. A column of the band is four bit vectors (steps
+    down and along the table, plus and minus one), so all of its cells are computed together; the cell on the last diagonal
+    counts the edits, which never decrease along it.
     """
     a, b = _trim(a, b)
+    if len(a) < len(b):
+        a, b = b, a
     la, lb = len(a), len(b)
-    if abs(la - lb) > most:
+    if la - lb > most:
         return None
-    if not la or not lb:
-        return la + lb
-    if max(la, lb) - _common_words(a, b) > most:  # too few common words in whatever order
+    if not lb:
+        return la
+    if la - _common_words(a, b) > most:  # too few common words in whatever order
         return None
-    misses: dict[int, tuple[list[int], int]] = {}
-
-    def slide(k: int, i: int) -> int:
-        if k not in misses:
-            low, high = max(0, -k), min(la, lb - k)
-            misses[k] = ((np.flatnonzero(a[low:high] != b[low + k : high + k]) + low).tolist(), high)
-        at, high = misses[k]
-        p = bisect_left(at, i)
-        return at[p] if p < len(at) else high
-
-    goal = lb - la
-
-    def search(lag: int | None) -> int | None:
-        reach = {0: slide(0, 0)}
-        for e in range(most + 1):
-            if reach.get(goal) == la:
-                return e
-            if e == most:
-                return None
-            if lag is not None:
-                front = max(2 * i + k for k, i in reach.items()) - lag
-                reach = {k: i for k, i in reach.items() if 2 * i + k >= front}
-            new: dict[int, int] = {}
-            left = most - e - 1
-            for k in sorted({k + d for k in reach for d in (-1, 0, 1)}):
-                if -la <= k <= lb and abs(goal - k) <= left:
-                    i = max(reach.get(k, -2) + 1, reach.get(k - 1, -1), reach.get(k + 1, -2) + 1)
-                    if i >= 0 and i + k >= 0:
-                        new[k] = slide(k, min(i, la, lb - k))
-            if not new:
+    below = (most - (la - lb)) // 2
+    width = la - lb + 2 * below + 1
+    full, last = (1 << width) - 1, 1 << (below + la - lb)
+    places: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        places[w] = places.get(w, 0) | 1 << (i + below)
+    edits = la - lb
+    up, down = full >> below << below, 0
+    for j, w in enumerate(b.tolist()):
+        same = places.get(w, 0) >> j & full
+        level = (((same & up) + up) ^ up | same | down) & full
+        plus, minus = down | full & ~(level | up), level & up
+        if not level & last:
+            edits += 1
+            if edits > most:
                 return None
-            reach = new
-        return None
-
-    found = search(lag)
-    return search(None) if found is None and lag is not None else found
+        level >>= 1
+        up, down = minus | full & ~(level | plus), level & plus
+    return edits
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float | None:
@@ -247,7 +228,27 @@ _MANY = 32
 _MEETS = 33
 
 
-def _entries(texts: DataFrame, levels: tuple[Level, ...], first: int, last: int | None, gather: bool) -> DataFrame:
+def _profiles(words: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """How many words of each row fall in each of CELLS cells; empty where a count would not fit."""
+    out = []
+    for r in range(len(offsets) - 1):
+        c = np.bincount((words[offsets[r] : offsets[r + 1]] >> np.uint64(54)).astype(np.int64), minlength=CELLS)
+        out.append(c.astype(np.uint16).tobytes() if c.max() < 1 << 16 else b"")
+    return out
+
+
+def _common_at_most(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """For every two of a and b at most how many words they have in common."""
+    out = np.full((len(a), len(b)), np.iinfo(np.int64).max)
+    one, two = (np.flatnonzero([len(x) > 0 for x in s]) for s in (a, b))
+    if len(one) and len(two):
+        other = np.stack([np.frombuffer(b[j], np.uint16) for j in two])
+        for i in one:
+            out[i, two] = np.minimum(np.frombuffer(a[i], np.uint16), other).sum(1, dtype=np.int64)
+    return out
+
+
+def _entries(texts: DataFrame, levels: tuple[Level, ...], first: int, last: int | None, gather: bool, profiles: bool = False) -> DataFrame:
     """(key, doc_id, comp, info) for the sketches of texts (doc_id, text, comp, meets). info: meets, whether the row stands for several, words.
 
     gather: of the texts of a batch that have one class and share a key, the one that meets most stands for all; so the many
@@ -272,9 +273,16 @@ def _entries(texts: DataFrame, levels: tuple[Level, ...], first: int, last: int
                 bit = np.concatenate([np.zeros(int((~shared).sum()), np.int64), several.astype(np.int64) << _MANY])
             else:
                 keep, bit = np.arange(len(row)), np.zeros(len(row), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(doc[row[keep]]), pa.array(comp[row[keep]]), pa.array(info[row[keep]] | bit)], ["key", "doc_id", "comp", "info"])
+            made = [pa.array(key[keep].view(np.int64)), pa.array(doc[row[keep]]), pa.array(comp[row[keep]]), pa.array(info[row[keep]] | bit)]
+            if not profiles:
+                yield pa.RecordBatch.from_arrays(made, ["key", "doc_id", "comp", "info"])
+                continue
+            own = pa.array(_profiles(words, offsets), pa.binary())
+            for i in range(0, len(keep), 2048):
+                yield pa.RecordBatch.from_arrays([*[m.slice(i, 2048) for m in made], own.take(pa.array(row[keep[i : i + 2048]]))], ["key", "doc_id", "comp", "info", "profile"])
 
-    return texts.select("doc_id", "text", "comp", "meets").mapInArrow(run, "key bigint, doc_id bigint, comp bigint, info bigint")
+    schema = "key bigint, doc_id bigint, comp bigint, info bigint"
+    return texts.select("doc_id", "text", "comp", "meets").mapInArrow(run, f"{schema}, profile binary" if profiles else schema)
 
 
 def _near(one: np.ndarray, two: np.ndarray, similarity: float) -> np.ndarray:
@@ -349,42 +357,51 @@ def _across(entries: DataFrame, similarity: float) -> DataFrame:
 
 
 def _every(entries: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of different classes that share a key: buckets are cut into blocks of about BLOCK, and every two blocks are a group of their own."""
+    """All pairs (a, b, ca, cb) of different classes that share a key and may have enough words in common, by their profiles.
+
+    Buckets are cut into blocks of about BLOCK, and every two blocks are a group of their own: the work grows with the square
+    of a bucket, in groups of bounded size, and only pairs that profiles cannot tell apart leave them.
+    """
     sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d")
     placed = entries.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "comp", "info")
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "comp", "info", "profile")
+    words = np.int64((1 << _MANY) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(x: list[np.ndarray]) -> pa.RecordBatch:
-            first = np.flatnonzero(np.concatenate([[True], (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1]) | (x[2][1:] != x[2][:-1])]))
-            made = []
-            for f, to in zip(first, np.append(first[1:], len(x[0])), strict=True):
-                block, doc, comp, info = (c[f:to] for c in x[3:])
-                r, c = np.nonzero(np.triu((comp[:, None] != comp[None]) & ((x[1][f] == x[2][f]) | (block[:, None] != block[None])), 1))
-                made.append([doc[r], doc[c], comp[r], comp[c], np.zeros(len(r), bool), info[r], info[c]])
-            return _met(made, similarity)
+    def pairs(x: list) -> Iterator[list[np.ndarray]]:
+        """Of whole groups, whose rows of one block stand together."""
+        first = np.flatnonzero(np.concatenate([[True], (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1]) | (x[2][1:] != x[2][:-1])]))
+        for f, to in zip(first, np.append(first[1:], len(x[0])), strict=True):
+            block, doc, comp, n = x[3][f:to], x[4][f:to], x[5][f:to], x[6][f:to] & words
+            both = (comp[:, None] != comp[None]) & ((x[1][f] == x[2][f]) | (block[:, None] != block[None]))
+            both &= _near(n[:, None], n[None], similarity)
+            both = np.triu(both, 1)
+            if both.any():
+                both &= _common_at_most(x[7][f:to], x[7][f:to]) >= similarity * np.maximum(n[:, None], n[None]) - 1e-6
+            r, c = np.nonzero(both)
+            yield [doc[r], doc[c], comp[r], comp[c], np.zeros(len(r), bool), n[r], n[c]]
 
-        held: list[np.ndarray] | None = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [b.column(i).to_numpy() for i in range(7)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held is not None else new
-            differ = (held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1])
-            cut = int(np.flatnonzero(differ)[-1]) + 1 if differ.any() else 0
+            new = [*[b.column(i).to_numpy() for i in range(7)], b.column(7).to_pylist()]
+            held = [*[np.concatenate(y) for y in zip(held[:7], new[:7], strict=True)], held[7] + new[7]] if held is not None else new
+            differ = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))
+            cut = int(differ[-1]) + 1 if len(differ) else 0
             if cut:
-                yield out([x[:cut] for x in held])
-                held = [x[cut:] for x in held]
+                yield _met(list(pairs([y[:cut] for y in held])), similarity)
+                held = [y[cut:] for y in held]
         if held is not None:
-            yield out(held)
+            yield _met(list(pairs(held)), similarity)
 
     dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
-    return dealt.mapInArrow(run, _MET).where("near").select("a", "b").distinct()
+    return dealt.mapInArrow(run, _MET).where("near").select("a", "b", "ca", "cb").distinct()
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) that align, with their likeness. Texts (doc_id, text) go on as 32-bit hashes of their words."""
+    """Those of pairs (a, b, ca, cb) that align, with their likeness. Texts (doc_id, text) go on as 32-bit hashes of their words."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = texts.select("doc_id", "text").join(broadcast_if_small(ids, 1_000_000), "doc_id", "left_semi")
 
@@ -398,11 +415,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            a, b, wa, wb = (x.column(x.schema.get_field_index(n)).to_pylist() for n in ("a", "b", "wa", "wb"))
-            kept = [(i, j, s) for i, j, u, v in zip(a, b, wa, wb, strict=True) if (s := alike(np.frombuffer(u, np.uint32), np.frombuffer(v, np.uint32), similarity)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.float64())], ["a", "b", "likeness"])
+            of = [alike(np.frombuffer(u, np.uint32), np.frombuffer(v, np.uint32), similarity) for u, v in zip(x.column(4).to_pylist(), x.column(5).to_pylist(), strict=True)]
+            kept = pa.array([i for i, s in enumerate(of) if s is not None], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[x.column(i).take(kept) for i in range(4)], pa.array([s for s in of if s is not None], pa.float64())], ["a", "b", "ca", "cb", "likeness"])
 
-    return stored(both.select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint, likeness double").dropDuplicates(["a", "b"]), "omh-links")
+    return stored(both.select("a", "b", "ca", "cb", "wa", "wb").mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint, likeness double").dropDuplicates(["a", "b"]), "omh-links")
 
 
 def _first_wave(texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -421,10 +438,23 @@ def _first_wave(texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFra
     large = large.join(broadcast_if_small(meets, 1_000_000), "doc_id")
     middle = large.groupBy("key").agg(F.max(F.struct("meets", "doc_id", "n_words")).alias("m")).select("key", F.col("m.doc_id").alias("c"), F.col("m.n_words").alias("wb"))
     star = large.join(middle, "key").where("doc_id <> c").withColumnRenamed("n_words", "wa").where(near).select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
-    return _verify(stored(pairs.union(star).distinct(), "omh-pairs"), texts, similarity), meets
+    pairs = stored(pairs.union(star).distinct().select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), "omh-pairs")
+    return _verify(pairs, texts, similarity), meets
+
+
+def _merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after links between classes (ca, cb) of texts; without links, the classes as they were."""
+    if classes is not None and links.isEmpty():
+        return classes
+    now = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    if classes is None:
+        return stored(now, "omh-classes")
+    now = stored(now, "omh-joined")
+    moved = classes.join(broadcast_if_small(now.select(F.col("node").alias("component"), F.col("component").alias("to")), 1_000_000), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return stored(moved.unionByName(now.join(classes, "node", "left_anti")), "omh-classes")
 
 
-def near_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of all texts (doc_id, text) that alike ones tie together; texts of the same doc_id are one node.
 
     Two texts that share a sketch are compared, unless they are in one class already: after FIRST sketches of each text classes
@@ -435,38 +465,34 @@ def near_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     plain = texts.withColumns({"comp": F.col("doc_id"), "meets": F.lit(0).cast("bigint")})
     links, meets = _first_wave(plain, similarity)
+    classes = _merged(None, links)
 
-    def labelled_texts(links: DataFrame, some: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """Texts with their classes by links; only those of the doc_ids in some, if given."""
-        classes = stored(components(links.select("a", "b")), "omh-classes")
+    def with_classes(some: DataFrame | None = None) -> DataFrame:
+        """Texts with their classes; only those of the doc_ids in some, if given."""
         label = classes.withColumnRenamed("node", "doc_id").join(meets, "doc_id", "full")
         label = broadcast_if_small(stored(label.select("doc_id", F.coalesce("component", "doc_id").alias("c"), F.coalesce("meets", F.lit(0)).alias("m")), "omh-labels"), 1_000_000)
         rows = texts if some is None else texts.join(broadcast_if_small(some, 1_000_000), "doc_id", "left_semi")
-        rows = rows.join(label, "doc_id", "left").select("doc_id", "text", F.coalesce("c", "doc_id").alias("comp"), F.coalesce("m", F.lit(0)).cast("bigint").alias("meets"))
-        return rows, classes
+        return rows.join(label, "doc_id", "left").select("doc_id", "text", F.coalesce("c", "doc_id").alias("comp"), F.coalesce("m", F.lit(0)).cast("bigint").alias("meets"))
 
-    def unresolved(met: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
-        """doc_ids of the classes that met in a large bucket without aligning there."""
+    def wave(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links across classes, and the doc_ids of the classes that met in a large bucket without aligning there."""
+        met = stored(_across(entries, similarity), "omh-met")
+        links = _verify(met.where("near").select("a", "b", "ca", "cb").distinct(), texts, similarity)
         loose = met.where("large").join(links.select("a", "b"), ["a", "b"], "left_anti")
-        comps = stored(loose.select(F.col("ca").alias("component")).union(loose.select("cb")).distinct(), "omh-open")
+        comps = loose.select(F.explode(F.array("ca", "cb")).alias("component")).distinct()
+        comps = stored(comps, "omh-open")
         inside = classes.join(broadcast_if_small(comps, 1_000_000), "component", "left_semi").select("node")
-        return stored(inside.union(comps).toDF("doc_id").distinct(), "omh-hot")
+        return links, stored(inside.union(comps).toDF("doc_id").distinct(), "omh-hot")
 
-    rows, classes = labelled_texts(links)
-    met = stored(_across(_entries(rows, LEVELS, FIRST, None, True), similarity), "omh-met")
-    more = _verify(stored(met.where("near").select("a", "b").distinct(), "omh-pairs"), texts, similarity)
-    hot = unresolved(met, more, classes)
-    links = links.union(more)
+    links, hot = wave(_entries(with_classes(), LEVELS, FIRST, None, True))
+    classes = _merged(classes, links)
     if not hot.isEmpty():
-        rows, classes = labelled_texts(links, hot)
-        met = stored(_across(_entries(rows, WORDS, 0, None, True), similarity), "omh-met")
-        more = _verify(stored(met.where("near").select("a", "b").distinct(), "omh-pairs"), texts, similarity)
-        hot = unresolved(met, more, classes)
-        links = links.union(more)
+        links, hot = wave(_entries(with_classes(hot), WORDS, 0, None, True))
+        classes = _merged(classes, links)
         if not hot.isEmpty():
-            rows, classes = labelled_texts(links, hot)
-            links = links.union(_verify(stored(_every(_entries(rows, WORDS, 0, None, False), similarity), "omh-pairs"), texts, similarity))
-    return links
+            pairs = stored(_every(_entries(with_classes(hot), WORDS, 0, None, False, True), similarity), "omh-pairs")
+            classes = _merged(classes, _verify(pairs, texts, similarity))
+    return classes
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -498,11 +524,13 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
         own = with_head.where("head = doc_id").select("doc_id", "digest").distinct()
         texts = texts.withColumn("digest", digest).dropDuplicates(["doc_id", "digest"]).join(own, ["doc_id", "digest"], "left_semi")
         texts = stored(texts.select("doc_id", "text"), "omh-texts")
-    links = near_links(texts, similarity).select("a", "b")
-    # one doc_id with several texts ties them
-    again = broadcast_if_small(twice, 1_000_000)
-    same = with_head.where("head <> doc_id").join(again, "doc_id", "left_semi").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    reach = stored(components(links.union(same)).withColumnRenamed("node", "head"), "omh-reach")
+    reach = near_classes(texts, similarity)
+    if not twice.isEmpty():  # one doc_id with several texts ties them
+        again = broadcast_if_small(twice, 1_000_000)
+        same = stored(with_head.where("head <> doc_id").join(again, "doc_id", "left_semi").select("head", "doc_id").distinct(), "omh-same")
+        reach = reach.select(F.col("node").alias("a"), F.col("component").alias("b")).union(same)
+        reach = stored(components(reach), "omh-reach")
+    reach = reach.withColumnRenamed("node", "head")
     rows = with_head.join(broadcast_if_small(reach, 1_000_000), "head", "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "head"))
     return rows.select("doc_id", class_id.alias("class_id"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))

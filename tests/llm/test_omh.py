@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,8 @@ def distance(a, b):
 @given(st.lists(st.integers(0, 4), max_size=24), st.lists(st.integers(0, 4), max_size=24), st.integers(0, 24))
 def test_whole_band_distance(a, b, most):
     d = distance(a, b)
-    got = omh.banded_distance(np.array(a, np.uint32), np.array(b, np.uint32), most, None)
+    got = omh.banded_distance(np.array(a, np.uint32), np.array(b, np.uint32), most)
     assert got == (d if d <= most else None)
-    near = omh.banded_distance(np.array(a, np.uint32), np.array(b, np.uint32), most)
-    assert (near is None) == (d > most) and (near is None or d <= near <= most)
 
 
 def test_labels_and_order():
@@ -200,10 +199,23 @@ def test_pairs_across_classes(spark):
         else:
             expected |= {(min(own[0][1], b), max(own[0][1], b), True) for _, b, c in own[1:] if c != own[0][2]}
     assert got == expected
-    every = {(x.a, x.b) for x in omh._every(spark.createDataFrame(rows, "key long, doc_id long, comp long, info long"), 0.8).collect()}
+    blank = spark.createDataFrame(rows, "key long, doc_id long, comp long, info long").selectExpr("*", "X'' AS profile")
+    every = {(x.a, x.b) for x in omh._every(blank, 0.8).collect()}
     assert every == {(min(a, b), max(a, b)) for key in range(60) for (a, c), (b, e) in itertools.combinations([(d, c) for k, d, c, _ in rows if k == key], 2) if c != e}
 
 
+def test_profiles_never_part_alike_texts():
+    r = random.Random(5)
+    texts = [[f"w{r.randrange(40)}" for _ in range(r.randrange(1, 900))] for _ in range(30)]
+    words, offsets = word_hashes(pa.array([" ".join(t) for t in texts] + ["a " * 70_000]), True)
+    own = omh._profiles(words, offsets)
+    most = omh._common_at_most(own, own)
+    assert own[-1] == b"" and (most[-1] > 10**9).all()
+    for i, j in itertools.product(range(30), repeat=2):
+        common = sum((Counter(texts[i]) & Counter(texts[j])).values())
+        assert common <= most[i, j] <= common + 200
+
+
 def test_similarity_below_the_sketches(spark):
     with pytest.raises(ValueError):
         omh.near_duplicates(spark.createDataFrame([], SCHEMA), 0.5)
