@@ -1,9 +1,10 @@
 """A hashed maximum-entropy language model: softmax over word classes on n-gram and skip features, then the word in its class.
 
-log P(token) = log P(class | history) + log P(word | class). The first factor is a softmax over CLASSES weights summed from
-hashed features of the three tokens before; the second is the class's own word distribution, with a share for words that
-training has not seen. Both sum to one, so scores are log probabilities over the same outcomes as the unigram base: all known
-words and the unknown ones.
+log P(token) = log P(class | history) + log P(word | class, history). The first factor is a softmax over CLASSES weights summed
+from hashed features of the three tokens before. The second is, in the classes of the TOP commonest words, a softmax over the
+class's words on the word itself and the class of the token before; in the others, whose words are rare, the word's share of
+its class. Words that training has not seen have a part of those classes, which is spread over the number of such words as
+estimated from words seen once and twice, so an unseen word has a probability as a known one has. All factors sum to one.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ _PAIR = CLASSES + 1
 #: Features: bias, word before, word before that (skip), classes of both, classes of the first and third before (skip).
 _BASES = np.cumsum([0, 1, _WORD_CELLS, _WORD_CELLS, _PAIR * _PAIR, _PAIR * _PAIR])
 CELLS = int(_BASES[-1])
+#: Below them in the table of weights: of each top word after each class, _PAIR x TOP numbers in rows of CLASSES.
+ROWS = CELLS + _PAIR * TOP // CLASSES
 BLOCK = 256
 #: Tasks' updates are summed by a tree: FAN rows to a group, LEVELS levels.
 FAN, LEVELS = 64, 3
@@ -80,12 +83,28 @@ class Vocabulary:
     head_count: np.ndarray
     head_log: np.ndarray  # log10 P(word | class) of head words
     known_log: np.ndarray  # by ending: what log10(count) of another known word needs to become log10 P(word | class)
-    unknown_log: np.ndarray  # by ending: log10 P(unknown | class)
+    unknown_log: np.ndarray  # by ending: log10 P(one unseen word | class)
+    unseen: np.ndarray  # by class: how many words of it training is taken not to have seen
+    top_log: np.ndarray  # log P(word | class) of top words, in the order of top
     class_share: np.ndarray
 
     def classes(self, ids: np.ndarray) -> np.ndarray:
         return _lookup(ids, self.top, self.top_class, self.cell_class[(ids & np.uint64(0xFF)).astype(np.int64)])
 
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Where ids are among the top words, -1 for others."""
+        return _lookup(ids, self.top, np.arange(len(self.top)), np.full(len(ids), -1))
+
+    def word_logs(self, w: np.ndarray) -> np.ndarray:
+        """(class before, top word): log P(word | its class, class before), from the weights."""
+        z = w[CELLS:].reshape(_PAIR, TOP)[:, : len(self.top)].astype(np.float64) + self.top_log
+        order = np.argsort(self.top_class, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(self.top_class[order]) > 0])) if len(order) else np.zeros(0, np.int64)
+        if len(order):
+            total = np.add.reduceat(np.exp(z[:, order]), first, axis=1)
+            z[:, order] -= np.repeat(np.log(total), np.diff(np.append(first, len(order))), axis=1)
+        return z
+
 
 def _lookup(ids: np.ndarray, keys: np.ndarray, values: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
     if not len(keys):
@@ -177,16 +196,22 @@ def build_vocabulary(docs: DataFrame, counts: DataFrame) -> Vocabulary:
     cell_class = SINGLES + CLUSTERS + _cluster(shape[len(top) :], weight[len(top) :] + 1e-3, CLASSES - SINGLES - CLUSTERS)
     # words outside the top, by ending: tokens, and words seen once
     cell = F.col("id").bitwiseAND(255)
-    by_cell = counts.groupBy(cell.alias("cell")).agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("bigint")).alias("once")).toPandas()
-    tokens_of, once_of = np.zeros(256), np.zeros(256)
-    tokens_of[by_cell["cell"].to_numpy(int)], once_of[by_cell["cell"].to_numpy(int)] = by_cell["n"].to_numpy(float), by_cell["once"].to_numpy(float)
+    by_cell = counts.groupBy(cell.alias("cell")).agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("bigint")).alias("once"), F.sum((F.col("c") == 2).cast("bigint")).alias("twice")).toPandas()
+    tokens_of, once_of, twice_of = np.zeros((3, 256))
+    for of, name in ((tokens_of, "n"), (once_of, "once"), (twice_of, "twice")):
+        of[by_cell["cell"].to_numpy(int)] = by_cell[name].to_numpy(float)
     order = np.argsort(ids)
     ids, c = ids[order], c[order]
     in_top = np.isin(ids, top)
     np.subtract.at(tokens_of, (ids[in_top] & np.uint64(0xFF)).astype(int), c[in_top])
+    seen_once, seen_twice = float(once_of.sum()), float(twice_of.sum())
     np.subtract.at(once_of, (ids[in_top] & np.uint64(0xFF)).astype(int), (c[in_top] == 1).astype(float))
     n_class, once_class = np.bincount(cell_class, tokens_of, CLASSES), np.bincount(cell_class, once_of, CLASSES)
     unknown = (once_class + 0.5) / (n_class + 2.0)
+    # as many words are unseen as once ** 2 / (2 * twice), and at least as many as were seen: the classes have them by words seen once
+    unseen = max(seen_once**2 / (2 * max(seen_twice, 1.0)), float(total.v), 1.0)
+    rare_class = np.bincount(cell_class, minlength=CLASSES) > 0
+    unseen_class = np.maximum(unseen * np.where(rare_class, once_class + 0.5, 0.0) / np.where(rare_class, once_class + 0.5, 0.0).sum(), 1.0)
     top_count = _lookup(top, ids, c, np.zeros(len(top), np.int64))
     n_top = np.bincount(top_class, top_count, CLASSES)
     known_log = np.log10((1 - unknown) / np.maximum(n_class, 1.0))[cell_class]
@@ -194,7 +219,8 @@ def build_vocabulary(docs: DataFrame, counts: DataFrame) -> Vocabulary:
     own = (ids & np.uint64(0xFF)).astype(int)
     head_log = np.where(head_class >= 0, np.log10(np.maximum(c, 1) / np.maximum(n_top[head_class], 1.0)), np.log10(np.maximum(c, 1)) + known_log[own])
     share = np.maximum(n_class + n_top, 0.0) + 0.5
-    return Vocabulary(int(total.n), int(total.v), top, top_class, cell_class, ids, c, head_log, known_log, np.log10(unknown)[cell_class], share / share.sum())
+    top_log = np.log(np.maximum(top_count, 1) / np.maximum(n_top[top_class], 1.0))
+    return Vocabulary(int(total.n), int(total.v), top, top_class, cell_class, ids, c, head_log, known_log, np.log10(unknown / unseen_class)[cell_class], unseen_class, top_log, share / share.sum())
 
 
 def features(t: np.ndarray, offsets: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -216,6 +242,13 @@ def features(t: np.ndarray, offsets: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return out
 
 
+def class_before(offsets: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """The class of the token before each token, CLASSES at a row's start."""
+    out = np.concatenate([[CLASSES], cls[:-1]]) if len(cls) else cls
+    out[offsets[:-1]] = CLASSES
+    return out
+
+
 def logits(w: np.ndarray, f: np.ndarray) -> np.ndarray:
     z = w[f[:, 1]]
     for k in (2, 3, 4):
@@ -245,16 +278,31 @@ def learn(w: np.ndarray, state: np.ndarray, seen: np.ndarray, f: np.ndarray, cls
         seen[cells] += counts
 
 
+def learn_words(w: np.ndarray, state: np.ndarray, seen: np.ndarray, v: Vocabulary, before: np.ndarray, place: np.ndarray) -> None:
+    """One gradient step for the top words in a batch: what was seen after each class less what the softmax of the word's class expects."""
+    n = len(v.top)
+    top = place >= 0
+    counts = np.bincount(before[top] * n + place[top], minlength=_PAIR * n).reshape(_PAIR, n).astype(np.float64)
+    of_class = np.bincount(before[top] * CLASSES + v.top_class[place[top]], minlength=_PAIR * CLASSES).reshape(_PAIR, CLASSES)
+    g = np.zeros((_PAIR, TOP), np.float32)
+    g[:, :n] = counts - of_class[:, v.top_class] * np.exp(v.word_logs(w))
+    g = g.reshape(-1, CLASSES)
+    moved = state[CELLS:] + g * g
+    state[CELLS:] = moved
+    w[CELLS:] += RATE * g / np.sqrt(moved + 1e-6)
+    seen[CELLS:] += np.repeat(np.bincount(before, minlength=_PAIR), TOP // CLASSES)
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after one pass over the training documents, in rounds over disjoint parts of them.
 
     In a round each task makes gradient updates over its rows, starting from the round's weights, and gives for each cell its
     update and the tokens behind it. Blocks of cells are summed by token counts in a tree of LEVELS levels whose groups have at
     most FAN rows, however many tasks there are; one row of each block for every FAN ** LEVELS tasks is left. The model,
-    CELLS x CLASSES numbers whatever the corpus, goes through the driver to the next round's tasks.
+    ROWS x CLASSES numbers whatever the corpus, goes through the driver to the next round's tasks.
     """
     spark = docs.sparkSession
-    w = np.zeros((CELLS, CLASSES), np.float32)
+    w = np.zeros((ROWS, CLASSES), np.float32)
     w[0] = np.log(vocabulary.class_share)
     shared = spark.sparkContext.broadcast(vocabulary)
     schema = "block int, salt int, seen binary, moved binary"
@@ -265,16 +313,23 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
             from pyspark import TaskContext
 
             v, w = shared.value, start.value.copy()
-            state, seen = np.full(w.shape, 1.0, np.float32), np.zeros(CELLS, np.float64)
+            state, seen = np.full(w.shape, 1.0, np.float32), np.zeros(ROWS, np.float64)
+            held: list[tuple[np.ndarray, np.ndarray]] = []
             for _, t, offsets in _slices(batches, 0):
                 cls = v.classes(t)
                 f = features(t, offsets, cls)
                 for at in range(0, len(t), BATCH):
                     learn(w, state, seen, f[at : at + BATCH], cls[at : at + BATCH])
+                held.append((class_before(offsets, cls), v.places(t)))
+                if sum(len(h[0]) for h in held) >= 8 * BATCH:
+                    learn_words(w, state, seen, v, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held = []
+            if held:
+                learn_words(w, state, seen, v, *(np.concatenate(x) for x in zip(*held, strict=True)))
             if seen.any():
                 delta = (w - start.value).astype(np.float64) * seen[:, None]
                 salt = TaskContext.get().partitionId() // FAN
-                for b in range(0, CELLS, BLOCK):
+                for b in range(0, ROWS, BLOCK):
                     if seen[b : b + BLOCK].any():
                         yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK], pa.int32()), pa.array([salt], pa.int32()), pa.array([seen[b : b + BLOCK].tobytes()]), pa.array([delta[b : b + BLOCK].astype(np.float32).tobytes()])], ["block", "salt", "seen", "moved"])
 
@@ -287,9 +342,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
         sums = part.mapInArrow(run, schema)
         for _ in range(LEVELS):
             sums = sums.groupBy("block", "salt").applyInPandas(add, schema)
-        tokens_seen, moved = np.zeros(CELLS), np.zeros((CELLS, CLASSES))
+        tokens_seen, moved = np.zeros(ROWS), np.zeros((ROWS, CLASSES))
         for r in sums.collect():
-            at = slice(r.block * BLOCK, min((r.block + 1) * BLOCK, CELLS))
+            at = slice(r.block * BLOCK, min((r.block + 1) * BLOCK, ROWS))
             tokens_seen[at] += np.frombuffer(r.seen)
             moved[at] += np.frombuffer(r.moved, np.float32).reshape(-1, CLASSES)
         w = w + (moved / np.maximum(tokens_seen, 1.0)[:, None]).astype(np.float32)
@@ -313,6 +368,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w = model.value
+        words = v.word_logs(w) / np.log(10)
         for part, t, offsets in _slices(batches, 2):
             cls = v.classes(t)
             f = features(t, offsets, cls)
@@ -324,6 +380,9 @@ def score_documents(documents: DataFrame) -> DataFrame:
             place[place == len(v.head)] = 0
             known = (v.head[place] == t) if len(v.head) else np.zeros(len(t), bool)
             log = chosen / np.log(10) + (np.where(known, v.head_log[place], 0.0) if len(v.head) else 0.0)
+            top = v.places(t)
+            is_top = np.flatnonzero((top >= 0) & known)
+            log[is_top] += words[class_before(offsets, cls)[is_top], top[is_top]] - v.head_log[place[is_top]]
             base = np.where(known, np.log10(v.head_count[place] + 1.0), 0.0) if len(v.head) else np.zeros(len(t))
             starts = offsets[:-1]
             sums = [np.add.reduceat(x, starts) for x in (log, base, known.astype(np.int64))] if len(t) else [np.zeros(0)] * 3

@@ -61,9 +61,48 @@ def test_probabilities_sum_to_one(spark):
     ids = np.array(list(every), np.int64).view(np.uint64)
     cls = v.classes(ids)
     assert abs(sum(10 ** v.head_log[np.searchsorted(v.head, i)] for i, c in zip(ids, cls) if c == cls[0]) - 1) < 1e-6
+    logs = v.word_logs(w)
+    assert np.abs(w[maxent.CELLS :]).max() > 0.01  # learned
+    for c in np.unique(v.top_class):
+        assert np.allclose(np.exp(logs[:, v.top_class == c]).sum(1), 1)
+    # unseen words and the known ones beside them fill the classes of rare words
+    rare = np.flatnonzero(~np.isin(ids, v.top))
+    for c in np.unique(v.cell_class):
+        known = sum(10 ** (v.known_log[int(ids[i]) & 0xFF] + math.log10(every[int(ids[i : i + 1].view(np.int64)[0])])) for i in rare if cls[i] == c)
+        unseen = v.unseen[c] * 10 ** v.unknown_log[np.flatnonzero(v.cell_class == c)[0]]
+        assert known == 0 or abs(known + unseen - 1) < 1e-6
     assert (v.unknown_log < 0).all() and v.n == sum(every.values()) and v.v == len(every)
 
 
+def prose(seed, n, first):
+    """Words of a Zipf-like vocabulary, each of which has a few words that mostly follow it."""
+    r, order = random.Random(seed), random.Random(77)
+    names = ["".join(order.choice("abcdefghij") for _ in range(order.randrange(2, 9))) for _ in range(3000)]
+    after = [[int(3000 * order.random() ** 3) for _ in range(4)] for _ in range(3000)]
+    out = []
+    for i in range(n):
+        w, at = [], 0
+        for _ in range(150):
+            at = r.choice(after[at]) if r.random() < 0.6 else int(3000 * r.random() ** 3)
+            w.append(names[at])
+        out.append((first + i, " ".join(w)))
+    return out
+
+
+def test_noise_scores_below_prose_and_known_tokens_gain(spark):
+    """Held-out prose beats the base on known tokens alone; random strings score below it, token by token."""
+    r = random.Random(4)
+    held = [i for i in range(100_000, 103_000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = prose(1, 1500, 0)
+    clean = [(held[i], t) for i, (_, t) in enumerate(prose(2, 60, 0))]
+    noise = [(held[100 + i], " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(200))) for i in range(20)]
+    got = {x.doc_id: x for x in maxent.score_documents(spark.createDataFrame(train + clean + noise, "doc_id long, text string")).collect()}
+    each = lambda rows, c: sum(got[d][c] for d, _ in rows) / sum(got[d].n_tokens for d, _ in rows)
+    assert all(got[d].n_known == got[d].n_tokens for d, _ in clean)
+    assert each(clean, "score") > each(clean, "base_score") + 0.1
+    assert each(noise, "score") < each(clean, "score") - 1
+
+
 def test_updates_of_many_tasks_add_up(spark, monkeypatch):
     """Deep trees of small groups give the weights that one group gives; LEVELS too few leave rows that the driver adds."""
     df = spark.createDataFrame([(a, b) for a, b in texts(3, 150)], "doc_id long, text string").withColumn("held_out", maxent.held_out()).repartition(20, "doc_id")
