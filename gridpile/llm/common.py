@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- scratch tables
@@ -45,6 +46,28 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def number_repeats(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with column _nth: 0 for rows whose keys no other row has, else 1 to n over the n rows that share them, in any order.
+
+    Rows are numbered in the partitions they come from, and those numbers run on by the partitions' counts, so a key that very
+    many rows share is no group of one task. df is read more than once and should be cheap to read.
+    """
+    repeated = stored(df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeats")
+    if repeated.isEmpty():
+        return df.withColumn("_nth", F.lit(0).cast("bigint"))
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+    repeated = broadcast_if_small(repeated)
+    once = df.join(repeated, same(df, repeated), "left_anti").withColumn("_nth", F.lit(0).cast("bigint"))
+    again = df.join(repeated, same(df, repeated), "left_semi").withColumn("_i", F.monotonically_increasing_id())
+    again = stored(again.withColumn("_part", F.shiftright("_i", 33)), "repeated-rows")
+    parts = again.groupBy(*keys, "_part").agg(F.count("*").alias("_c"))
+    parts = parts.withColumn("_start", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_c")).drop("_c")
+    parts = broadcast_if_small(stored(parts, "repeat-parts"))
+    again = again.withColumn("_in_part", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_i")))
+    again = again.join(parts, same(again, parts) & (again["_part"] == parts["_part"])).select(*[again[c] for c in df.columns], (parts["_start"] + again["_in_part"]).alias("_nth"))
+    return once.unionByName(again)
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -67,3 +67,19 @@ def test_edges(spark):
     assert {r.taken for r in got if r.source == "y"} == {0}
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, None, None, 0, "", 0, "")], SCHEMA)).first().taken == 0
+
+
+@pytest.mark.parametrize("equal", [True, False])
+def test_repeated_and_null_ids(spark, equal):
+    """10,000 rows of one null id come near their target, equal texts or not; reruns agree as multisets; the mix follows."""
+    r = random.Random(3)
+    rows = [(None, "w " * (7 if equal else r.randrange(1, 40)), "a", 0, "", 0, "") for _ in range(10_000)] + [(i, "w " * r.choice([3, 400]), "b", 0, "", 0, "") for i in range(500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(df).collect()
+    for s in "ab":
+        own = [x for x in got if x.source == s]
+        assert all(x.taken <= 3 * x.size for x in own)
+        assert abs(sum(x.taken for x in own) - own[0].target) <= (7 if s == "a" else 200)
+    key = lambda x: (x.doc_id is None, x.doc_id or 0, x.size, x.taken)
+    assert sorted(map(key, got)) == sorted(map(key, mixing.mix(df.repartition(5)).collect()))
+    assert sum(len(x.text.split()) for x in mixing.apply_mix(df).collect()) == sum(x.taken for x in got)
