@@ -14,61 +14,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, text_or_empty, word_hashes
+from .common import mix, shingle_hashes, text_or_empty, word_hashes
 
 SHINGLE = 5
-#: Production fraction: one shingle in eight. A text of at most WHOLE distinct shingles keeps all of them (fraction 1); a
-#: comparison of two fractions is done at the smaller, which every sketch can be thinned to.
-SCALE, WHOLE = 8, 64
+#: The fraction: every shingle hash in the lowest quarter of the hash space is kept, of short texts as of books.
+SCALE = 4
 _BITS = 48
 
 
-def sketch_batch(texts: pa.Array, scale: int = SCALE, whole: int = WHOLE, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct retained hashes of all rows, the rows' offsets, and which rows kept all of their shingles."""
-    h, offsets = shingle_hashes(*word_hashes(texts, lower=True), k)
+def sketch_batch(texts: pa.Array, scale: int = SCALE, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct retained hashes of all rows, the rows' offsets, and a digest of each row's words in their order."""
+    words, at = word_hashes(texts, lower=True)
+    n = len(at) - 1
+    place = np.arange(len(words)) - np.repeat(at[:-1], np.diff(at))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words + mix(place.astype(np.uint64))), dtype=np.uint64)])
+    digest = mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64))
+    h, offsets = shingle_hashes(words, at, k)
     h >>= np.uint64(64 - _BITS)
-    n = len(offsets) - 1
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    below = h < np.uint64((1 << _BITS) // scale)
-    few = np.diff(offsets) <= whole * 4  # repeated shingles may bring a row of somewhat more under the limit
-    keep = below | few[row]
-    row, h, below = row[keep], h[keep], below[keep]
+    keep = h < np.uint64((1 << _BITS) // scale)
+    row, h = np.repeat(np.arange(n), np.diff(offsets))[keep], h[keep]
     order = np.lexsort((h, row))
-    row, h, below = row[order], h[order], below[order]
+    row, h = row[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    row, h, below = row[new], h[new], below[new]
-    entire = few & (np.bincount(row, minlength=n) <= whole)
-    keep = below | entire[row]
-    row, h = row[keep], h[keep]
-    return h, np.searchsorted(row, np.arange(n + 1)).astype(np.int64), entire
+    row, h = row[new], h[new]
+    return h, np.searchsorted(row, np.arange(n + 1)).astype(np.int64), digest
 
 
-def to_string(h: np.ndarray, entire: bool) -> str:
-    """'1:' or '<scale>:' and the retained hashes in ascending order, 12 hexadecimal digits each."""
+def to_string(h: np.ndarray, digest: int | None) -> str:
+    """'<scale>:<digest of the words>:' and the retained hashes in ascending order, 12 hexadecimal digits each; a united sketch has no digest."""
     big = h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-    return ("1:" if entire else f"{SCALE}:") + big.tobytes().hex()
+    return f"{SCALE}:{'' if digest is None else format(int(digest), '016x')}:{big.tobytes().hex()}"
 
 
-def from_string(s: str) -> tuple[np.ndarray, int]:
-    scale, _, digits = s.partition(":")
+def from_string(s: str) -> tuple[np.ndarray, int | None]:
+    scale, digest, digits = s.split(":")
+    if int(scale) != SCALE:
+        raise ValueError(f"a sketch of another fraction: 1/{scale}")
     raw = np.frombuffer(bytes.fromhex(digits), np.uint8).reshape(-1, 6)
     big = np.zeros((len(raw), 8), np.uint8)
     big[:, 2:] = raw
-    return big.view(">u8").ravel().astype(np.uint64), int(scale)
+    return big.view(">u8").ravel().astype(np.uint64), int(digest, 16) if digest else None
 
 
-def likeness(a: np.ndarray, a_all: bool, b: np.ndarray, b_all: bool, scale: int = SCALE) -> tuple[float, float, float]:
+def likeness(a: np.ndarray, a_digest: int | None, b: np.ndarray, b_digest: int | None) -> tuple[float, float, float]:
     """Estimates from two sketches: share of the smaller set found in the larger, containment of a in b, Jaccard.
 
-    Two texts without shingles are alike (1); where one side retained nothing the sketches give no evidence (0).
+    Texts of equal words are alike (1), also where nothing was retained; of other texts a side that retained nothing, as a short
+    text may, shows nothing in common (0).
     """
-    if a_all != b_all:
-        limit = np.uint64((1 << _BITS) // scale)
-        a, b = a[a < limit], b[b < limit]
+    if a_digest is not None and a_digest == b_digest:
+        return 1.0, 1.0, 1.0
     if not len(a) or not len(b):
-        same = float(not len(a) and not len(b) and a_all and b_all)
-        return same, same, same
+        return 0.0, 0.0, 0.0
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     place = np.searchsorted(large, small)
     place[place == len(large)] = 0
@@ -77,10 +75,8 @@ def likeness(a: np.ndarray, a_all: bool, b: np.ndarray, b_all: bool, scale: int
 
 
 def merge(a: str, b: str) -> str:
-    """The sketch of two texts' united shingles, at the smaller of their fractions."""
-    (x, p), (y, q) = from_string(a), from_string(b)
-    limit = np.uint64((1 << _BITS) // max(p, q))
-    return to_string(np.union1d(x[x < limit], y[y < limit]), max(p, q) == 1)
+    """The sketch of two texts' united shingles."""
+    return to_string(np.union1d(from_string(a)[0], from_string(b)[0]), None)
 
 
 def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
@@ -89,8 +85,8 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, offsets, entire = sketch_batch(b.column(b.schema.get_field_index(text)))
-            made = [to_string(h[offsets[i] : offsets[i + 1]], entire[i]) for i in range(b.num_rows)]
+            h, offsets, digest = sketch_batch(b.column(b.schema.get_field_index(text)))
+            made = [to_string(h[offsets[i] : offsets[i + 1]], digest[i]) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], [*b.schema.names, "fingerprint"])
 
     return df.drop("fingerprint").mapInArrow(run, schema)
@@ -124,8 +120,8 @@ def fingerprint_edits(documents: DataFrame, rows_each: int = 500) -> DataFrame:
 
     The edited text has its last floor(n/2) code points replaced by the first of the next document's (by doc_id; the last's
     next is the first). Documents are dealt once into ranges of ids, read in order, and each range also gets the first row of
-    the next, so no other exchange and no global order is needed. Equal ids are ordered by text, null ids come first, null
-    texts are empty; a lone document follows itself. Other columns are ignored.
+    the next, so no other exchange and no global order is needed. Equal ids are ordered by text and lie in one range, as null
+    ids do, which come first; null texts are empty; a lone document follows itself. Other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
     docs, ranges = _range_of(docs, rows_each)
