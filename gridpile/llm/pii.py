@@ -21,16 +21,24 @@ _LOOKS = dict(zip(
 _LOOKS_TABLE = {ord(k): v for k, v in _LOOKS.items()} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _INVISIBLE = "­​‌‍⁠﻿"
 _BEYOND = re.compile("[ ­Ͱ-\U0010ffff]")
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_W = "(?:" + "|".join(DIGIT_WORDS) + ")"
-_RUN = re.compile(rf"\b(?:plus[ -]+)?{_W}(?:[ ,.-]{{1,2}}{_W})+\b", re.I)
+#: Digits spelled in English, German, French and Spanish.
+_SPELLED = (
+    ("zero", "oh", "null", "zéro", "cero"), ("one", "eins", "un", "uno"), ("two", "zwei", "zwo", "deux", "dos"), ("three", "drei", "trois", "tres"), ("four", "vier", "quatre", "cuatro"),
+    ("five", "fünf", "fuenf", "cinq", "cinco"), ("six", "sechs", "seis"), ("seven", "sieben", "sept", "siete"), ("eight", "acht", "huit", "ocho"), ("nine", "neun", "neuf", "nueve"))
+DIGIT_WORDS = {w: str(d) for d, words in enumerate(_SPELLED) for w in words}
+_W = "(?:" + "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w))) + ")"
+_P = r"(?:plus|más)[ -]+"
+_RUN = re.compile(rf"\b(?:{_P})?{_W}(?:[ ,.-]{{1,2}}{_W})+\b", re.I)
 #: Letters that equal ASCII ones where case is ignored.
 _CASELESS = str.maketrans("İıſ", "iis")
-_PLUS_OR_WORD = re.compile(rf"plus[ -]+|{_W}", re.I)
+#: Parts of a run: the sign, a digit, and what keeps digits apart.
+_PART = re.compile(rf"{_P}|{_W}|[,.] ", re.I)
+#: Letters and digits in other shapes, one or several in a character, whose compatibility form is ASCII: letter-like, circled, raised and mathematical ones, ligatures.
+_SHAPED = re.compile("[\u2070-\u209c\u2100-\u2134\u2460-\u24ff\u3380-\u33df\ufb00-\ufb06\U0001d400-\U0001d7ff\U0001f100-\U0001f12b\U0001f130-\U0001f149]")
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
-_BRACKETED = re.compile(rf"{_OPEN}(at|@|dot|\.|punkt|punto|arroba){_CLOSE}", re.I)
+_BRACKETED = re.compile(rf"{_OPEN}(at|@|dot|\.|punkt|punto|point|arroba|arobase){_CLOSE}", re.I)
 #: It matches wherever _BRACKETED does, but starts with the bracket, which is faster to look for.
-_BRACKETED_CORE = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|@|dot|\.|punkt|punto|arroba){_CLOSE}", re.I)
+_BRACKETED_CORE = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|@|dot|\.|punkt|punto|point|arroba|arobase){_CLOSE}", re.I)
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.I)
 #: A bare "at" counts only before a spelled or bracketed dot, or after a name with a digit or "_", or another sign inside it.
 _BARE_AT = re.compile(r"(?:(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}\s{0,3}[\[({<]?\s{0,3}\bdot\b)|(?<=[A-Za-z0-9._%+-])(?P<plain>\s{1,3}at\s{1,3})(?=[A-Za-z0-9-]{1,63}\.[A-Za-z]{2}))", re.I)
@@ -145,13 +153,19 @@ def _signed_before(m: re.Match) -> bool:
     return _SIGNED.search(m.string, start, m.start()) is not None
 
 
+def _compatible(m: re.Match) -> str | None:
+    plain = unicodedata.normalize("NFKC", m[0])
+    return plain if plain.isascii() and (plain.isalnum() or plain == "+") else None
+
+
 def normalise(t: str) -> Normalised:
     n = Normalised(t.translate(_LOOKS_TABLE) if not t.isascii() else t)  # one character for one: places stay
     if not n.text.isascii():
         n.rewrite(re.compile(f"[{_INVISIBLE}]+"), lambda m: "")
+        n.rewrite(_SHAPED, _compatible)
         n.rewrite(re.compile(r"(?![0-9])\d"), lambda m: str(unicodedata.digit(m[0])))
     n.rewrite(_BARE_AT, lambda m: "@" if m["plain"] is None or _signed_before(m) else None)
-    n.rewrite(_BRACKETED, lambda m: "@" if m[1].lower() in ("at", "@", "arroba") else ".")
+    n.rewrite(_BRACKETED, lambda m: "@" if m[1].lower() in ("at", "@", "arroba", "arobase") else ".")
     n.rewrite(_BARE_DOT, lambda m: ".")
     inside: list[tuple[int, int]] = [m.span() for m in _RUN.finditer(n.text)]
     if inside:
@@ -164,10 +178,9 @@ def normalise(t: str) -> Normalised:
                 now = next(runs, None)
             if not now or m.start() < now[0]:
                 return None
-            return "+" if m[0].lower().startswith("plus") else DIGIT_WORDS[m[0].translate(_CASELESS).lower()]
+            return " " if m[0][0] in ",." else "+" if m[0][-1] in " -" else DIGIT_WORDS[m[0].translate(_CASELESS).lower()]
 
-        n.rewrite(_PLUS_OR_WORD, digit)
-        n.rewrite(re.compile(r"(?<=[0-9])[,.] (?=[0-9])"), lambda m: " ")
+        n.rewrite(_PART, digit)
     return n
 
 
