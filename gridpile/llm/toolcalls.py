@@ -12,31 +12,60 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: The part of JSON Schema that arguments are checked against.
 _TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
+#: The part of JSON Schema that arguments are checked against, and keywords that state nothing.
+_CHECKED = {"type", "required", "properties", "additionalProperties", "items", "enum", "const", "minimum", "maximum", "minLength", "maxLength", "minItems", "maxItems"}
+_SILENT = {"title", "description", "default", "examples", "$schema", "$id", "$comment"}
 
 
-def problems(value: Any, schema: dict, at: str = "$") -> list[str]:
-    """What is wrong with value: type, required, properties, additionalProperties, items, enum, minimum, maximum, minLength, maxLength."""
-    kind = schema.get("type")
+def _is(value: Any, kind: str) -> bool:
     if kind in ("integer", "number"):
-        ok = isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
-    else:
-        ok = kind is None or isinstance(value, _TYPES[kind])
-    if not ok:
-        return [f"{at}: not {kind}"]
-    bad = [f"{at}: not in enum"] if "enum" in schema and value not in schema["enum"] else []
+        return isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
+    return isinstance(value, _TYPES[kind]) if kind in _TYPES else False
+
+
+def _same(a: Any, b: Any) -> bool:
+    """Equality of JSON values: true is not 1, 1.0 is 1."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
+
+
+def problems(value: Any, schema: Any, at: str = "$") -> list[str]:
+    """What is wrong with value by type (one or a list), required, properties, additionalProperties, items, enum, const, minimum,
+    maximum, and the lengths of strings and arrays. Keywords beyond these are a problem each: what cannot be checked is not valid."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
+    if not isinstance(schema, dict):
+        return [f"{at}: schema is no object"]
+    kinds = schema.get("type")
+    kinds = kinds if isinstance(kinds, list) else [] if kinds is None else [kinds]
+    if kinds and not any(_is(value, str(k)) for k in kinds):
+        return [f"{at}: not {' or '.join(map(str, kinds))}"]
+    bad = [f"{at}: {k} is not supported" for k in sorted(map(str, schema)) if k not in _CHECKED | _SILENT]
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
+        bad.append(f"{at}: not in enum")
+    if "const" in schema and not _same(value, schema["const"]):
+        bad.append(f"{at}: not the constant")
     if isinstance(value, dict):
         known = schema.get("properties", {})
         bad += [f"{at}: {k} missing" for k in schema.get("required", []) if k not in value]
         for k in sorted(value):
             if k in known:
                 bad += problems(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
+            elif (more := schema.get("additionalProperties", True)) is False:
                 bad.append(f"{at}: {k} not allowed")
-    elif isinstance(value, list) and "items" in schema:
-        for i, x in enumerate(value):
+            elif more is not True:
+                bad += problems(value[k], more, f"{at}.{k}")
+    elif isinstance(value, list):
+        for i, x in enumerate(value) if "items" in schema else ():
             bad += problems(x, schema["items"], f"{at}[{i}]")
+        bad += [f"{at}: too few"] if len(value) < schema.get("minItems", 0) else []
+        bad += [f"{at}: too many"] if len(value) > schema.get("maxItems", len(value)) else []
     elif isinstance(value, str):
         bad += [f"{at}: too short"] if len(value) < schema.get("minLength", 0) else []
         bad += [f"{at}: too long"] if len(value) > schema.get("maxLength", len(value)) else []
@@ -106,17 +135,20 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     call_id, content. Calls and results join by conversation and identifier, so one long conversation is no group of its
     own. Of calls or results that repeat an identifier the least (by tool and arguments, by content) stands. level orders
     calls topologically: it exceeds the level of every call in `after`; identifiers that no call has are ignored; calls on a
-    cycle, or above one, have a null level. valid: the tool has a schema, arguments are a JSON text that meets it. A null
+    cycle, or above one, have a null level. valid: the tool has a schema, arguments are a JSON text that meets it, all of it in keywords that `problems` knows. No schema or
+    number ends the job: what cannot be read is a problem of its row. A null
     conv_id is a conversation; calls with a null call_id keep a row each, unlinked. Results without a call are left out.
     """
-    uid = F.xxhash64(F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), "call_id")
+    # the identifiers themselves, a conversation's with its length in front: no two pairs of them read the same
+    conv = F.coalesce(F.concat(F.length(F.col("conv_id").cast("string")).cast("string"), F.lit(":"), F.col("conv_id").cast("string")), F.lit("-"))
+    uid = F.concat(conv, F.lit("|"), F.col("call_id"))
     base = calls.select(F.col("conv_id"), F.col("call_id").cast("string").alias("call_id"), "tool", "arguments", "after")
     named = base.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("tool", "arguments", "after")).alias("c")).select("conv_id", "call_id", "c.*")
     named = stored(named.withColumn("uid", uid), "calls")
     own = results.where("call_id is not null").groupBy("conv_id", F.col("call_id").cast("string").alias("call_id")).agg(F.min("content").alias("content"), F.lit(True).alias("has"))
     own = own.select(uid.alias("uid"), "content", "has")
     needs = named.select("uid", F.explode("after").alias("need"), "conv_id").where("need is not null")
-    needs = needs.select("uid", F.xxhash64(F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.col("need").cast("string")).alias("before")).distinct()
+    needs = needs.select("uid", F.concat(conv, F.lit("|"), F.col("need").cast("string")).alias("before")).distinct()
     edges = stored(needs.join(named.select(F.col("uid").alias("before")), "before", "left_semi").select("uid", "before"), "calls-edges")
     linked = named.join(own, "uid", "left").join(_levels(edges, named.select("uid")), "uid", "left").drop("uid", "after")
     loose = base.where("call_id is null").select("conv_id", "call_id", "tool", "arguments", F.lit(None).cast("string").alias("content"), F.lit(None).cast("boolean").alias("has"), F.lit(None).cast("bigint").alias("level"))
@@ -128,11 +160,16 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
             found = []
             for r in b.to_pylist():
                 try:
-                    value = json.loads(r["arguments"]) if r["arguments"] is not None else None
-                    bad = problems(value, schemas[r["tool"]]) if r["tool"] in schemas else ["$: no such tool"]
-                except (ValueError, RecursionError):
+                    value, bad = json.loads(r["arguments"]) if r["arguments"] is not None else None, []
+                    text = canonical({"arguments": value, "call_id": r["call_id"], "name": r["tool"], "result": r["content"]})
+                except (ValueError, RecursionError):  # no JSON, nested too deep, or a number of too many digits
                     value, bad = r["arguments"], ["$: not JSON"]
-                text = canonical({"arguments": value, "call_id": r["call_id"], "name": r["tool"], "result": r["content"]})
+                    text = canonical({"arguments": value, "call_id": r["call_id"], "name": r["tool"], "result": r["content"]})
+                if not bad:
+                    try:
+                        bad = problems(value, schemas[r["tool"]]) if r["tool"] in schemas else ["$: no such tool"]
+                    except (TypeError, ValueError, AttributeError, OverflowError, RecursionError):  # a schema that is not well formed
+                        bad = ["$: schema cannot be read"]
                 found.append((bool(r["has"]), not bad, "; ".join(bad), text))
             keep = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             yield pa.RecordBatch.from_arrays(

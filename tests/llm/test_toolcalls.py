@@ -75,3 +75,19 @@ def test_conversations_by_brute_force(spark, small):
         assert g.level == level and g.linked == (answer is not None)
         assert g.json == json.dumps({"arguments": {"text": u.text, "turn": u.turn}, "call_id": f"turn-{u.turn}", "name": "reply", "result": answer}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     assert tc.link_calls(*tc.conversation_calls(df.limit(0)), tc.REPLY).count() == 0
+
+
+def test_no_schema_or_number_ends_the_job(spark):
+    """Lists of types, unknown keywords, ill-formed schemas, huge numbers, deep nesting; a null conversation is not the one called "-"."""
+    assert tc.problems("a", {"type": ["string", "null"]}) == [] and tc.problems(None, {"type": ["string", "null"]}) == [] and tc.problems(1, {"type": ["string", "null"]}) == ["$: not string or null"]
+    assert tc.problems("a", {"pattern": "b"}) == ["$: pattern is not supported"] and tc.problems(1, {"anyOf": []}) == ["$: anyOf is not supported"]
+    assert tc.problems(True, {"enum": [1]}) == ["$: not in enum"] and tc.problems(1.0, {"enum": [1]}) == [] and tc.problems({"a": [True]}, {"const": {"a": [1]}}) == ["$: not the constant"]
+    assert tc.problems(10**400, {"type": "integer"}) == [] and tc.problems(2.5, {"type": "integer"}) == ["$: not integer"] and tc.problems({"z": 1}, {"additionalProperties": {"type": "string"}}) == ["$.z: not string"]
+    schemas = SCHEMAS | {"odd": {"type": {"a": 1}}, "bad": {"minimum": "x"}, "list": [], "enum": {"enum": 3}}
+    big = '{"a": ' + "9" * 400 + "}"
+    calls = [("-", "a", "add", big, [], ""), (None, "a", "add", '{"a": 1}', [], ""), ("1", "b", "odd", "1", [], ""), ("1", "c", "bad", "1", [], ""), ("1", "d", "list", "1", [], ""), ("1", "e", "enum", "1", [], ""), ("1", "f", "add", "[" * 100_000, [], ""), ("1", "g", "add", '{"a": ' + "9" * 6000 + "}", [], "")]
+    results = [(None, "a", "of null", "t"), ("1", "b|c", "x", "t")]
+    text = lambda schema: schema.replace("conv_id long", "conv_id string")
+    got = {(r.conv_id, r.call_id): r for r in tc.link_calls(spark.createDataFrame(calls, text(CALLS)), spark.createDataFrame(results, text(RESULTS)), schemas).collect()}
+    assert len(got) == 8 and got["-", "a"].valid and not got["-", "a"].linked and got[None, "a"].linked
+    assert not any(got["1", c].valid for c in "bcdefg") and got["1", "f"].problems == got["1", "g"].problems == "$: not JSON"
