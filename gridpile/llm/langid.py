@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import html
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, small_batches, stored, text_or_empty
 
 UNKNOWN = "und"
 CELLS = 1 << 13
-#: The classifier is fitted on about so many labelled rows, chosen by a hash of the id.
+#: The classifier is fitted on about so many labelled rows, an even part of them for each language, chosen by a hash of id and text.
 FIT_ROWS = 20_000
 #: Trigrams of a text overlap and repeat, so their log likelihood counts for a fraction of itself.
 TEMPER = 0.25
@@ -49,11 +50,18 @@ def _trigrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of trigram cells, from a bounded sample of rows (doc_id, text, lang); the last is UNKNOWN, which holds all cells alike."""
+    """Languages and their log probabilities of trigram cells, from a bounded sample of rows (doc_id, text, lang); the last is UNKNOWN, which holds all cells alike.
+
+    Every language that occurs has its share of fit_rows, or all its rows if it has fewer, so rare languages are known too.
+    Null languages are no labels, null texts are empty; repeated rows are chosen together; without labels only UNKNOWN is known.
+    """
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), text_or_empty("text").alias("text"))
-    share = min(1.0, fit_rows / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) <= int(share * (1 << 20)))
+    # one row a language
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = sizes.select("lang", (F.lit(float(fit_rows)) / F.greatest(F.lit(1), F.count("*").over(Window.partitionBy(F.lit(1)))) / F.col("n")).alias("share"))
+    rows = rows.join(F.broadcast(stored(sizes, "langs")), "lang")
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 20)) <= F.col("share") * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -78,8 +86,11 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.nd
     return [*langs, UNKNOWN], table
 
 
-def text_likelihoods(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """Replaces text by array ll, the log likelihoods of the whole text in each of the model's languages, and trigrams, their number."""
+def text_likelihoods(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", entities: bool = False) -> DataFrame:
+    """Replaces text by array ll, the log likelihoods of the whole text in each of the model's languages, and trigrams, their number.
+
+    entities: HTML character references in the text stand for their characters.
+    """
     langs, table = model
     i = df.columns.index(text)
     schema = df.drop(text).withColumns({"ll": F.array(F.lit(0.0)), "trigrams": F.lit(0).cast("bigint")}).schema
@@ -88,7 +99,10 @@ def text_likelihoods(df: DataFrame, model: tuple[list[str], np.ndarray], text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, seen = np.zeros((b.num_rows, len(langs))), np.zeros(b.num_rows, np.int64)
-            for row, cell, n in _trigrams(b.column(i)):
+            texts = b.column(i)
+            if entities:
+                texts = pa.array([html.unescape(t) if t and "&" in t else t for t in texts.to_pylist()], pa.large_string())
+            for row, cell, n in _trigrams(texts):
                 if len(row):
                     low, high = int(row[0]), int(row[-1]) + 1
                     seen[low:high] += np.bincount(row - low, minlength=high - low)
@@ -103,12 +117,13 @@ def text_likelihoods(df: DataFrame, model: tuple[list[str], np.ndarray], text: s
 
 def page_evidence(pages: DataFrame) -> DataFrame:
     """From (page_id, url, html): the visible text, and what the page says of its language: declared, suffix, host and domain; any may be null."""
-    html = F.coalesce("html", F.lit(""))
-    visible = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+    page = F.coalesce("html", F.lit(""))
+    # what is never closed hides the rest of the page, so every character is looked at once
+    visible = F.regexp_replace(page, r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^>]*>", " ")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\w+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     host = F.when(host == "", None).otherwise(host)
     code = F.regexp_extract(F.coalesce("url", F.lit("")), r"^\w+://[^/?#]*/([A-Za-z]{2})(?:[-_][A-Za-z]{2})?(?:[/?#]|$)", 1)
-    declared = F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
+    declared = F.lower(F.regexp_extract(page, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
     return pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), visible.alias("text"), F.when(declared != "", declared).alias("declared"),
         F.concat(F.substring_index(host, ".", -1), F.lit("/"), F.lower(code)).alias("suffix"), host.alias("host"), F.substring_index(host, ".", -2).alias("domain"))
@@ -123,18 +138,21 @@ def document_evidence(documents: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("suffix"), source.alias("host"), source.alias("domain"))
 
 
-def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], name: str = "langid") -> DataFrame:
+def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], name: str = "langid", entities: bool = False) -> DataFrame:
     """Adds lang, confidence, text_lang and kept to rows (any columns, text, declared, suffix, host, domain); text goes.
 
     log posterior = TEMPER * text likelihood + log P(declared | language) + log P(suffix | language) + log host prior.
     The tables come from grouped aggregation of the text-only decisions: counts by declared language and by suffix, each
     smoothed to uniform, and by host, smoothed to its domain, which is smoothed to all rows; a row's own decision is taken
     out of its host's counts. Absent evidence adds nothing. UNKNOWN takes texts that no language explains better than chance,
-    such as texts without letters; they, and rows whose best language has less than LEAST_CONFIDENCE, are not kept.
+    such as texts without letters; they, and rows whose best language has less than LEAST_CONFIDENCE, are not kept. Of equal
+    scores the first language counts. Repeated rows count as often as they occur and get equal results; an empty table gives
+    an empty result; whole texts of any length are read. The tables have a row for each value, and the joins with them split
+    hot hosts where tables are too large to broadcast (adaptive execution).
     """
     langs, _ = model
     n = len(langs)
-    rows = text_likelihoods(rows, model)
+    rows = text_likelihoods(rows, model, entities=entities)
     best = lambda a: F.array_position(a, F.array_max(a)).cast("int") - 1
     rows = stored(rows.withColumn("guess", F.when(F.col("trigrams") > 0, best(F.col("ll"))).otherwise(n - 1)), name)
     # a host's domain is a function of the host, so hosts has one row a host

@@ -41,7 +41,7 @@ def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
     model = langid.fit(documents)
     of_docs = langid.identify(langid.document_evidence(documents), model, "lang-documents")
-    of_pages = langid.identify(langid.page_evidence(pages), model, "lang-pages")
+    of_pages = langid.identify(langid.page_evidence(pages), model, "lang-pages", entities=True)
     none = F.lit(None).cast("bigint")
     return of_docs.withColumn("page_id", none).unionByName(of_pages.withColumn("doc_id", none))
 
