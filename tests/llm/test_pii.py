@@ -149,7 +149,7 @@ def test_planted_disguises_are_found_and_clean_text_is_left():
     found = wrong = 0
     for _ in range(300):
         d = r.choice(spelled).split()
-        planted = r.choice(["ann_k [at] mail (dot) org", "ann.k at mail dot org", "аnn@mаil.org", "plus " + " ".join(r.choice(d) for _ in range(11)), "ann<at>mail{.}org", "\uff11\uff10.0.0.\uff11", "\U0001d41a\U0001d427n@mail.org"])
+        planted = r.choice(["ann_k [at] mail (dot) org", "ann.k at mail dot org", "аnn@mаil.org", "plus " + " ".join(r.choice(d) for _ in range(11)), "ann<at>mail{.}org", "\uff11\uff10.0.0.\uff11", "\U0001d41a\U0001d427\U0001d427@mail.org"])
         t = " ".join(r.choice(words) for _ in range(20)) + ". " + planted + ". " + " ".join(r.choice(words) for _ in range(20))
         at = t.index(planted)
         got = [(s, e) for s, _, e in pii.spans(t)[1]]
