@@ -27,10 +27,10 @@ def oriented(cells: DataFrame) -> DataFrame:
 
 def centre_score(cells: DataFrame, true_centre: bool = False) -> DataFrame:
     """(grp, center): mean of a 3 x 3 block of the oriented waffle. The block's middle is one past the true middle in row and
-    column, as results must match; true_centre moves it. Sizes under 5 have no such block and are refused."""
-    if cells.where("size < 5").limit(1).count():
-        raise ValueError("a waffle needs a size of 5 or more")
-    mid = F.expr("size div 2") + (0 if true_centre else 1)
+    column, as results must match; true_centre moves it. Sizes under 5 have no such block and fail the job."""
+    small = F.raise_error(F.lit("a waffle needs a size of 5 or more")).cast("int")
+    mid = F.when(F.col("size") < 5, small).otherwise(F.col("size")).cast("int")
+    mid = F.floor(mid / 2).cast("int") + (0 if true_centre else 1)
     o = oriented(cells).where((F.abs(F.col("r") - mid) <= 1) & (F.abs(F.col("c") - mid) <= 1))
     return o.groupBy("grp").agg((F.sum(F.coalesce("mean", F.lit(0.0))) / 9).alias("center"))
 
@@ -193,8 +193,11 @@ def moran_local(cells: DataFrame, width: int = 2, loop: bool = False, permutatio
             w = w / w.sum()
             real = z[cell] * (w * z[at]).sum()
             others = np.delete(z, cell)
-            drawn = rng.random((permutations, n - 1)).argpartition(len(d) - 1, axis=1)[:, : len(d)] if len(d) < n - 1 else rng.random((permutations, n - 1)).argsort(1)
-            larger = int((z[cell] * (w * others[drawn]).sum(1) >= real).sum())
+            larger, step = 0, max(1, 2_000_000 // n)
+            for first in range(0, permutations, step):  # some 16 MB of draws at a time
+                draws = rng.random((min(step, permutations - first), n - 1))
+                drawn = draws.argpartition(len(d) - 1, axis=1)[:, : len(d)] if len(d) < n - 1 else draws.argsort(1)
+                larger += int((z[cell] * (w * others[drawn]).sum(1) >= real).sum())
             p[cell] = (min(larger, permutations - larger) + 1) / (permutations + 1)
         return pd.DataFrame({"grp": pdf["grp"].iloc[0], "cell": np.arange(n), "p_sim": p})
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small
 from .genome import locate
 
-#: Read filters are numbered from 1; the default leaves out these.
+#: Read filters are numbered from 1; the default leaves out these.
 DEFAULT_FILTERS = (1, 2, 3, 4, 6, 7, 8, 9, 10)
 
 
@@ -40,8 +39,8 @@ def bad_bins(*lists: DataFrame) -> DataFrame:
 
 
 def drop_bad(contacts: DataFrame, bad: DataFrame) -> DataFrame:
-    """Contacts neither of whose bins is bad."""
-    bad = broadcast_if_small(bad.select("bin"))
+    """Contacts neither of whose bins is bad. The joins are broadcast where the list is small, at planning or at run time."""
+    bad = bad.select("bin")
     out = contacts.join(bad, contacts["bin1"] == bad["bin"], "left_anti")
     return out.join(bad, out["bin2"] == bad["bin"], "left_anti")
 
@@ -58,23 +57,23 @@ def in_window(contacts: DataFrame, window: str | tuple[float, float], genome: Da
     return contacts.where((F.col("bin2") - F.col("bin1")).between(low, high))
 
 
-class MissingBias(ValueError):
-    pass
-
-
-def normalise(contacts: DataFrame, bias: DataFrame, decay: DataFrame | None = None, genome: DataFrame | None = None, check: bool = False) -> DataFrame:
+def normalise(contacts: DataFrame, bias: DataFrame, decay: DataFrame | None = None, genome: DataFrame | None = None, check: bool = True) -> DataFrame:
     """Adds nrm = raw / bias of bin1 / bias of bin2, and / decay of the chromosome and distance where there is one.
 
-    bias: (bin, b); decay: (chrom, dist, d). A bin without bias loses its contacts, or raises with check=True.
+    bias: (bin, b); decay: (chrom, dist, d). A contact whose bin has no bias fails the job that reads it; with check=False it is
+    left out.
     """
-    b = broadcast_if_small(bias.select("bin", "b"), 5_000_000)
+    b = bias.select("bin", "b")
     one, two = b.select(F.col("bin").alias("bin1"), F.col("b").alias("_b1")), b.select(F.col("bin").alias("bin2"), F.col("b").alias("_b2"))
-    if check and (lost := contacts.join(one, "bin1", "left_anti").unionByName(contacts.join(two, "bin2", "left_anti")).limit(1).count()):
-        raise MissingBias(f"{lost} contact or more has a bin without bias")
-    out = contacts.join(one, "bin1").join(two, "bin2").withColumn("nrm", F.col("raw") / F.col("_b1") / F.col("_b2"))
+    out = contacts.join(one, "bin1", "left" if check else "inner").join(two, "bin2", "left" if check else "inner")
+    nrm = F.col("raw") / F.col("_b1") / F.col("_b2")
+    if check:
+        lost = F.col("_b1").isNull() | F.col("_b2").isNull()
+        nrm = F.when(lost, F.raise_error(F.concat(F.lit("no bias for a bin of contact "), F.col("bin1"), F.lit(", "), F.col("bin2"))).cast("double")).otherwise(nrm)
+    out = out.withColumn("nrm", nrm)
     if decay is not None:
         out = locate(locate(out, genome, "bin1", "_c1", "_l1"), genome, "bin2", "_c2", "_l2")
-        d = broadcast_if_small(decay.select(F.col("chrom").alias("_c1"), F.col("dist").alias("_dist"), F.col("d").alias("_d")), 5_000_000)
+        d = decay.select(F.col("chrom").alias("_c1"), F.col("dist").alias("_dist"), F.col("d").alias("_d"))
         out = out.withColumn("_dist", F.when(F.col("_c1") == F.col("_c2"), F.col("bin2") - F.col("bin1")))
         out = out.join(d, ["_c1", "_dist"], "left").withColumn("nrm", F.col("nrm") / F.coalesce("_d", F.lit(1.0)))
     return out.select(*contacts.columns, "nrm")

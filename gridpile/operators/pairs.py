@@ -5,12 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small
-
-#: Parts that a chromosome's peaks are spread over where the join must shuffle.
-SPLITS = 32
-#: Peaks up to which a side of the join is broadcast.
-BROADCAST_ROWS = 200_000
+#: Parts that the peaks of one side are spread over, so that a chromosome's pairs are made by many tasks.
+SPLITS = 16
 
 
 def parse_window(window: str, resolution: int) -> str | tuple[float, float]:
@@ -29,25 +25,21 @@ def _sides(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _join(a: DataFrame, b: DataFrame, keys: list[tuple[str, str]], rest: Column) -> DataFrame:
-    """a with b on equal keys and rest. A side of checked size is broadcast; else b is copied to SPLITS salts, over which the rows of one key of a spread."""
-    small = b.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """a with b on equal keys and rest. The rows of a are spread over SPLITS parts, to each of which b is copied; the parts are
+    a key of the join, so one without other keys is a hash join too."""
+    a = a.withColumn("_sa", F.pmod(F.xxhash64("gbin_a", "feature_a"), F.lit(SPLITS)))
+    b = b.withColumn("_sb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPLITS - 1).cast("bigint"))))
     on = rest
-    if small:
-        b = F.broadcast(b)
-    else:
-        a = a.withColumn("_sa", F.pmod(F.xxhash64("gbin_a", "feature_a"), F.lit(SPLITS)))
-        b = b.withColumn("_sb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPLITS - 1).cast("bigint"))))
-        keys = [*keys, ("_sa", "_sb")]
-    for x, y in keys:
+    for x, y in [*keys, ("_sa", "_sb")]:
         on = on & (F.col(x) == F.col(y))
     return a.join(b, on)
 
 
-def pair_peaks(first: DataFrame, second: DataFrame, span: int, window: str | tuple[float, float] = "intra", labels: bool = False) -> DataFrame:
+def pair_peaks(first: DataFrame, second: DataFrame, span: int, window: str | tuple[float, float] = "intra", labels: bool = False, max_dist: float | None = None) -> DataFrame:
     """Distinct (g1, g2, what, what_new) of peaks of first with peaks of second; for one list give it twice.
 
     intra: same chromosome and at least 2 span + 1 bins apart. inter: different chromosomes. all: both. (low, high): intra and
-    low < distance <= high. g1 <= g2 are the global bins; what is the features' concatenation in the lists' order; what_new, with
+    low < distance <= high. max_dist, in bins, also drops pairs of one chromosome that lie further apart. g1 <= g2 are the global bins; what is the features' concatenation in the lists' order; what_new, with
     labels, names the two places in genome order. The full product of one list with itself is taken, so two features of its
     peaks give both orders of their label.
     """
@@ -57,9 +49,9 @@ def pair_peaks(first: DataFrame, second: DataFrame, span: int, window: str | tup
     if window == "intra":
         found = _join(a, b, [("chrom_a", "chrom_b")], far)
     elif window == "inter":
-        found = a.join(broadcast_if_small(b), F.col("chrom_a") != F.col("chrom_b"))
+        found = _join(a, b, [], F.col("chrom_a") != F.col("chrom_b"))
     elif window == "all":
-        found = _join(a, b, [("chrom_a", "chrom_b")], far).unionByName(a.join(broadcast_if_small(b), F.col("chrom_a") != F.col("chrom_b")))
+        found = _join(a, b, [], (F.col("chrom_a") != F.col("chrom_b")) | far)
     else:
         low, high = window
         # peaks within `high` bins lie in the same stretch of that length or in neighbouring ones
@@ -67,6 +59,8 @@ def pair_peaks(first: DataFrame, second: DataFrame, span: int, window: str | tup
         a = a.withColumn("_ka", F.expr(f"bin_a div {step}"))
         b = b.withColumn("_kb", F.explode(F.array(*[F.expr(f"bin_b div {step} + {d}") for d in (-1, 0, 1)])))
         found = _join(a, b, [("chrom_a", "chrom_b"), ("_ka", "_kb")], far & (apart > low) & (apart <= high))
+    if max_dist is not None:
+        found = found.where((F.col("chrom_a") != F.col("chrom_b")) | (apart <= max_dist))
     turned = F.col("gbin_a") > F.col("gbin_b")
     place = lambda s: F.concat(F.col(f"chrom_{s}"), F.lit(":"), F.col(f"bin_{s}").cast("string"))
     label = F.when(turned, F.concat(place("b"), F.lit("-"), place("a"))).otherwise(F.concat(place("a"), F.lit("-"), place("b"))) if labels else F.lit("")

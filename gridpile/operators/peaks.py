@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,10 +27,14 @@ def windows(peaks: DataFrame, span: int, bad: DataFrame | None = None) -> DataFr
 
 
 def drop_all_bad(peaks: DataFrame, span: int, bad: DataFrame) -> DataFrame:
-    """Peaks with at least one good bin in their window. Only windows that hold a bad bin are looked at."""
-    hit = peaks.select("gbin").distinct().withColumn("p", F.explode(F.sequence(F.col("gbin") - span, F.col("gbin") + span)))
-    hit = hit.join(bad.select(F.col("bin").alias("p")).distinct(), "p", "left_semi")
-    lost = hit.groupBy("gbin").agg(F.count("*").alias("n")).where(F.col("n") == 2 * span + 1).select("gbin")
+    """Peaks with at least one good bin in their window: those go that lie in a run of bad bins, span or more from both its ends.
+
+    The list of bad bins, at most one row for each bin of the genome, is numbered in one task.
+    """
+    place = F.col("bin") - F.row_number().over(Window.orderBy("bin"))
+    runs = bad.select("bin").distinct().withColumn("run", place).groupBy("run").agg(F.min("bin").alias("low"), F.max("bin").alias("high"))
+    runs = runs.where(F.col("high") - F.col("low") >= 2 * span)
+    lost = runs.select(F.explode(F.sequence(F.col("low") + span, F.col("high") - span)).alias("gbin"))
     return peaks.join(lost, "gbin", "left_anti").select(*peaks.columns)
 
 

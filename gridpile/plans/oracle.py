@@ -17,7 +17,7 @@ rawp AS (
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   UNION ALL
   SELECT 'B', r_name, (c_custkey * 104729) % (1000000 + 250000 * r_regionkey), c_mktsegment
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 10 = 0),
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 okf AS (
   SELECT DISTINCT side, rawp.chrom, CAST(floor(pos / 10000.0) AS BIGINT) AS bin, bin_start + CAST(floor(pos / 10000.0) AS BIGINT) AS gbin, feature
   FROM rawp JOIN sec ON rawp.chrom = sec.chrom WHERE floor(pos / 10000.0) BETWEEN 2 AND n_bins - 3),
@@ -53,8 +53,8 @@ pairs AS (SELECT DISTINCT least(a.gbin, b.gbin) AS g1, greatest(a.gbin, b.gbin)
 
 def _cells(extra: str = "", pairs: str = "pairs", name: str = "hit") -> str:
     return f""",
-{name} AS (SELECT {extra} bin1, bin2, raw, nrm, CAST(bin1 - g1 + 2 AS INT) AS x, CAST(bin2 - g2 + 2 AS INT) AS y
-  FROM {pairs} JOIN mat ON bin1 BETWEEN g1 - 2 AND g1 + 2 AND bin2 BETWEEN g2 - 2 AND g2 + 2)"""
+{name} AS (SELECT {extra} bin1, bin2, raw, nrm, CAST(i.range AS INT) AS x, CAST(j.range AS INT) AS y
+  FROM {pairs} CROSS JOIN range(5) i CROSS JOIN range(5) j JOIN mat ON bin1 = g1 - 2 + i.range AND bin2 = g2 - 2 + j.range)"""
 
 
 _SUMS = "CAST(sum(nrm) AS DOUBLE) AS sum_nrm, CAST(sum(nrm * nrm) AS DOUBLE) AS sqr_nrm, CAST(count(*) AS BIGINT) AS passage"
@@ -82,6 +82,7 @@ _MORAN = _NBR + """,
 z AS (SELECT y + x * 5 AS cell, CASE WHEN min(mean) OVER () > 0 THEN log2(nullif(mean, 0)) - avg(log2(nullif(mean, 0))) OVER () END AS z FROM d),
 rw AS (SELECT cell, ncell, w / sum(w) OVER (PARTITION BY cell) AS w FROM nbr),
 lag AS (SELECT rw.cell, sum(w * z) AS lag FROM rw JOIN z ON z.cell = ncell GROUP BY 1)"""
+_MORAN_LOOP = _MORAN.replace("mean / greatest(abs(di), abs(dj)) AS w", "(2 - greatest(abs(di), abs(dj))) * mean AS w")
 
 SQL: dict[str, str] = {
     "genome_sections": f"WITH {GENOME} SELECT * FROM sec",
@@ -137,6 +138,17 @@ SQL: dict[str, str] = {
     "fit_deming": f"{_FIT} SELECT round(slope, 5) AS slope, round(my - slope * mx, 5) AS intercept FROM sl",
     "fit_r2": f"{_FIT} SELECT round(1 - (SELECT sum((dy - (my - slope * mx) - slope * dx) ** 2) FROM xy, sl) / (n * syy), 5) AS r2 FROM sl",
     "moran_weights": f"{_NBR} SELECT cell, ncell, dist, round(w, 9) AS w FROM nbr",
+    "moran_weights_loop": f"{_NBR} SELECT cell, ncell, dist, round(w * dist * (2 - dist), 9) AS w FROM nbr",
+    "moran_quadrants_loop": f"""{_MORAN_LOOP} SELECT cell, round(z * lag / sum(z * z) OVER () * (count(*) OVER () - 1), 6) AS local,
+        CAST(CASE WHEN z IS NULL THEN NULL WHEN z > 0 AND lag > 0 THEN 1 WHEN lag > 0 THEN 2 WHEN z > 0 THEN 4 ELSE 3 END AS INT) AS quadrant FROM z JOIN lag USING (cell)""",
+    "pairs_max_dist": f"WITH {PEAKS}{_pairs(_NEAR + ' AND abs(a.bin - b.bin) <= 40')} SELECT * FROM pairs",
+    "predict_scores": f"""{_FDENSE},
+      o AS (SELECT grp, y AS r, 4 - x AS c, sum_nrm / counter AS mean FROM d WHERE counter > 0),
+      xy AS (SELECT grp, {_DX} AS dx, (mean - avg(mean) OVER (PARTITION BY grp, r <= 2 AND c <= 2)) / nullif(stddev_pop(mean) OVER (PARTITION BY grp, r <= 2 AND c <= 2), 0) AS dy FROM o),
+      ra AS (SELECT grp, dy, rank() OVER (PARTITION BY grp ORDER BY dx) + (count(*) OVER (PARTITION BY grp, dx) - 1) / 2e0 AS a, rank() OVER (PARTITION BY grp ORDER BY dy) + (count(*) OVER (PARTITION BY grp, dy) - 1) / 2e0 AS b FROM xy),
+      rho AS (SELECT grp, CASE WHEN count(dy) = count(*) THEN corr(a, b) END AS rho FROM ra GROUP BY grp),
+      mid AS (SELECT grp, sum(mean) / 9 AS center FROM o WHERE r BETWEEN 2 AND 4 AND c BETWEEN 2 AND 4 GROUP BY grp)
+      SELECT grp, round(CASE WHEN isnan(rho) THEN NULL ELSE rho END, 7) AS spear, round(center, 9) AS center FROM rho JOIN mid USING (grp)""",
     "moran_global": f"""{_MORAN},
       sym AS (SELECT cell, ncell, sum(w) AS w, sum(wt) AS wt FROM (SELECT cell, ncell, w, 0e0 AS wt FROM rw UNION ALL SELECT ncell, cell, 0e0, w FROM rw) u GROUP BY 1, 2),
       per AS (SELECT cell, sum(w) AS r, sum(wt) AS k, sum((w + wt) ** 2) AS twice FROM sym GROUP BY 1),

@@ -279,6 +279,29 @@ def moran_weights(spark: SparkSession, d: str) -> DataFrame:
     return stats.moran_neighbours(_dense(spark, d)).select("cell", "ncell", "dist", _r("w"))
 
 
+@query
+def moran_weights_loop(spark: SparkSession, d: str) -> DataFrame:
+    return stats.moran_neighbours(_dense(spark, d), loop=True).select("cell", "ncell", "dist", _r("w"))
+
+
+@query
+def moran_quadrants_loop(spark: SparkSession, d: str) -> DataFrame:
+    return stats.moran_quadrants(_dense(spark, d), loop=True).select("cell", _r("local", 6), "quadrant")
+
+
+@query
+def pairs_max_dist(spark: SparkSession, d: str) -> DataFrame:
+    """Intra-chromosome pairs no more than 40 bins apart."""
+    return P.pair_peaks(_usable(spark, d, "A"), _usable(spark, d, "B"), S, max_dist=40).select("g1", "g2")
+
+
+@query
+def predict_scores(spark: SparkSession, d: str) -> DataFrame:
+    """What the prediction is made from: rank correlation and centre of all groups with pairs."""
+    p = stats.predict(_dense(spark, d, features=True).where("counter > 0"))
+    return p.select("grp", F.round(F.when(F.isnan("spear"), None).otherwise(F.col("spear")), 7).alias("spear"), _r("center"))
+
+
 @query
 def moran_global(spark: SparkSession, d: str) -> DataFrame:
     return stats.moran_global(_dense(spark, d)).select(_r("i", 7), _r("expected"), _r("variance", 7), _r("z", 5))

@@ -23,7 +23,9 @@ def merge_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataF
     found, missed = [read_waffle(spark, paths[0])], []
     for p in paths[1:]:
         try:
-            found.append(read_waffle(spark, p))
+            cells, head = read_waffle(spark, p)
+            cells.count(), head.count()  # the footers of all its files
+            found.append((cells, head))
         except Exception:  # whatever keeps Spark from reading it: the run goes on without that part and says so
             missed.append(p)
     return merge_cells(*[c for c, _ in found]), merge_heads(*[h for _, h in found]), missed

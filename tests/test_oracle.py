@@ -17,5 +17,5 @@ def test_runs(name, spark, small):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 11
+    assert e.entry(spark).count() == 24
     assert set(e.oracle_sql()) <= set(e.queries())
