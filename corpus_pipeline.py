@@ -14,19 +14,24 @@ from gridpile.llm.common import broadcast_if_small, stored
 
 
 def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """docs without the rows of some ids; the texts are shuffled only if the ids are too many to broadcast."""
-    ids = broadcast_if_small(stored(ids.select(F.col("doc_id").alias("_gone")), name), 1_000_000)
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """docs without the rows of some ids; the texts are shuffled only if the ids are too many to broadcast. Other columns may have any name."""
+    gone = "_gone"
+    while gone in {c.lower() for c in docs.columns}:
+        gone += "_"
+    ids = broadcast_if_small(stored(ids.select(F.col("doc_id").alias(gone)), name), 1_000_000)
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language go. Of rows with one doc_id all stay if one does."""
+    """Documents in no known language go. Of rows with one doc_id, or with none, all stay if one does. Null, empty and letterless
+    texts go; texts of any length are read whole; equal rows stay or go together; an empty table stays empty."""
     found = langid.identify(langid.document_evidence(docs), langid.fit(docs), "pipeline-lang")
     return _without(docs, found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept"), "rejected")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest doc_id stays, once; those without an id stay."""
+    """Of each class of near copies the document with the smallest doc_id stays, once; those without an id stay, also where they
+    repeat. Null texts equal empty ones; whole texts are compared; an empty table stays empty."""
     found = omh.near_duplicates(docs)
     left = _without(docs, found.where("not kept").distinct(), "copies")
     repeated = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
@@ -37,17 +42,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in every text gives way to the name of its kind."""
+    """Personal data in every text, whole, gives way to the name of its kind. Null texts stay null, rows are never dropped."""
     return pii.redact_documents(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, up to three times; some are left out."""
+    """Every document as often as the mix takes it, up to three times; some are left out. Of equal rows so many are taken, whichever.
+    Null texts have no words, a null source is a source; an empty table stays empty."""
     return mixing.apply_mix(docs)
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The batch and slot of every document."""
+    """The batch and slot of every document; equal rows have a slot each, null and empty texts length 0; an empty table gives none."""
     return packing.pack(docs)
 
 
