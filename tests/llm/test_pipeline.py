@@ -33,6 +33,26 @@ def test_odd_documents(spark):
             now.count()
 
 
+def test_the_registered_query_and_clashing_columns(spark, small, tmp_path):
+    """The query's rows are those of its stages by brute-force reading of what each keeps; extra columns of any name pass through."""
+    import __spark_entry__ as e
+    from pyspark.sql import functions as F
+
+    names = ["_gone", "_GONE_", "_key", "_h", "_u", "_d", "_nth", "row", "n", "copy", "copies", "size", "kept", "digest", "count"]
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    wide = docs.select("*", *[F.lit("x").alias(n) for n in names])
+    got = sorted((r.doc_id, r.n_tokens) for r in e.queries()["pipeline"](spark, small).collect())
+    now = wide
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, small).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        if name != "length_packing":
+            assert now.columns == wide.columns and now.where(" OR ".join(f"`{n}` <> 'x'" for n in names)).isEmpty()
+    assert sorted((r.doc_id, r.n_tokens) for r in now.collect()) == got
+    mixed = spark.read.parquet(str(tmp_path / "source_mix")).select("doc_id", "text").collect()
+    assert sorted((r.doc_id, len(pii.re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in mixed) == got
+
+
 def test_all_are_registered(spark):
     import __spark_entry__ as e
 
