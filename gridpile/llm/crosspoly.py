@@ -20,7 +20,12 @@ COSINE = 0.9
 TABLES = 10
 MISS = 1e-3
 PROBES = 4
-BLOCK = 256
+BLOCK = 2048
+#: Rows of a block that are multiplied at once, and pairs whose buckets are looked up at once.
+_SLAB = 256
+_PAIRS = 1 << 18
+#: The low bits of a key are hashed, the rest is its table's number: keys of two tables are never equal.
+_KEY_BITS = 54
 #: Groups of up to so many rows are compared together with others, larger ones by a matrix product each.
 _FEW = 16
 SEED = 20_240_607
@@ -70,7 +75,7 @@ def keys(x: np.ndarray, parts: int, tables: int = TABLES, probes: int = PROBES,
             for k in range(parts):
                 other = (order[:, p - 1] == k) if 0 < p <= parts else np.zeros(n, bool)
                 key = mix(key * np.uint64(1_000_003) + np.where(other, second[k], first[k]).astype(np.uint64))
-            out[:, t, p] = key
+            out[:, t, p] = key >> np.uint64(64 - _KEY_BITS) | np.uint64(t << _KEY_BITS)
     return out
 
 
@@ -109,8 +114,9 @@ def tables_for(parts: int, width: int, cosine: float = COSINE, probes: int = PRO
     return max(TABLES, math.ceil(math.log(miss) / math.log1p(-min(max(meet, 1e-3), 0.99))))
 
 
-def _compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) from rows (bucket, i, j, node, block, e) in the order of bucket, i, j. A group of those has at most about 2 * BLOCK rows."""
+def _compare(batches: Iterator[pa.RecordBatch], cosine: float, probes: int) -> Iterator[pa.RecordBatch]:
+    """What _linked finds in rows (bucket, i, j, node, block, copies, e, keys) in the order of bucket, i, j, block. A group of
+    those three has at most about 2 * BLOCK rows; small groups are taken many at a time."""
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
@@ -118,56 +124,98 @@ def _compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Re
         while at < b.num_rows:
             part = b.slice(at, 2048)
             at += part.num_rows
-            keys = np.stack([part.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
-            new = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            begins = [0, *new] if last is not None and (keys[0] != last).any() else [*new]
-            last = keys[-1]
+            group = np.stack([part.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+            new = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
+            begins = [0, *new] if last is not None and (group[0] != last).any() else [*new]
+            last = group[-1]
             cut = int(begins[-1]) if len(begins) else None  # where the last group begins, which may go on in the next part
             if cut is None:
                 held.append(part)
                 continue
-            yield from _links_in([*held, part.slice(0, cut)], cosine)
+            yield from _linked([*held, part.slice(0, cut)], cosine, probes)
             held = [part.slice(cut)]
     if held:
-        yield from _links_in(held, cosine)
+        yield from _linked(held, cosine, probes)
 
 
-def _links_in(parts: list[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+def _meet_first(keys: np.ndarray, bucket: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which pairs of rows share no bucket before this one. keys: (rows, tables, probes); bucket: the one that each row is here for."""
+    table = bucket >> _KEY_BITS
+    first = np.ones(len(one), bool)
+    left = np.arange(len(one))
+    for t in range(keys.shape[1]):
+        left = left[table[one[left]] >= t]
+        if not len(left):
+            break
+        a, b = keys[one[left], t][:, :, None], keys[two[left], t][:, None, :]
+        before = ((a == b) & (a < bucket[one[left]][:, None, None])).any((1, 2))
+        first[left[before]] = False
+        left = left[~before]
+    return first
+
+
+def _unite(label: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+    """Gives rows that pairs connect the label of the least of them. Labels are rows that carry their own number."""
+    while True:
+        a, b = label[one], label[two]
+        apart = a != b
+        if not apart.any():
+            return
+        one, two = one[apart], two[apart]
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _near_pairs(x: np.ndarray, group: np.ndarray, block: np.ndarray, apart: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group with a product of at least cosine, but none of one block where it is of two (apart)."""
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(first, len(group)))
+    few = np.repeat(size <= _FEW, size)
+    for d in range(1, min(_FEW, len(group))):
+        a = np.flatnonzero(few[:-d] & (group[:-d] == group[d:]) & ~(apart[:-d] & (block[:-d] == block[d:])))
+        a = a[np.einsum("ij,ij->i", x[a], x[a + d]) >= cosine]
+        yield a, a + d
+    for f, m in zip(first[size > _FEW], size[size > _FEW], strict=True):
+        own = block[f : f + m]
+        end = int(np.searchsorted(own, own[-1])) if apart[f] else m  # rows come in the order of blocks
+        for low in range(0, end, _SLAB):
+            begin = end if apart[f] else low
+            near = x[f + low : f + min(low + _SLAB, end)] @ x[f + begin : f + m].T >= cosine
+            r, c = np.nonzero(near if apart[f] else np.triu(near, 1))
+            yield r + f + low, c + f + begin
+
+
+def _linked(parts: list[pa.RecordBatch], cosine: float, probes: int) -> Iterator[pa.RecordBatch]:
+    """(node, linked, other) for each node that these groups link: how many vectors with it that it meets here first, and a node
+    that such links lead to. So what goes on grows with the rows of a group, not with its pairs."""
     rows = pa.Table.from_batches(parts).combine_chunks()
     if not rows.num_rows:
         return
-    keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
-    node, block = rows.column(3).to_numpy(), rows.column(4).to_numpy()
-    group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(1))])
-    e = rows.column(5).combine_chunks()
+    at = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+    node, block, copies = (rows.column(k).to_numpy() for k in (3, 4, 5))
+    group = np.concatenate([[0], np.cumsum((at[1:] != at[:-1]).any(1))])
+    e, keys = rows.column(6).combine_chunks(), rows.column(7).combine_chunks()
     width = pa.compute.list_value_length(e).to_numpy()
-    found = []
     for w in np.unique(width):
         pick = np.flatnonzero(width == w)
         x = e.take(pa.array(pick)).flatten().to_numpy().astype(np.float64).reshape(len(pick), w)
         x /= np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        g, node_w, block_w, same = group[pick], node[pick], block[pick], keys[pick, 1] == keys[pick, 2]
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        size = np.diff(np.append(first, len(g)))
-        few = np.repeat(size <= _FEW, size)
-        pairs = [np.zeros((0, 2), np.int64)]
-        for d in range(1, min(_FEW, len(g))):
-            a = np.flatnonzero(few[:-d] & (g[:-d] == g[d:]))
-            if not len(a):
-                break
-            pairs.append(np.stack([a, a + d], 1)[np.einsum("ij,ij->i", x[a], x[a + d]) >= cosine])
-        for f, m in zip(first[size > _FEW], size[size > _FEW], strict=True):
-            own = x[f : f + m]
-            r, c = np.nonzero(np.triu(own @ own.T >= cosine, 1))
-            pairs.append(np.stack([r + f, c + f], 1))
-        one, two = np.concatenate(pairs).T
-        ok = same[one] | (block_w[one] != block_w[two])  # two rows of one block meet in that block's own group
-        one, two = node_w[one[ok]], node_w[two[ok]]
-        found.append((np.minimum(one, two)[one != two], np.maximum(one, two)[one != two]))
-    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        k = keys.take(pa.array(pick)).flatten().to_numpy().reshape(len(pick), -1, probes)
+        bucket, times = at[pick, 0], copies[pick].astype(np.float64)
+        linked, label = np.zeros(len(pick)), np.arange(len(pick))
+        for a, b in _near_pairs(x, group[pick], block[pick], at[pick, 1] != at[pick, 2], cosine):
+            for cut in range(0, len(a), _PAIRS):
+                one, two = a[cut : cut + _PAIRS], b[cut : cut + _PAIRS]
+                new = _meet_first(k, bucket, one, two)
+                one, two = one[new], two[new]
+                linked += np.bincount(one, times[two], len(pick)) + np.bincount(two, times[one], len(pick))
+                _unite(label, one, two)
+        some = np.flatnonzero(linked)
+        if len(some):
+            nodes = node[pick]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(linked[some].astype(np.int64)), pa.array(nodes[label[some]])], ["node", "linked", "other"])
 
 
 def near_vectors(embeddings: DataFrame, cosine: float = COSINE, tables: int | None = None, probes: int = PROBES) -> DataFrame:
@@ -176,8 +224,9 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, tables: int | No
     Without a number of tables, tables_for gives it from the number of different vectors, so that recall does not fall as they grow.
 
     Equal vectors are first gathered into one class, whose members all link. Class vectors are put in the buckets of their
-    probes; a bucket of more than BLOCK classes is cut into blocks and every two blocks are a group of their own, compared by one
-    matrix product, so that no group grows with the data. Products of at least cosine, in double precision, are links.
+    probes; a bucket of more than BLOCK classes is cut into blocks and every two blocks are a group of their own, compared by
+    matrix products, so that no group grows with the data. Products of at least cosine, in double precision, are links. A pair
+    counts in the first bucket that both share; a group hands on a count and one connection for each of its rows, not its pairs.
     Null and zero vectors, and those with null or non-finite components, link with nothing. Vectors of different widths
     never link. Rows with equal vec_id are one node: their links are joined; rows with a null vec_id are nodes of their own without links.
     """
@@ -187,59 +236,52 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, tables: int | No
     exact = F.sha2(F.concat_ws(",", F.transform("e", lambda x: (x + F.lit(0.0)).cast("string"))), 256)
     members = stored(usable.select("vec_id", exact.alias("class"), "e").dropDuplicates(["vec_id", "class"]), "vectors")
     classes = members.groupBy("class").agg(F.count("*").alias("copies"), F.min("vec_id").alias("head"))
-    classes = stored(classes, "classes")
-    heads = members.join(classes, "class").where("vec_id = head").select("class", "e").dropDuplicates(["class"])
-    heads = stored(heads.withColumn("node", F.xxhash64("class")), "heads")
-    n = heads.count()
-    width = heads.agg(F.max(F.size("e"))).first()[0] or 1
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    heads = members.join(classes, "class").where("vec_id = head").select("node", "copies", "e")
+    n, width = heads.agg(F.count("*"), F.coalesce(F.max(F.size("e")), F.lit(1))).first()
     parts = _parts(n, width)
     tables = tables_for(parts, width, cosine, probes) if tables is None else tables
+    kind = embeddings.schema["embedding"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes = b.column(0).to_numpy()
-            good, unit = _unit(b.column(1))
+            good, unit = _unit(b.column(2))
             widths = np.array([len(u) for u in unit], np.int64)
             for w in np.unique(widths):
                 pick = np.flatnonzero(widths == w)
                 x = np.stack([unit[i] for i in pick])
-                k = keys(x, parts, tables, probes) ^ mix(np.full(1, w, np.uint64))
-                k = k.reshape(len(x), -1)
-                k = np.sort(k, 1)
-                r, c = np.nonzero(np.concatenate([np.ones((len(k), 1), bool), k[:, 1:] != k[:, :-1]], 1))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[good[pick]][r]), pa.array(k[r, c].view(np.int64))], ["node", "bucket"])
+                k = keys(x, parts, tables, probes) ^ (mix(np.full(1, w, np.uint64)) >> np.uint64(64 - _KEY_BITS))
+                k = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * (tables * probes), k.view(np.int64).ravel())
+                own = b.take(pa.array(good[pick]))
+                yield pa.RecordBatch.from_arrays([*own.columns, k], ["node", "copies", "e", "keys"])
 
-    slim = stored(heads.select("node", "e").mapInArrow(hashed, "node bigint, bucket bigint"), "entries")
+    vectors = stored(heads.mapInArrow(hashed, f"node bigint, copies bigint, e {kind}, keys array<bigint>"), "hashed-vectors")
+    slim = vectors.select("node", F.explode(F.array_distinct("keys")).alias("bucket"))
     # only buckets of two or more classes go on; larger ones are cut into blocks
-    many = slim.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    many = slim.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     many = stored(many, "buckets")
     placed = slim.join(many, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
     # every two blocks (i <= j) of a bucket are one task's group; a row goes to those of its block
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     spread = placed.withColumn("other", F.explode(others)).select(
         "node", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    vectors = heads.select("node", "e")
-    spread = spread.join(vectors, "node")
-
-    columns = ["bucket", "i", "j", "node", "block", "e"]
-    dealt = spread.select(*columns).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    links = dealt.mapInArrow(lambda batches: _compare(batches, cosine), "a bigint, b bigint").distinct()
-    links = stored(links, "vector-links")
-    return _report(embeddings, members, classes, links)
+    dealt = spread.join(vectors, "node").select("bucket", "i", "j", "node", "block", "copies", "e", "keys")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block", "node")
+    linked = stored(dealt.mapInArrow(lambda batches: _compare(batches, cosine, probes), "node bigint, linked bigint, other bigint"), "vector-links")
+    return _report(embeddings, members, classes, linked)
 
 
-def _report(embeddings: DataFrame, members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    sizes = classes.select(F.xxhash64("class").alias("node"), "copies", "head")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weight = both.join(sizes.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("linked"))
-    of_class = sizes.join(weight, "node", "left").select("node", F.col("head"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n"))
+def _report(embeddings: DataFrame, members: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+    weight = linked.groupBy("node").agg(F.sum("linked").alias("linked"))
+    of_class = classes.join(weight, "node", "left").select("class", "head", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n"))
     # components of the classes, named by the smallest id of their members
-    head = lambda c: sizes.select(F.col("node").alias(c), F.col("head").alias(f"head_{c}"))
-    named = links.join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    head = lambda c: classes.select(F.col("node").alias(c), F.col("head").alias(f"head_{c}"))
+    edges = linked.where("node <> other").select("node", "other").distinct()
+    named = edges.join(head("node"), "node").join(head("other"), "other").select(F.col("head_node").alias("a"), F.col("head_other").alias("b"))
     reach = components(named)
-    of_class = of_class.join(reach.withColumnRenamed("node", "head"), "head", "left").select("node", "n", F.coalesce("component", "head").alias("c"))
-    linked = members.select("vec_id", F.xxhash64("class").alias("node")).join(of_class, "node").groupBy("vec_id").agg(F.sum("n").alias("n"), F.min("c").alias("c"))
+    of_class = of_class.join(reach.withColumnRenamed("node", "head"), "head", "left").select("class", "n", F.coalesce("component", "head").alias("c"))
+    found = members.select("vec_id", "class").join(of_class, "class").groupBy("vec_id").agg(F.sum("n").alias("n"), F.min("c").alias("c"))
     ids = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"))
-    out = ids.join(linked, "vec_id", "left")
+    out = ids.join(found, "vec_id", "left")
     component = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -40,11 +40,12 @@ def vectors(seed, groups, each, alone, d=64, spread=0.2):
     return [(int(i), out[k].astype(np.float32).tolist()) for i, k in enumerate(order)]
 
 
-@pytest.mark.parametrize("block", [4, 256])
+@pytest.mark.parametrize("block", [4, 32, 2048])
 def test_equals_brute_force(spark, block, monkeypatch):
     """Near groups, copies, scaled copies, opposite, null, zero, empty, odd and short vectors; blocks do not show."""
     monkeypatch.setattr(crosspoly, "BLOCK", block)
     rows = vectors(1, 12, 15, 150)
+    rows += [(len(rows) + i, v) for i, v in vectors(4, 1, 120, 0)]
     n = len(rows)
     v = rows[0][1]
     rows += [(n, v), (n + 1, v), (n + 2, [2 * x for x in v]), (n + 3, [-x for x in v]), (n + 4, None), (n + 5, [0.0] * 64), (n + 6, []), (n + 7, [float("nan")] + v[1:]), (n + 8, [float("inf")] + v[1:]), (n + 9, [None] + v[1:]), (n + 10, v[:10]), (n + 11, v[:10]), (n + 12, [1e30 * x for x in v]), (n + 13, [-0.0, 1.0, 0.0]), (n + 14, [0.0, 1.0, -0.0])]
