@@ -84,6 +84,34 @@ rw AS (SELECT cell, ncell, w / sum(w) OVER (PARTITION BY cell) AS w FROM nbr),
 lag AS (SELECT rw.cell, sum(w * z) AS lag FROM rw JOIN z ON z.cell = ncell GROUP BY 1)"""
 _MORAN_LOOP = _MORAN.replace("mean / greatest(abs(di), abs(dj)) AS w", "(2 - greatest(abs(di), abs(dj))) * mean AS w")
 
+
+def _two_sided(rho: str, n: int) -> str:
+    """Two-sided p of a rank correlation among n values (n odd): Student's t with n - 2 degrees of freedom as the finite sum in the
+    angle whose sine is the correlation."""
+    terms, factor = [], 1.0
+    for k in range(1, (n - 2) // 2 + 1):
+        terms.append(f"{factor!r} * pow(1 - {rho} * {rho}, {2 * k - 1} / 2e0)")
+        factor *= 2 * k / (2 * k + 1)
+    return f"(1 - 2 / pi() * (asin(abs({rho})) + abs({rho}) * ({' + '.join(terms)})))"
+
+
+def _prediction(over: str) -> str:
+    """over: the cells that share a z-score."""
+    return f"""{_FDENSE},
+      o AS (SELECT grp, y AS r, 4 - x AS c, sum_nrm / counter AS mean FROM d WHERE counter > 0),
+      xy AS (SELECT grp, {_DX} AS dx, (mean - avg(mean) OVER (PARTITION BY {over})) / nullif(stddev_pop(mean) OVER (PARTITION BY {over}), 0) AS dy FROM o),
+      ra AS (SELECT grp, dy, rank() OVER (PARTITION BY grp ORDER BY dx) + (count(*) OVER (PARTITION BY grp, dx) - 1) / 2e0 AS a, rank() OVER (PARTITION BY grp ORDER BY dy) + (count(*) OVER (PARTITION BY grp, dy) - 1) / 2e0 AS b FROM xy),
+      corr AS (SELECT grp, CASE WHEN count(dy) = count(*) THEN corr(a, b) END AS rho FROM ra GROUP BY grp),
+      rho AS (SELECT grp, CASE WHEN isnan(rho) THEN NULL ELSE rho END AS rho FROM corr),
+      pv AS (SELECT grp, rho, {_two_sided('rho', 25)} AS pval FROM rho),
+      mid AS (SELECT grp, sum(mean) / 9 AS center FROM o WHERE r BETWEEN 2 AND 4 AND c BETWEEN 2 AND 4 GROUP BY grp)
+      SELECT h.grp, round(rho, 7) AS spear, round(pval, 7) AS pval, round(coalesce(center, 0e0), 9) AS center, coalesce(pval < 0.05 AND rho > 0 AND center > 1, false) AS test
+      FROM heads h LEFT JOIN pv ON pv.grp = h.grp LEFT JOIN mid ON mid.grp = h.grp"""
+
+
+#: From the table of Student's t: 0.975 at 25 - 2 - 1 degrees of freedom.
+_T22 = "2.073873067904"
+
 SQL: dict[str, str] = {
     "genome_sections": f"WITH {GENOME} SELECT * FROM sec",
     "bin_lookup": f"WITH {GENOME} SELECT CAST(range AS BIGINT) AS bin, chrom, CAST(range - bin_start AS BIGINT) AS local_bin FROM range(755) JOIN sec ON range >= bin_start AND range < bin_end",
@@ -137,6 +165,14 @@ SQL: dict[str, str] = {
       SELECT round(corr(a, b), 9) AS rho, CAST(count(*) AS BIGINT) AS n FROM ra""",
     "fit_deming": f"{_FIT} SELECT round(slope, 5) AS slope, round(my - slope * mx, 5) AS intercept FROM sl",
     "fit_r2": f"{_FIT} SELECT round(1 - (SELECT sum((dy - (my - slope * mx) - slope * dx) ** 2) FROM xy, sl) / (n * syy), 5) AS r2 FROM sl",
+    "fit_bands": f"""{_FIT},
+      ends AS (SELECT min(dx) AS x0, max(dx) - min(dx) AS wide FROM xy),
+      mse AS (SELECT sum((dy - (my - slope * mx) - slope * dx) ** 2) / (25 - 2 - 1) AS mse FROM xy, sl),
+      places AS (SELECT CAST(range AS INT) AS i, x0 - wide * 0.01 + range * (wide * 1.02) / 999 AS x FROM range(1000), ends),
+      near AS (SELECT i, x, my - slope * mx + slope * x AS y, 1 / n + (x - mx) ** 2 / (n * sxx) AS near FROM places, sl)
+      SELECT '' AS grp, i, round(x, 9) AS x, round(y, 5) AS y, round({_T22} * sqrt(mse * near), 5) AS confidence, round({_T22} * sqrt(mse * (1 + near)), 5) AS prediction FROM near, mse""",
+    "predict": _prediction("grp, r <= 2 AND c <= 2"),
+    "predict_normal": _prediction("grp"),
     "moran_weights": f"{_NBR} SELECT cell, ncell, dist, round(w, 9) AS w FROM nbr",
     "moran_weights_loop": f"{_NBR} SELECT cell, ncell, dist, round(w * dist * (2 - dist), 9) AS w FROM nbr",
     "moran_quadrants_loop": f"""{_MORAN_LOOP} SELECT cell, round(z * lag / sum(z * z) OVER () * (count(*) OVER () - 1), 6) AS local,

@@ -51,11 +51,6 @@ def _dense(spark: SparkSession, d: str, window: str = "intra", features: bool =
     return W.mean_over_pairs(W.dense(W.waffle(p, X.contacts(spark, d), S), head))
 
 
-def _with_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Dense means of all groups of features that have pairs, and of the whole."""
-    return _dense(spark, d, features=True).where("counter > 0").unionByName(_dense(spark, d))
-
-
 def _r(c: str, places: int = 9) -> F.Column:
     return F.round(c, places).alias(c)
 
@@ -266,12 +261,25 @@ def fit_r2(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fit_bands(spark: SparkSession, d: str) -> DataFrame:
-    return stats.bands(stats.deming(stats.decay(_dense(spark, d), "normal")))
+    b = stats.bands(stats.deming(stats.decay(_dense(spark, d), "normal")))
+    return b.select("grp", F.col("i").cast("int").alias("i"), _r("x"), _r("y", 5), _r("confidence", 5), _r("prediction", 5))
+
+
+def _predicted(spark: SparkSession, d: str, metric: str) -> DataFrame:
+    """The prediction of all groups; what has no number, as in groups without pairs, is shown as null."""
+    p = stats.predict(_dense(spark, d, features=True), metric)
+    number = lambda c: F.round(F.when(~F.isnan(c), F.col(c)), 7).alias(c)
+    return p.select("grp", number("spear"), number("pval"), _r("center"), "test")
 
 
 @query
 def predict(spark: SparkSession, d: str) -> DataFrame:
-    return stats.predict(_dense(spark, d, features=True))
+    return _predicted(spark, d, "loop")
+
+
+@query
+def predict_normal(spark: SparkSession, d: str) -> DataFrame:
+    return _predicted(spark, d, "normal")
 
 
 @query
