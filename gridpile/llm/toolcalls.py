@@ -98,7 +98,6 @@ def _levels(edges: DataFrame, ids: DataFrame) -> DataFrame:
     A call with one prerequisite is followed along such calls by doubling, so a chain of any length takes log2 rounds; calls
     with several wait for all of theirs, a round for each such level. Calls that never become free are cyclic.
     """
-    spark = ids.sparkSession
     counts = edges.groupBy("uid").agg(F.count("*").alias("n"), F.min("before").alias("before"))
     nodes = ids.join(counts, "uid", "left").select("uid", F.coalesce("n", F.lit(0)).alias("n"), "before")
     # top: the call that the chain of single prerequisites starts from; d: how many calls above it
@@ -124,7 +123,6 @@ def _levels(edges: DataFrame, ids: DataFrame) -> DataFrame:
             break
         done = stored(done.union(waiting.join(ready, "top").select("uid", (F.col("base") + F.col("d")).alias("level"))), "calls-levels")
         waiting = stored(waiting.join(ready, "top", "left_anti").select("uid", "top", "d"), "calls-waiting")
-    del spark
     return ids.join(done, "uid", "left")
 
 
@@ -183,18 +181,36 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     return rows.mapInArrow(run, StructType([StructField(n, kinds[n]) for n in order]))
 
 
-#: Production schema of the query: every request is a call of this tool.
+#: Production schemas of the query: the tool that user turns call. Calls of other tools that texts hold are reported as such.
 REPLY = {"reply": {"type": "object", "required": ["text", "turn"], "additionalProperties": False,
                    "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "system": {"type": "boolean"}}}}
 
 
+#: Calls as assistants' texts hold them, by name and arguments or under `function`, and results as tools' texts hold them.
+_CALLS = "tool_calls array<struct<id:string,name:string,arguments:string,after:array<string>,function:struct<name:string,arguments:string>>>"
+_RESULT = "tool_call_id string, content string"
+
+
 def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of a plain chat table: each user turn calls `reply` with its text under its conversation's and turn's
-    number, the assistant turn that follows it is the result, and a call needs the call two turns before it, whose answer it has seen."""
+    """Calls and results of a chat table (conv_id, turn, role, text).
+
+    Calls that the texts hold: an assistant's text that is a JSON object with `tool_calls`, each with an id, a name and arguments
+    (an object or its JSON text, also under `function`) and perhaps `after`; the result is a tool's text {"tool_call_id", "content"}.
+    Besides, each user turn calls `reply` with its text under its turn's number, "turn-<n>"; the assistant turn that follows is the
+    result, and it needs the call two turns before it, whose answer it has seen. A text that is no such JSON, or null, holds no
+    calls; a held call without id stays, unlinked; equal identifiers in one conversation are settled as link_calls does. Other
+    columns are ignored; an empty table gives no calls.
+    """
     turn = F.col("turn").cast("bigint")
     name = lambda t: F.concat(F.lit("turn-"), t.cast("string"))
-    user = conversations.where("role = 'user'")
+    user, assistant = conversations.where("role = 'user'"), conversations.where("role = 'assistant'")
     arguments = F.to_json(F.struct(F.col("text").alias("text"), turn.alias("turn")))
-    calls = user.select("conv_id", name(turn).alias("call_id"), F.lit("reply").alias("tool"), arguments.alias("arguments"), F.array(name(turn - 2)).alias("after"))
-    results = conversations.where("role = 'assistant'").select("conv_id", name(turn - 1).alias("call_id"), F.col("text").alias("content"))
-    return calls, results
+    asked = user.select("conv_id", name(turn).alias("call_id"), F.lit("reply").alias("tool"), arguments.alias("arguments"), F.array(name(turn - 2)).alias("after"))
+    # few texts hold calls: the others are not read as JSON
+    held = assistant.where(F.contains("text", F.lit("tool_calls"))).select("conv_id", F.explode(F.from_json("text", _CALLS)["tool_calls"]).alias("c")).where("c is not null")
+    held = held.select(
+        "conv_id", F.col("c.id").alias("call_id"), F.coalesce("c.name", "c.function.name").alias("tool"), F.coalesce("c.arguments", "c.function.arguments").alias("arguments"), F.col("c.after").alias("after"))
+    answers = assistant.select("conv_id", name(turn - 1).alias("call_id"), F.col("text").alias("content"))
+    found = conversations.where((F.col("role") == "tool") & F.contains("text", F.lit("tool_call_id"))).select("conv_id", F.from_json("text", _RESULT).alias("r")).where("r.tool_call_id is not null")
+    found = found.select("conv_id", F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("content"))
+    return asked.unionByName(held), answers.unionByName(found)

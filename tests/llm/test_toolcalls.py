@@ -91,3 +91,23 @@ def test_no_schema_or_number_ends_the_job(spark):
     got = {(r.conv_id, r.call_id): r for r in tc.link_calls(spark.createDataFrame(calls, text(CALLS)), spark.createDataFrame(results, text(RESULTS)), schemas).collect()}
     assert len(got) == 8 and got["-", "a"].valid and not got["-", "a"].linked and got[None, "a"].linked
     assert not any(got["1", c].valid for c in "bcdefg") and got["1", "f"].problems == got["1", "g"].problems == "$: not JSON"
+
+
+def test_calls_that_texts_hold(spark):
+    """Named and nested forms, arguments as object and as text, results by identifier; bad arguments, unknown tools and texts that are no JSON."""
+    calls = {"tool_calls": [
+        {"id": "c1", "name": "reply", "arguments": {"text": "hi", "turn": 3}}, {"id": "c2", "function": {"name": "reply", "arguments": '{"text": "", "turn": -1}'}, "after": ["c1", "turn-0"]},
+        {"id": "c3", "name": "weather", "arguments": {"b": 1, "a": [1.0, "\u00e9"]}}, {"name": "reply", "arguments": "{"}, None]}
+    rows = [
+        (1, 0, "user", "what?", 9), (1, 1, "assistant", json.dumps(calls), 9), (1, 2, "tool", '{"tool_call_id": "c2", "content": {"b": 1}}', 9), (1, 3, "tool", '{"tool_call_id": "c1", "content": "yes"}', 9),
+        (1, 4, "tool", "tool_call_id of none", 9), (2, 1, "assistant", "about tool_calls: {", 9), (2, 2, "assistant", '{"tool_calls": 3}', 9), (2, 3, "assistant", None, 9), (2, 4, "tool", None, 9),
+        (None, 0, "assistant", '{"tool_calls": [{"id": "c1", "name": null, "arguments": null}]}', 9), (3, 0, "user", None, 9), (3, 1, None, "x", 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, c int")
+    got = {(r.conv_id, r.call_id): r for r in tc.link_calls(*tc.conversation_calls(df), tc.REPLY).collect()}
+    assert set(got) == {(1, "turn-0"), (1, "c1"), (1, "c2"), (1, "c3"), (1, None), (None, "c1"), (3, "turn-0")}
+    assert got[1, "c1"].valid and got[1, "c1"].json == '{"arguments":{"text":"hi","turn":3},"call_id":"c1","name":"reply","result":"yes"}'
+    c2 = got[1, "c2"]
+    assert c2.level == 1 and c2.linked and not c2.valid and c2.problems == "$.text: too short; $.turn: below minimum" and json.loads(c2.json)["result"] == '{"b":1}'
+    assert got[1, "c3"].problems == "$: no such tool" and not got[1, "c3"].linked and '"arguments":{"a":[1,"é"],"b":1}' in got[1, "c3"].json
+    assert got[1, None].problems == "$: not JSON" and got[None, "c1"].problems == "$: no such tool" and got[1, "turn-0"].linked
+    assert got[3, "turn-0"].problems == "$: text missing" and not got[3, "turn-0"].linked
