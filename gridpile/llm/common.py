@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
+    """The cluster's shared scratch folder (spark.checkpoint.dir); a local one only where that is unset and Spark is local, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="gridpile-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
