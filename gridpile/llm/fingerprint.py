@@ -7,6 +7,7 @@ one sketch found in another estimates containment even between a sentence and a
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,22 +98,65 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _range_of(df: DataFrame, rows_each: int) -> tuple[DataFrame, int]:
-    """Adds _range, the number of the id range that a row falls in; ranges hold about rows_each rows, by quantiles of the ids."""
+_FIRST = -(1 << 63)
+#: Ids that more ranges than these would hold are split by their texts; smaller ones lie in one range.
+_WHOLE_ID = 8
+_SUBS = 1 << 16
+
+
+def _prefix(text: str = "text") -> F.Column:
+    """The text's first 7 bytes as a number, in the order of texts."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.substring(text, 1, 7), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+
+
+def _split_ids(df: DataFrame, bounds: list[int]) -> list[tuple[int, list[int]]]:
+    """(id, bounds of _prefix) of ids that are many of the ranges' bounds, which have at most twice as many here."""
+    many = Counter(bounds)
+    octaves: dict[int, list[int]] = {}
+    for i, n in many.items():
+        if n > _WHOLE_ID:
+            octaves.setdefault(n.bit_length(), []).append(i)
+    found = []
+    for k, ids in octaves.items():
+        listed = F.broadcast(df.sparkSession.createDataFrame([(i,) for i in ids], "_key bigint"))
+        cuts = F.percentile_approx(_prefix(), [j / (1 << k) for j in range(1, 1 << k)], 10 << k)
+        found += [(r._key, sorted(set(r.b))) for r in df.join(listed, "_key").groupBy("_key").agg(cuts.alias("b")).collect()]
+    return found
+
+
+def _range_of(df: DataFrame, rows_each: int) -> tuple[DataFrame, bool]:
+    """Adds _key, the id with null as the least number, _prefix, and _range, the number of the range that a row falls in.
+
+    Ranges follow the order of (id, text) and hold about rows_each rows, by quantiles of the ids. An id that very many rows share
+    has ranges of its own by the first bytes of its texts; rows whose texts begin alike stay together. The second result tells
+    whether there is such an id; if not, _prefix is 0.
+    """
+    df = df.withColumn("_key", F.coalesce("doc_id", F.lit(_FIRST)))
+    whole = df.withColumn("_prefix", F.lit(0).cast("bigint"))
     n = df.count()
     ranges = int(min(32_768, max(1, -(-n // rows_each))))
     if ranges == 1:
-        return df.withColumn("_range", F.lit(0)), 1
-    bounds = df.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("b")).first().b or []
-    bounds = sorted(set(bounds))
+        return whole.withColumn("_range", F.lit(0).cast("bigint")), False
+    every = df.select(F.percentile_approx("_key", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("b")).first().b or []
+    bounds = sorted(set(every))
+    if not bounds:
+        return whole.withColumn("_range", F.lit(0).cast("bigint")), False
     groups = [bounds[i : i + 32] for i in range(0, len(bounds), 32)]
     coarse = F.array(*[F.lit(g[0]) for g in groups[1:]]) if len(groups) > 1 else F.array().cast("array<bigint>")
-    fine = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups]) if groups else None
-    if fine is None:
-        return df.withColumn("_range", F.lit(0)), 1
-    above = lambda values: F.size(F.filter(values, lambda x: x <= F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))))
-    df = df.withColumn("_coarse", above(coarse)).withColumn("_range", F.col("_coarse") * 32 + above(F.element_at(fine, F.col("_coarse") + 1)))
-    return df.drop("_coarse"), len(bounds) + 1
+    fine = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups])
+    above = lambda values: F.size(F.filter(values, lambda x: x <= F.col("_key")))
+    number = lambda df: df.withColumn("_coarse", above(coarse)).withColumn("_range", F.col("_coarse").cast("bigint") * 32 + above(F.element_at(fine, F.col("_coarse") + 1))).drop("_coarse")
+    split = _split_ids(df, every)
+    if not split:
+        return number(whole), False
+    # one row for each split id; their bounds are at most twice as many as the ranges
+    table = df.sparkSession.createDataFrame(split, "_key bigint, _cuts array<bigint>")
+    rows = number(df).withColumn("_prefix", _prefix()).join(F.broadcast(table), "_key", "left")
+    # a split id is a bound, so it begins its range; larger ids of that range come after it
+    start = number(table.select("_key")).select("_range", F.lit(True).alias("_begun"))
+    rows = rows.join(F.broadcast(start), "_range", "left")
+    sub = F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda x: x <= F.col("_prefix")))).when(F.col("_begun"), _SUBS - 1).otherwise(0)
+    return rows.withColumn("_range", F.col("_range") * _SUBS + sub).drop("_cuts", "_begun"), True
 
 
 def fingerprint_edits(documents: DataFrame, rows_each: int = 500) -> DataFrame:
@@ -120,24 +164,26 @@ def fingerprint_edits(documents: DataFrame, rows_each: int = 500) -> DataFrame:
 
     The edited text has its last floor(n/2) code points replaced by the first of the next document's (by doc_id; the last's
     next is the first). Documents are dealt once into ranges of ids, read in order, and each range also gets the first row of
-    the next, so no other exchange and no global order is needed. Equal ids are ordered by text and lie in one range, as null
-    ids do, which come first; null texts are empty; a lone document follows itself. Other columns are ignored.
+    the next, so no other exchange and no global order is needed. Null ids come first. Equal ids, null ones too, are ordered by
+    text; where very many rows share an id they are split into ranges by the first bytes of their texts, and only rows whose
+    texts begin alike stay together (a range is streamed, not held). Null texts are empty; a lone document follows itself; an
+    empty table gives an empty result. Other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
-    docs, ranges = _range_of(docs, rows_each)
-    firsts = sorted((r._range, r.doc_id) for r in docs.groupBy("_range").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id")).collect())
+    docs, _ = _range_of(docs, rows_each)
+    firsts = sorted((r._range, *r.f) for r in docs.groupBy("_range").agg(F.min(F.struct("_key", "_prefix")).alias("f")).collect())
     if not firsts:
-        firsts = [(0, 0)]
-    # one row for each range: (range that needs it, id of the row); at most 32,768 of them
-    ghosts = [(r, firsts[(i + 1) % len(firsts)][1]) for i, (r, _) in enumerate(firsts)]
+        firsts = [(0, 0, 0)]
+    # one row for each range: (range that needs it, id and text's first bytes of the row); at most 100,000 of them
+    ghosts = [(r, *firsts[(i + 1) % len(firsts)][1:]) for i, (r, *_) in enumerate(firsts)]
     spark = documents.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(ghosts, "_to int, _id bigint"))
+    wanted = F.broadcast(spark.createDataFrame(ghosts, "_to bigint, _id bigint, _begins bigint"))
     lent = (
-        docs.join(wanted, F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("_id"))
+        docs.join(wanted, (F.col("_key") == F.col("_id")) & (F.col("_prefix") == F.col("_begins")))
         .groupBy("_to").agg(F.min(F.struct("doc_id", "text")).alias("d"))
         .select(F.col("d.doc_id").alias("doc_id"), F.col("d.text").alias("text"), F.col("_to").alias("_range"), F.lit(1).alias("_ghost"))
     )
-    rows = docs.withColumn("_ghost", F.lit(0)).unionByName(lent)
+    rows = docs.select("doc_id", "text", "_range", F.lit(0).alias("_ghost")).unionByName(lent)
     rows = rows.repartition("_range").sortWithinPartitions("_range", "_ghost", "doc_id", "text")
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, contained_in_next double, next_doc_id bigint"
 

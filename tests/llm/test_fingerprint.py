@@ -103,3 +103,21 @@ def test_plain_fingerprints(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "A  b\n")], "id long, text string")
     got = {r.id: r.fingerprint for r in fp.fingerprints(df).collect()}
     assert got[1] == got[3] and got[2].endswith(":") and got[2] != got[1]
+
+
+def test_an_id_that_many_rows_share_is_split(spark):
+    """A third of all rows have no id, a third one id, some repeat a row: ranges stay small, and each row follows by (id, text)."""
+    r = random.Random(7)
+    rows = [(None, words(r, r.randrange(1, 6))) for _ in range(600)] + [(50, r.choice(["é", "z", "\U0001f600", "w"]) + words(r, r.randrange(1, 6))) for _ in range(600)]
+    rows += [(i, words(r, 3)) for i in range(600)] + [(50, "same row")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    ranged, split = fp._range_of(df, 10)
+    assert split and ranged.groupBy("_range").count().agg({"count": "max"}).first()[0] <= 80
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    want = []
+    for i, (d, t) in enumerate(order):
+        n = order[(i + 1) % len(order)]
+        want.append((d, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + n[1][: len(t) // 2]).encode()).hexdigest(), n[0]))
+    key = lambda x: tuple((y is not None, y or 0) if not isinstance(y, str) else y for y in x)
+    got = [(x.doc_id, x.n_chars, x.edited_sha256, x.next_doc_id) for x in fp.fingerprint_edits(df, rows_each=10).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
