@@ -14,7 +14,14 @@ from ..operators.peaks import bin_peaks
 
 RESOLUTION = 10_000
 SPAN = 2
-BINS = 755
+
+
+def bins(resolution: int = RESOLUTION) -> int:
+    """Bins of the five chromosomes; at a finer resolution matrix and pairs grow with the tables."""
+    return sum((1_000_000 + 250_000 * k) // resolution + 1 for k in range(5))
+
+
+BINS = bins()
 
 
 @lru_cache(maxsize=256)
@@ -28,10 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
-def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+def genome(spark: SparkSession, sf_dir: str, resolution: int = RESOLUTION) -> DataFrame:
     """Five chromosomes, one for each region."""
     chroms = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("ord"), F.col("r_name").alias("chrom"), (1_000_000 + 250_000 * F.col("r_regionkey")).cast("bigint").alias("size_bp"))
-    return sections(chroms, RESOLUTION)
+    return sections(chroms, resolution)
 
 
 def raw_peaks(spark: SparkSession, sf_dir: str, side: str, features: bool = False) -> DataFrame:
@@ -46,21 +53,22 @@ def raw_peaks(spark: SparkSession, sf_dir: str, side: str, features: bool = Fals
     return rows.select(F.col("r_name").alias("chrom"), at.alias("p1"), at.alias("p2"), (F.col("f") if features else F.lit("")).alias("feature"))
 
 
-def peaks(spark: SparkSession, sf_dir: str, side: str, features: bool = False) -> DataFrame:
-    return bin_peaks(raw_peaks(spark, sf_dir, side, features), genome(spark, sf_dir), RESOLUTION, SPAN)
+def peaks(spark: SparkSession, sf_dir: str, side: str, features: bool = False, resolution: int = RESOLUTION) -> DataFrame:
+    return bin_peaks(raw_peaks(spark, sf_dir, side, features), genome(spark, sf_dir, resolution), resolution, SPAN)
 
 
-def bad(spark: SparkSession) -> DataFrame:
-    return spark.range(BINS).where("id % 37 = 0").select(F.col("id").alias("bin"))
+def bad(spark: SparkSession, resolution: int = RESOLUTION) -> DataFrame:
+    return spark.range(bins(resolution)).where("id % 37 = 0").select(F.col("id").alias("bin"))
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reads(spark: SparkSession, sf_dir: str, resolution: int = RESOLUTION) -> DataFrame:
+    n = bins(resolution)
     return table(spark, sf_dir, "lineitem").select(
-        ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17) % BINS).alias("a"), ((F.col("l_partkey") * 13 + F.col("l_suppkey") * 7) % BINS).alias("b"), F.col("l_linenumber").alias("line"))
+        ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17) % n).alias("a"), ((F.col("l_partkey") * 13 + F.col("l_suppkey") * 7) % n).alias("b"), F.col("l_linenumber").alias("line"))
 
 
-def bias(spark: SparkSession) -> DataFrame:
-    return spark.range(BINS).select(F.col("id").alias("bin"), F.element_at(F.array(*[F.lit(x) for x in (0.5, 1.0, 2.0, 4.0)]), (F.col("id") % 4 + 1).cast("int")).alias("b"))
+def bias(spark: SparkSession, resolution: int = RESOLUTION) -> DataFrame:
+    return spark.range(bins(resolution)).select(F.col("id").alias("bin"), F.element_at(F.array(*[F.lit(x) for x in (0.5, 1.0, 2.0, 4.0)]), (F.col("id") % 4 + 1).cast("int")).alias("b"))
 
 
 def decay_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +77,7 @@ def decay_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genome(spark, sf_dir).select("chrom").join(d)
 
 
-def contacts(spark: SparkSession, sf_dir: str, with_decay: bool = False) -> DataFrame:
+def contacts(spark: SparkSession, sf_dir: str, with_decay: bool = False, resolution: int = RESOLUTION) -> DataFrame:
     """(bin1, bin2, raw, nrm) without bad bins."""
-    clean = drop_bad(upper_half(count_contacts(reads(spark, sf_dir))), bad(spark))
-    return normalise(clean, bias(spark), decay_table(spark, sf_dir) if with_decay else None, genome(spark, sf_dir))
+    clean = drop_bad(upper_half(count_contacts(reads(spark, sf_dir, resolution))), bad(spark, resolution))
+    return normalise(clean, bias(spark, resolution), decay_table(spark, sf_dir) if with_decay else None, genome(spark, sf_dir, resolution))

@@ -205,6 +205,8 @@ for _w in ("intra", "inter", "all", "range"):
     SQL[f"waffle_{_w}"] = f"WITH {PEAKS}{MATRIX}{_pairs(_w)}{_cells()} SELECT x, y, {_SUMS}, {_COUNT} FROM hit GROUP BY x, y"
 for _w, _op in (("intra", "="), ("inter", "<>")):
     SQL[f"contacts_window_{_w}"] = f"""WITH {PEAKS}{MATRIX} SELECT mat.* FROM mat JOIN sec x ON bin1 >= x.bin_start AND bin1 < x.bin_end JOIN sec y ON bin2 >= y.bin_start AND bin2 < y.bin_end WHERE x.chrom {_op} y.chrom"""
+#: At 1,000 bases a bin the genome has 7,505 bins.
+SQL["waffle_fine"] = SQL["waffle_intra"].replace("/ 10000.0", "/ 1000.0").replace("755", "7505")
 _parts = []
 for _label, _on in (("intra", _NEAR), *((f"{a}0000-{b}0000" if a else f"0-{b}0000", f"{_NEAR} AND abs(a.bin - b.bin) > {a} AND abs(a.bin - b.bin) <= {b}") for a, b in ((0, 30), (30, 60), (60, 300)))):
     _parts.append((_label, _on))

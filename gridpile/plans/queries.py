@@ -17,6 +17,7 @@ from . import fixture as X
 
 S, R = X.SPAN, X.RESOLUTION
 RANGE = "100000-400000"
+FINE = 1_000
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -117,6 +118,16 @@ for _name, _w in (("all", "all"), ("intra", "intra"), ("inter", "inter"), ("rang
     QUERIES[f"waffle_{_name}"] = lambda spark, d, w=_w: _waffle(spark, d, w)
 
 
+@query
+def waffle_fine(spark: SparkSession, d: str) -> DataFrame:
+    """The waffle at ten times the resolution: its matrix and its pairs grow with the tables."""
+    bad = X.bad(spark, FINE)
+    a, b = (K.drop_all_bad(X.peaks(spark, d, side, resolution=FINE), S, bad) for side in "AB")
+    p = P.pair_peaks(a, b, S)
+    cells = W.waffle(p, X.contacts(spark, d, resolution=FINE), S)
+    return _shown(cells).join(F.broadcast(P.count_pairs(p)), "grp").drop("grp")
+
+
 @query
 def pairs_self(spark: SparkSession, d: str) -> DataFrame:
     """One list with features against itself: both orders of a label of two features occur."""
