@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosspoly, fingerprint, langid, maxent, mixing, omh, packing, pii, ranked, toolcalls, variants, warc
+from . import crosspoly, fingerprint, langid, maxent, mixing, omh, packing, pii, ranked, repeats, toolcalls, variants, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +66,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_scaled_sketch, op2_tool_calls, op3_source_mix, op4_warc_transactions, op5_order_minhash, op6_maxent_lm, op7_language_fusion, op8_length_buckets, op9_pii_spans, op10_cross_polytope, op11_window_search, op12_spelling_variants)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_scaled_sketch, op2_tool_calls, op3_source_mix, op4_warc_transactions, op5_order_minhash, op6_maxent_lm, op7_language_fusion, op8_length_buckets, op9_pii_spans, op10_cross_polytope, op11_window_search, op12_spelling_variants, op13_suffix_dedup)}
 
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = "regexp_extract_all(" + _LOWERED.format("text") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
