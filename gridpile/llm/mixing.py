@@ -2,7 +2,7 @@
 
 Every row has a hash of its id; a source's share of a budget is the rows below a threshold. Words are summed by source and
 hash bucket, prefix sums over at most BUCKETS rows a source find the bucket where the budget runs out, and only that bucket is
-summed again at a finer grain. The hash is of the row's id and text, so rows that share an id are spread too. What is left at
+summed again at a finer grain. The hash is of the row's id, text and source, so rows that share an id are spread too. What is left at
 the end, the rows of one fine bucket or rows equal throughout, is taken by k of the n rows of one hash, and what is missing
 then is made up by rows of fitting size. Thresholds are nested: a smaller budget takes a subset of a larger one's rows.
 """
@@ -65,7 +65,7 @@ def _threshold(rows: DataFrame) -> DataFrame:
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    """Adds a key of the row's source that joins null sources too, and _u, a hash of id and text and, where rows repeat both, of their number; _h are its first 2 * _BITS bits."""
+    """Adds a key of the row's source that joins null sources too, and _u, a hash of id, text and source and, where rows repeat all, of their number; _h are its first 2 * _BITS bits."""
     df = df.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")))
     df = number_repeats(df, ["_d"])
     u = F.when(F.col("_nth") == 0, F.col("_d")).otherwise(F.xxhash64("_d", "_nth"))
@@ -73,7 +73,7 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 
 def _digest() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("bigint"), text_or_empty("text"))
+    return F.xxhash64(F.col("doc_id").cast("bigint"), text_or_empty("text"), F.col("source").cast("string"))
 
 
 def _words(text: str = "text") -> Column:
@@ -124,8 +124,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     """How many times the mix takes each document: doc_id, size (words), source_size, target, taken, source, copies.
 
     A source of size S and target T takes every row floor(T / S) times and those under the hash threshold once more, so no
-    row is taken more than most times. Rows with equal ids but other texts are taken each by its own hash; of n rows equal in
-    both k are taken, whichever. A null id hashes as any other value, a null source is a source, a null text has no words,
+    row is taken more than most times. Rows with equal ids but other texts or sources are taken each by its own hash; of n rows
+    equal in all three k are taken, whichever. A null id hashes as any other value, a null source is a source, a null text has no words,
     and a source without words takes nothing. An empty table gives an empty result. Other columns are ignored.
     """
     rows, plan = plan_mix(documents, weights, most)

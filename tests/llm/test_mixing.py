@@ -83,3 +83,15 @@ def test_repeated_and_null_ids(spark, equal):
     key = lambda x: (x.doc_id is None, x.doc_id or 0, x.size, x.taken)
     assert sorted(map(key, got)) == sorted(map(key, mixing.mix(df.repartition(5)).collect()))
     assert sum(len(x.text.split()) for x in mixing.apply_mix(df).collect()) == sum(x.taken for x in got)
+
+
+def test_equal_rows_in_two_sources(spark):
+    """60 equal rows in each of two sources: the plan and the mixed corpus agree, each source within a row of its target."""
+    from pyspark.sql import functions as F
+
+    text = "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([(5, text, s) for s in ("A", "B") for _ in range(60)], "doc_id long, text string, source string")
+    plan = {r.source: r for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.sum("copies").alias("rows")).collect()}
+    mixed = {r.source: r["count"] for r in mixing.apply_mix(docs).groupBy("source").count().collect()}
+    for s in "AB":
+        assert mixed[s] == plan[s].rows and abs(9 * mixed[s] - plan[s].target) <= 9
