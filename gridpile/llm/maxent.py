@@ -10,7 +10,7 @@ estimated from words seen once and twice, so an unseen word has a probability as
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -304,7 +304,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
     spark = docs.sparkSession
     w = np.zeros((ROWS, CLASSES), np.float32)
     w[0] = np.log(vocabulary.class_share)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = spark.sparkContext.broadcast(asdict(vocabulary))  # plain arrays: workers need not have this package
     schema = "block int, salt int, seen binary, moved binary"
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(w)
@@ -312,7 +312,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            v, w = shared.value, start.value.copy()
+            v, w = Vocabulary(**shared.value), start.value.copy()
             state, seen = np.full(w.shape, 1.0, np.float32), np.zeros(ROWS, np.float64)
             held: list[tuple[np.ndarray, np.ndarray]] = []
             for _, t, offsets in _slices(batches, 0):
@@ -364,10 +364,10 @@ def score_documents(documents: DataFrame) -> DataFrame:
     vocabulary = build_vocabulary(docs, counts)
     w = train(docs, vocabulary)
     spark = documents.sparkSession
-    model = spark.sparkContext.broadcast((vocabulary, w))
+    model = spark.sparkContext.broadcast((asdict(vocabulary), w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w = model.value
+        v, w = Vocabulary(**model.value[0]), model.value[1]
         words = v.word_logs(w) / np.log(10)
         for part, t, offsets in _slices(batches, 2):
             cls = v.classes(t)
