@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, small_batches, stored, text_or_empty
@@ -129,13 +129,13 @@ def page_evidence(pages: DataFrame) -> DataFrame:
         F.concat(F.substring_index(host, ".", -1), F.lit("/"), F.lower(code)).alias("suffix"), host.alias("host"), F.substring_index(host, ".", -2).alias("domain"))
 
 
-def document_evidence(documents: DataFrame) -> DataFrame:
-    """Documents have no address: their source stands for host and domain, and what markup their text has for a declaration."""
+def document_evidence(documents: DataFrame, **more: Column) -> DataFrame:
+    """Documents have no address: their source stands for host and domain, and what markup their text has for a declaration. more: columns to carry along."""
     declared = F.lower(F.regexp_extract(text_or_empty("text"), r"""(?i)<html\b[^>]{0,200}?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
     source = F.col("source").cast("string")
     return documents.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"), F.when(declared != "", declared).alias("declared"),
-        F.lit(None).cast("string").alias("suffix"), source.alias("host"), source.alias("domain"))
+        F.lit(None).cast("string").alias("suffix"), source.alias("host"), source.alias("domain"), *[c.alias(n) for n, c in more.items()])
 
 
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], name: str = "langid", entities: bool = False) -> DataFrame:
