@@ -6,7 +6,7 @@ front-codes the rest: each keeps what its predecessor does not have. Runs are cu
 loser tree merges them by the common prefixes that are already known (those inside a run come with it). A suffix counts with GRAM
 bytes of text, then a fingerprint of all strings that it stands for, those of LENGTH bytes whose sampled place it is. After the
 merge equal fingerprints are adjacent, and all strings of such a suffix are repeated; where only the first bytes are equal, as at
-the ends of a shared passage, the strings are compared one by one, by fingerprints of 128 bits, in grouped aggregation.
+the ends of a shared passage, the texts around are fetched and their strings compared one by one, by fingerprints of 128 bits.
 
 Texts are known by the first bytes of their SHA-256, so equal texts are one. No group of equal passages meets in one task: runs
 and partial sums collapse equal ones before any exchange, and splitters cut between fingerprints too.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, stored
+from .common import broadcast_if_small, mix, small_batches, stored
 
 LENGTH = 200
 GRAM = 24
@@ -33,6 +33,8 @@ KEY = GRAM + 16
 DIGEST = 12
 #: Suffixes of a run, and of a part of the exchange.
 RUN, PART = 400_000, 100_000
+#: Contexts compared in one task, on average, and those that share their first bytes before they are compared row by row.
+BUCKET, LARGE = 8_000, 20_000
 #: Suffixes that the splitters are taken from, for each part and in all; they only decide how even the parts are.
 SAMPLE, MOST_SAMPLED = 100, 1_000_000
 _STEP = 1 << 20
@@ -185,8 +187,9 @@ def _splitters(texts: DataFrame, size: int, parts: int) -> list[bytes]:
     return [bytes(keys[len(keys) * k // parts]) for k in range(1, parts)] if keys else []
 
 
-def merged(runs: list[tuple[bytes, bytes]]) -> tuple[list[int], list[int]]:
-    """Merges front-coded runs (lcps, rests): the runs in the order of their keys, and what each key has in common with the one before.
+def merged(runs: list[tuple[bytes, bytes]]) -> tuple[list[int], list[int], list[bytes]]:
+    """Merges front-coded runs (lcps, rests): the runs in the order of their keys, what each key has in common with the one before,
+    and the different first GRAM bytes in order.
 
     A loser tree. A node keeps the loser of its match and how long a prefix it shares with the winner; whoever shares more with
     the last key that went out is the smaller, and only at equal lengths are bytes looked at, from that length on.
@@ -239,10 +242,12 @@ def merged(runs: list[tuple[bytes, bytes]]) -> tuple[list[int], list[int]]:
 
     # at the start nothing has gone out: all keys share nothing with it
     winner, length = build(1)
-    out, shared = [], []
+    out, shared, heads = [], [], []
     while winner >= 0 and keys[winner] is not None:
         out.append(winner)
         shared.append(length)
+        if length < GRAM or not heads:
+            heads.append(keys[winner][:GRAM])
         r, length = winner, advance(winner)
         node = (r + size) >> 1
         while node:
@@ -258,17 +263,17 @@ def merged(runs: list[tuple[bytes, bytes]]) -> tuple[list[int], list[int]]:
                     r, length, loser[node], common[node] = match(r, length, other, lo)
             node >>= 1
         winner = r
-    return out, shared
+    return out, shared, heads
 
 
-_FOUND = "digest binary, low int, high int, repeated boolean, compare boolean"
+_FOUND = "digest binary, low int, high int, gram bigint, repeated boolean, compare boolean"
 
 
 def _merge_part(splitters: list[bytes]):
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         rows = table.to_pylist()
-        order, shared = merged([(r["lcps"], r["rests"]) for r in rows])
+        order, shared, heads = merged([(r["lcps"], r["rests"]) for r in rows])
         order, shared = np.array(order, np.int64), np.array(shared, np.int64)
         # a run's keys come in its own order: number them run by run
         base = np.cumsum([0] + [r["keys"] for r in rows])
@@ -286,84 +291,134 @@ def _merge_part(splitters: list[bytes]):
         kinds = np.bincount(group[first_of_key], minlength=group[-1] + 1)
         # a group that a splitter may have cut has members in another part
         ends = [keyed[:GRAM] for keyed in ([splitters[part - 1]] if part else []) + ([splitters[part]] if part < len(splitters) else [])]
-        if ends:
-            low, high = min(r["rests"][:GRAM] for r in rows), max(_last(r["lcps"], r["rests"])[:GRAM] for r in rows)
-            kinds[0] += low in ends
-            kinds[-1] += high in ends
+        kinds[0] += heads[0] in ends
+        kinds[-1] += heads[-1] in ends
         repeated = times[key] >= 2
         compare = kinds[group] >= 2
         head = np.zeros(len(key), bool)
         head[first_of_key] = True
         keep = repeated | compare
-        entry, repeated, compare, head = entry[keep], repeated[keep], compare[keep], head[keep]
+        entry, repeated, compare, head, group = entry[keep], repeated[keep], compare[keep], head[keep], group[keep]
+        number = {g: int.from_bytes(hashlib.blake2b(heads[g], digest_size=8).digest(), "big", signed=True) for g in np.unique(group)}
         n = counts[entry]
         at = np.repeat(refs[entry] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         repeated, compare = np.repeat(repeated, n), np.repeat(compare, n)
+        gram = np.repeat(np.array([number[g] for g in group], np.int64), n)
         # of a repeated suffix one occurrence stands for all in comparisons
         lead = np.zeros(len(at), bool)
         lead[(np.cumsum(n) - n)[head]] = True
         compare &= ~repeated | lead
         return pa.table({
             "digest": pa.FixedSizeBinaryArray.from_buffers(pa.binary(DIGEST), len(at), [None, pa.py_buffer(np.ascontiguousarray(digests[at]))]).cast(pa.binary()),
-            "low": pa.array(places[at, 0].astype(np.int32)), "high": pa.array(places[at].sum(axis=1).astype(np.int32)), "repeated": pa.array(repeated), "compare": pa.array(compare)})
+            "low": pa.array(places[at, 0].astype(np.int32)), "high": pa.array(places[at].sum(axis=1).astype(np.int32)), "gram": pa.array(gram), "repeated": pa.array(repeated), "compare": pa.array(compare)})
 
     return run
 
 
-def _last(lcps: bytes, rests: bytes) -> bytes:
-    """The last key of a front-coded run."""
-    key, at = b"", 0
-    for same in lcps:
-        key = key[:same] + rests[at : at + KEY - same]
-        at += KEY - same
-    return key
+def _packed(texts: DataFrame) -> DataFrame:
+    """Texts (digest, text) as (digest, size, packed), compressed for the way to other tasks; of equal texts a task gives one."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, seen = pa.Codec("zstd", 3), set()
+        for b in batches:
+            out = []
+            for digest, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if digest not in seen:
+                    seen.add(digest)
+                    raw = text.as_buffer()
+                    out.append((digest, raw.size, codec.compress(raw, asbytes=True)))
+            columns = zip(*out, strict=True) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.binary()), strict=True)], ["digest", "size", "packed"])
+
+    return texts.select("digest", "text").mapInArrow(run, "digest binary, size int, packed binary")
+
+
+_CONTEXT = "gram bigint, digest binary, low int, repeated boolean, around binary"
 
-def _compared(rows: DataFrame) -> DataFrame:
-    """Fingerprints (a, b) of the strings that rows (digest, text, spans of low, high, repeated) ask about, with weight and place."""
+
+def _contexts(rows: DataFrame) -> DataFrame:
+    """The text around suffixes: for rows (digest, size, packed, spans) what the strings of each span cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
         for b in batches:
-            raw, offsets = _utf8(b.column(1))
-            for i, spans in enumerate(b.column(2).to_pylist()):
-                text = raw[offsets[i] : offsets[i + 1]]
-                low, high, done = (np.array([s[k] for s in spans]) for k in ("low", "high", "repeated"))
-                size = high - low + 1
-                start = np.repeat(low - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                order = np.argsort(start, kind="stable")
-                start, weight = start[order], np.repeat(np.where(done, 2, 1), size)[order].astype(np.int32)
-                for step in range(0, len(text), _STEP):
-                    own = slice(*np.searchsorted(start, [step, step + _STEP]))
-                    if own.start == own.stop:
-                        continue
-                    sums, begin = _Sums(text[step : step + _STEP + LENGTH]), start[own] - step
-                    x, y = (mix(sums.of(begin, begin + LENGTH, k)).view(np.int64) for k in (0, 1))
-                    columns = [pa.array(x), pa.array(y), pa.array(weight[own]), pa.array([b.column(0)[i].as_py()] * len(x), pa.binary()), pa.array(start[own].astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["a", "b", "weight", "digest", "place"])
-
-    return rows.select("digest", "text", "spans").mapInArrow(run, "a bigint, b bigint, weight int, digest binary, place int")
+            for digest, size, packed, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                text = codec.decompress(packed, size, asbytes=True)
+                cut = [text[s["low"] : s["high"] + LENGTH] for s in spans]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s["gram"] for s in spans], pa.int64()), pa.array([digest] * len(cut), pa.binary()), pa.array([s["low"] for s in spans], pa.int32()), pa.array([s["repeated"] for s in spans]), pa.array(cut, pa.binary())],
+                    ["gram", "digest", "low", "repeated", "around"])
+
+    return rows.select("digest", "size", "packed", "spans").mapInArrow(run, _CONTEXT)
+
+
+def _strings(around: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """All strings of LENGTH bytes of some contexts, in pieces: the context, its place in there, and two hashes."""
+    at = 0
+    while at < len(around):
+        end, size = at, 0
+        while end < len(around) and size + len(around[end]) <= _STEP:
+            size += len(around[end])
+            end += 1
+        sums = _Sums(np.frombuffer(b"".join(around[at:end]), np.uint8))
+        lengths = np.array([len(x) for x in around[at:end]])
+        n = lengths - LENGTH + 1
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        begin = place + np.repeat(np.cumsum(lengths) - lengths, n)
+        yield np.repeat(np.arange(at, end), n), place, *(mix(sums.of(begin, begin + LENGTH, k)).view(np.int64) for k in (0, 1))
+        at = end
+
+
+def _compare_bucket(table: pa.Table) -> pa.Table:
+    """(digest, low, high) of the strings of contexts that are repeated among them; equal strings are in one bucket."""
+    row, place, a, b = (np.concatenate(x) for x in zip(*_strings(table.column("around").to_pylist()), strict=True))
+    done = table.column("repeated").to_numpy(zero_copy_only=False)
+    weight = np.where(done, 2, 1)[row]
+    order = np.lexsort((b, a))
+    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+    twice = np.empty(len(row), bool)
+    twice[order] = (np.add.reduceat(weight[order], np.flatnonzero(new)) >= 2)[np.cumsum(new) - 1]
+    hit = np.flatnonzero(twice & ~done[row])
+    first = np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(row[hit]) > 0)]) if len(hit) else np.zeros(0, bool)
+    begin, end = hit[first], hit[np.append(first[1:], True)] if len(hit) else hit
+    low = table.column("low").to_numpy()[row[begin]]
+    return pa.table({"digest": table.column("digest").take(pa.array(row[begin])), "low": pa.array((low + place[begin]).astype(np.int32)), "high": pa.array((low + place[end]).astype(np.int32))})
+
+
+def _compared(contexts: DataFrame) -> DataFrame:
+    """Every string of the contexts as a row: its hashes a and b, weight, digest and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            low, done = x.column(2).to_numpy(), x.column(3).to_numpy(zero_copy_only=False)
+            for row, place, a, b in _strings(x.column(4).to_pylist()):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a), pa.array(b), pa.array(np.where(done[row], 2, 1).astype(np.int32)), x.column(1).take(pa.array(row)), pa.array((low[row] + place).astype(np.int32))],
+                    ["a", "b", "weight", "digest", "place"])
+
+    return contexts.mapInArrow(run, "a bigint, b bigint, weight int, digest binary, place int")
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """(digest, n_removed, n_spans, kept_sha256) of rows (digest, text, spans of low, high): the text without what the repeated strings cover."""
+    """(digest, n_removed, n_spans, kept_sha256) of rows (digest, size, packed, spans of low, high): the text without what the repeated strings cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
         for b in batches:
-            raw, offsets = _utf8(b.column(1))
             out = []
-            for i, spans in enumerate(b.column(2).to_pylist()):
-                text = raw[offsets[i] : offsets[i + 1]]
+            for digest, size, packed, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                text = np.frombuffer(codec.decompress(packed, size, asbytes=True), np.uint8)
                 edge = np.zeros(len(text) + 1, np.int32)
                 np.add.at(edge, [s["low"] for s in spans], 1)
                 np.add.at(edge, [s["high"] + LENGTH for s in spans], -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 kept = text[~gone].tobytes()
-                out.append((b.column(0)[i].as_py(), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+                out.append((digest, int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
             columns = zip(*out, strict=True) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["digest", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.select("digest", "text", "spans").mapInArrow(run, "digest binary, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return rows.select("digest", "size", "packed", "spans").mapInArrow(run, "digest binary, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -373,11 +428,23 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     splitters = _splitters(texts, size, -(-size // (90 * PART)))
     found = stored(_runs(texts, splitters).groupBy("part").applyInArrow(_merge_part(splitters), _FOUND), "repeated-suffixes")
-    asked = found.where("compare").groupBy("digest").agg(F.collect_list(F.struct("low", "high", "repeated")).alias("spans"))
-    compared = stored(_compared(texts.join(asked, "digest")), "compared-strings")
-    twice = compared.groupBy("a", "b").agg(F.sum("weight").alias("times")).where("times > 1").select("a", "b")
-    open_ones = compared.where("weight = 1")
-    more = open_ones.join(twice, ["a", "b"]).select("digest", F.col("place").alias("low"), F.col("place").alias("high"))
+    asked = found.where("compare").groupBy("digest").agg(F.collect_list(F.struct("low", "high", "gram", "repeated")).alias("spans"))
+    contexts = stored(_contexts(_packed(texts).join(asked, "digest")), "contexts")
+    grams = contexts.groupBy("gram").agg(F.count("*").alias("n"))
+    sizes = stored(grams.groupBy((F.col("n") > LARGE).alias("large")).agg(F.sum("n").alias("n")), "context-sizes")
+    n = {r.large: r.n for r in sizes.collect()}
+    more, usual = None, contexts
+    if True in n:
+        # first bytes that very many different texts share: their strings meet row by row, in partial sums
+        large = broadcast_if_small(stored(grams.where(F.col("n") > LARGE).select("gram"), "large-grams"))
+        strings = stored(_compared(contexts.join(large, "gram", "left_semi")), "compared-strings")
+        twice = strings.groupBy("a", "b").agg(F.sum("weight").alias("times")).where("times > 1").select("a", "b")
+        more = strings.where("weight = 1").join(twice, ["a", "b"]).select("digest", F.col("place").alias("low"), F.col("place").alias("high"))
+        usual = contexts.join(large, "gram", "left_anti")
+    buckets = -(-n.get(False, 0) // BUCKET) or 1
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket")
+    within = usual.select(bucket, "digest", "low", "repeated", "around").groupBy("bucket").applyInArrow(_compare_bucket, "digest binary, low int, high int")
+    more = within if more is None else more.unionByName(within)
     every = found.where("repeated").select("digest", "low", "high").unionByName(more)
     return every.groupBy("digest").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
@@ -396,7 +463,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     rows = rows.withColumn("sha", F.sha2("text", 256)).withColumn("digest", F.substring(F.unhex("sha"), 1, DIGEST))
     texts = rows.where(F.octet_length("text") >= LENGTH).select("digest", "text")
     spans = stored(repeated_spans(texts), "repeated-spans")
-    cut = _cut(texts.join(spans, "digest")).dropDuplicates(["digest"])
+    cut = _cut(_packed(texts).join(spans, "digest")).dropDuplicates(["digest"])
     out = rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "digest", "sha").join(stored(cut, "cut"), "digest", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return out.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))

@@ -50,11 +50,13 @@ def test_all_documents(spark, small):
     assert got == brute(coded(rows))
 
 
-@pytest.mark.parametrize("run, part", [(400_000, 100_000), (40, 30)])
-def test_shared_passages(spark, monkeypatch, run, part):
+@pytest.mark.parametrize("run, part, large", [(400_000, 100_000, 20_000), (40, 30, 5)])
+def test_shared_passages(spark, monkeypatch, run, part, large):
     """Passages of lengths about the threshold, in other surroundings each time, at ends and beginnings, chained and overlapping; many runs and parts."""
     monkeypatch.setattr(repeats, "RUN", run)
     monkeypatch.setattr(repeats, "PART", part)
+    monkeypatch.setattr(repeats, "LARGE", large)
+    monkeypatch.setattr(repeats, "BUCKET", 50)
     rng = random.Random(3)
     passage = noise(rng, 900)
     docs = []
@@ -120,13 +122,14 @@ def test_merge_by_common_prefixes(width):
     keys = [bytes(rng.choice(b"ab") for _ in range(30)) + bytes(rng.choice(b"abc") for _ in range(repeats.KEY - 30)) for _ in range(300)]
     keys += [k[:20] + bytes(20) for k in keys[:40]] + keys[:60]
     parts = [rng.choices(keys, k=rng.randint(1, 200)) for _ in range(width)]
-    order, shared = repeats.merged(runs_of(keys, parts))
+    order, shared, heads = repeats.merged(runs_of(keys, parts))
     queues = [iter(sorted(set(p))) for p in parts]
     out = [next(queues[r]) for r in order]
     assert out == sorted(k for p in parts for k in set(p))
     for i in range(1, len(out)):
         same = next((j for j in range(repeats.KEY) if out[i][j] != out[i - 1][j]), repeats.KEY)
         assert shared[i] == same
+    assert heads == sorted({k[: repeats.GRAM] for k in out})
 
 
 def test_known_prefixes_are_not_compared_again(monkeypatch):
@@ -147,7 +150,7 @@ def test_known_prefixes_are_not_compared_again(monkeypatch):
             return Counting(bytes.__add__(self, other))
 
     runs = [(lcps, Counting(rests)) for lcps, rests in runs_of(None, parts)]
-    order, _ = repeats.merged(runs)
+    order, *_ = repeats.merged(runs)
     assert len(order) == 1600
     # all keys share their first GRAM bytes: after the first matches nobody looks at them
     assert sum(i < repeats.GRAM for i in looked) <= 2 * repeats.GRAM * len(parts)
