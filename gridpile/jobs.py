@@ -13,7 +13,8 @@ from .operators import genome as G
 from .operators import pairs as P
 from .operators import peaks as K
 from .operators import waffle as W
-from .sources import beds, matrices, sizes, waffles
+from .sources import bam, beds, matrices, sizes, waffles
+from .sources.scratch import stored
 
 
 def read_bias(spark: SparkSession, path: str) -> DataFrame:
@@ -26,16 +27,25 @@ def read_decay(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", comment="#", schema="chrom string, dist bigint, d double")
 
 
-def count_reads(spark: SparkSession, sam: str, out: str, resolution: int, bias: str | None = None, decay: str | None = None, bad: Sequence[int] = (), excluded: tuple[int, ...] = ()) -> matrices.Header:
-    """A SAM text to a normalised matrix in text: counted, upper half, without bad bins, each contact by its bins' bias and decay.
+def count_reads(
+    spark: SparkSession, reads: str, out: str, resolution: int, bias: str | None = None, decay: str | None = None, bad: Sequence[int] = (), excluded: tuple[int, ...] = C.DEFAULT_FILTERS,
+    window: str = "all", filter_tag: str = "XF", excluded_bits: int = 0,
+) -> matrices.Header:
+    """A SAM text, or BAM files (a path that ends in .bam, or a folder of such), to a normalised matrix in text: counted, upper half,
+    without bad bins, inside the window, each contact by its bins' bias and decay.
 
+    excluded: numbers of read filters, bits of the whole number that a read holds in filter_tag; reads without the tag were
+    filtered by none. excluded_bits are bits of the read's own flag. window: all, intra, inter, or low-high in bp, both ends in.
     Without a bias file every bin's bias is 1. A contact whose bin has none fails the run.
     """
-    chroms = sizes.sam_sizes(spark, sam)
+    is_bam = reads.rstrip("/").endswith(".bam") or bam.is_folder_of_bam(reads)
+    chroms = bam.bam_sizes(spark, reads) if is_bam else sizes.sam_sizes(spark, reads)
     genome = G.sections(chroms, resolution)
-    reads = sizes.sam_contacts(spark, sam, genome, resolution, C.filter_mask(excluded) if excluded else 0)
+    rows = bam.read_bam(spark, reads, filter_tag) if is_bam else sizes.sam_reads(spark, reads, filter_tag)
+    ends = C.drop_filtered(sizes.read_ends(rows, genome, resolution, excluded_bits), excluded, "filters")
     header = matrices.Header([(r.chrom, r.size_bp) for r in chroms.orderBy("ord").collect()], resolution, sorted(set(bad)))
-    counted = C.drop_bad(C.upper_half(C.count_contacts(reads)), header.bad_df(spark))
+    counted = C.drop_bad(C.upper_half(C.count_contacts(ends)), header.bad_df(spark))
+    counted = C.in_window(counted, P.parse_window(window, resolution), genome)
     table = read_bias(spark, bias) if bias else spark.range(G.total_bins(genome)).select(F.col("id").alias("bin"), F.lit(1.0).alias("b"))
     contacts = C.normalise(counted, table, read_decay(spark, decay) if decay else None, genome)
     matrices.write_matrix_text(contacts.select("bin1", "bin2", "raw", "nrm"), header, out)
@@ -46,7 +56,7 @@ def peak_waffles(
     spark: SparkSession, matrix: str, first: str, second: str | None, out: str, span: int, window: str = "intra", coordinates_as_feature: bool = False,
     both_are_feature: bool = False, max_dist: int | None = None, with_raw: bool = False, submatrices: str | None = None, text: str | None = None,
 ) -> None:
-    """Waffles of the pairs of peaks of one list, or of two, over a matrix in text as count_reads writes it.
+    """Waffles of the pairs of peaks of one list, or of two, over a matrix in text: one file with its header, or a folder as count_reads writes it.
 
     window: intra, inter, all, or low-high in bp; max_dist in bp. With coordinates_as_feature each place of the first list is a
     group; with both_are_feature all pairs are one. submatrices and text: further outputs, of all matched cells and in text.
@@ -59,7 +69,9 @@ def peak_waffles(
     if coordinates_as_feature and second is not None:
         b = b.withColumn("feature", F.lit("")).distinct()
     pairs = P.pair_peaks(a, b, span, P.parse_window(window, header.resolution), labels=submatrices is not None, max_dist=None if max_dist is None else max_dist / header.resolution)
-    contacts = C.drop_bad(matrices.read_matrix(spark, f"{matrix}/body"), bad)
+    contacts = C.drop_bad(matrices.read_matrix(spark, matrix), bad)
+    if submatrices is not None:  # head, waffle and cells are made of the same pairs and contacts
+        pairs, contacts = stored(pairs, "pairs"), stored(contacts, "contacts")
     head = W.waffle_head(K.group_domain(a, None if second is None else b, coordinates_as_feature, both_are_feature), pairs, header.resolution, span, both_are_feature)
     waffles.write_waffle(W.waffle(pairs, contacts, span, both_are_feature, with_raw), head, out)
     if submatrices is not None:
@@ -68,10 +80,14 @@ def peak_waffles(
         waffles.write_text(*waffles.read_waffle(spark, out), text)
 
 
-def merge_waffles(spark: SparkSession, paths: list[str], out: str, split: bool = False) -> list[str]:
-    """Adds waffles of disjoint runs, in one table or in a folder for each group; gives the paths that could not be read."""
+def merge_waffles(spark: SparkSession, paths: list[str], out: str, split: bool = False, run: str | None = None) -> list[str]:
+    """Adds waffles of disjoint runs, in one table or, with split, in a folder for each group, to what other runs put there; gives
+    the paths that could not be read. A run with a name replaces what it wrote before."""
     cells, head, missed = waffles.merge_files(spark, paths)
-    (waffles.write_split if split else waffles.write_waffle)(cells, head, out)
+    if split:
+        waffles.write_split(cells, head, out, run)
+    else:
+        waffles.write_waffle(cells, head, out)
     return missed
 
 

@@ -17,11 +17,21 @@ def sections(chroms: DataFrame, resolution: int) -> DataFrame:
     return out.withColumn("bin_start", F.col("bin_end") - F.col("n_bins")).select("ord", "chrom", "size_bp", "n_bins", "bin_start", "bin_end")
 
 
+#: Bins of a block of the table that bins are looked up in.
+BLOCK = 64
+
+
 def locate(df: DataFrame, genome: DataFrame, column: str, chrom: str = "chrom", local: str = "local_bin") -> DataFrame:
-    """Adds the chromosome and local bin of a global bin; bins outside the genome are left out. No table of bins is made."""
-    s = F.broadcast(genome.select(F.col("chrom").alias(chrom), "bin_start", "bin_end"))
-    out = df.join(s, (F.col(column) >= F.col("bin_start")) & (F.col(column) < F.col("bin_end")))
-    return out.withColumn(local, F.col(column) - F.col("bin_start")).drop("bin_start", "bin_end")
+    """Adds the chromosome and local bin of a global bin; bins outside the genome are left out.
+
+    Chromosomes are listed under every block of BLOCK bins that they reach into, so the join is one on equal blocks, and a bin is
+    compared with the chromosomes of its block alone, however many contigs the genome has. No table of bins is made.
+    """
+    s = genome.select(F.col("chrom").alias(chrom), "bin_start", "bin_end").where("bin_end > bin_start")
+    s = s.withColumn("_block", F.explode(F.sequence(F.expr(f"bin_start div {BLOCK}"), F.expr(f"(bin_end - 1) div {BLOCK}"))))
+    out = df.withColumn("_block", F.floor(F.col(column) / BLOCK).cast("bigint")).join(s, "_block")
+    out = out.where((F.col(column) >= F.col("bin_start")) & (F.col(column) < F.col("bin_end")))
+    return out.withColumn(local, F.col(column) - F.col("bin_start")).drop("bin_start", "bin_end", "_block")
 
 
 def total_bins(genome: DataFrame) -> int:

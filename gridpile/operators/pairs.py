@@ -46,21 +46,27 @@ def pair_peaks(first: DataFrame, second: DataFrame, span: int, window: str | tup
     a, b = _sides(first, second)
     apart = F.abs(F.col("bin_a") - F.col("bin_b"))
     far = apart >= 2 * span + 1
-    if window == "intra":
+
+    def within(a: DataFrame, b: DataFrame, furthest: float, rest: Column) -> DataFrame:
+        """Pairs of one chromosome at most furthest apart: they lie in the same stretch of that length or in neighbouring ones."""
+        step = max(1, int(furthest))
+        a = a.withColumn("_ka", F.expr(f"bin_a div {step}"))
+        b = b.withColumn("_kb", F.explode(F.array(*[F.expr(f"bin_b div {step} + {d}") for d in (-1, 0, 1)])))
+        return _join(a, b, [("chrom_a", "chrom_b"), ("_ka", "_kb")], rest & (apart <= furthest)).drop("_ka", "_kb")
+
+    if window == "intra" and max_dist is not None:
+        found = within(a, b, max_dist, far)
+    elif window == "intra":
         found = _join(a, b, [("chrom_a", "chrom_b")], far)
     elif window == "inter":
         found = _join(a, b, [], F.col("chrom_a") != F.col("chrom_b"))
+    elif window == "all" and max_dist is not None:
+        found = _join(a, b, [], F.col("chrom_a") != F.col("chrom_b")).unionByName(within(a, b, max_dist, far))
     elif window == "all":
         found = _join(a, b, [], (F.col("chrom_a") != F.col("chrom_b")) | far)
     else:
         low, high = window
-        # peaks within `high` bins lie in the same stretch of that length or in neighbouring ones
-        step = max(1, int(high))
-        a = a.withColumn("_ka", F.expr(f"bin_a div {step}"))
-        b = b.withColumn("_kb", F.explode(F.array(*[F.expr(f"bin_b div {step} + {d}") for d in (-1, 0, 1)])))
-        found = _join(a, b, [("chrom_a", "chrom_b"), ("_ka", "_kb")], far & (apart > low) & (apart <= high))
-    if max_dist is not None:
-        found = found.where((F.col("chrom_a") != F.col("chrom_b")) | (apart <= max_dist))
+        found = within(a, b, high if max_dist is None else min(high, max_dist), far & (apart > low))
     turned = F.col("gbin_a") > F.col("gbin_b")
     place = lambda s: F.concat(F.col(f"chrom_{s}"), F.lit(":"), F.col(f"bin_{s}").cast("string"))
     label = F.when(turned, F.concat(place("b"), F.lit("-"), place("a"))).otherwise(F.concat(place("a"), F.lit("-"), place("b"))) if labels else F.lit("")

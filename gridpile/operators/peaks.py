@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,7 +12,7 @@ def bin_peaks(peaks: DataFrame, genome: DataFrame, resolution: int, span: int) -
     The bin is that of the midpoint; p1 may exceed p2. Peaks on unknown chromosomes go, and those whose window of span bins
     to either side does not fit the chromosome.
     """
-    s = F.broadcast(genome.select("chrom", "n_bins", "bin_start"))
+    s = genome.select("chrom", "n_bins", "bin_start")
     out = peaks.join(s, "chrom").withColumn("bin", F.expr(f"(p1 + p2) div 2 div {int(resolution)}"))
     out = out.where(F.col("bin").between(F.lit(span), F.col("n_bins") - 1 - span))
     return out.select("chrom", "bin", (F.col("bin_start") + F.col("bin")).alias("gbin"), "feature").distinct()
@@ -27,14 +27,20 @@ def windows(peaks: DataFrame, span: int, bad: DataFrame | None = None) -> DataFr
 
 
 def drop_all_bad(peaks: DataFrame, span: int, bad: DataFrame) -> DataFrame:
-    """Peaks with at least one good bin in their window: those go that lie in a run of bad bins, span or more from both its ends.
+    """Peaks with at least one good bin in their window.
 
-    The list of bad bins, at most one row for each bin of the genome, is numbered in one task.
+    Bad bins are the bits of one number for each 64 bins. A window reaches into one or two such numbers, more where it is wider,
+    and is bad throughout if all its bits are set in each of them. Nothing is put in order.
     """
-    place = F.col("bin") - F.row_number().over(Window.orderBy("bin"))
-    runs = bad.select("bin").distinct().withColumn("run", place).groupBy("run").agg(F.min("bin").alias("low"), F.max("bin").alias("high"))
-    runs = runs.where(F.col("high") - F.col("low") >= 2 * span)
-    lost = runs.select(F.explode(F.sequence(F.col("low") + span, F.col("high") - span)).alias("gbin"))
+    bits = bad.select(F.expr("bin div 64").alias("block"), F.lit(1).cast("bigint").alias("one"), (F.col("bin") % 64).cast("int").alias("bit"))
+    bits = bits.groupBy("block").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits"))
+    low, high = F.col("gbin") - span, F.col("gbin") + span
+    at = peaks.select("gbin").distinct().withColumn("block", F.explode(F.sequence(F.floor(low / 64), F.floor(high / 64))))
+    first, last = F.greatest(low, F.col("block") * 64), F.least(high, F.col("block") * 64 + 63)
+    at = at.withColumn("from", (first - F.col("block") * 64).cast("int")).withColumn("n", (last - first + 1).cast("int"))
+    whole = F.expr("shiftleft(shiftrightunsigned(-1L, 64 - n), `from`)")
+    covered = F.coalesce(F.col("bits").bitwiseAND(whole) == whole, F.lit(False))
+    lost = at.join(bits, "block", "left").groupBy("gbin").agg(F.bool_and(covered).alias("lost")).where("lost").select("gbin")
     return peaks.join(lost, "gbin", "left_anti").select(*peaks.columns)
 
 

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.text import human_bp, rotate
-from ..jobs import read_bias, read_decay
+from ..jobs import count_reads, peak_waffles, read_bias, read_decay
 from ..operators import contacts as C
 from ..operators import genome as G
 from ..operators import peaks as K
 from ..operators import waffle as W
-from ..sources import beds, matrices, sizes, waffles
+from ..sources import bam, beds, matrices, sizes, waffles
+from ..sources.scratch import new_path
 from . import fixture as X
 from . import queries as Q
 from .oracle import GENOME, MATRIX, PEAKS
@@ -30,14 +28,8 @@ def query(f: Q.Query) -> Q.Query:
     return f
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the cluster's shared folder; a local one only where that is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridpile-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _lines(df: DataFrame, name: str, *columns: str, sep: str = "\t") -> str:
-    path = _new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name)
     df.select(F.concat_ws(sep, *columns)).write.text(path)
     return path
 
@@ -48,7 +40,7 @@ def _header(spark: SparkSession, d: str) -> matrices.Header:
 
 
 def _matrix_text(spark: SparkSession, d: str) -> str:
-    path = _new_path(spark, "matrix-text")
+    path = new_path(spark, "matrix-text")
     matrices.write_matrix_text(X.contacts(spark, d), _header(spark, d), path)
     return path
 
@@ -64,13 +56,13 @@ def source_matrix_header(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def source_matrix_text(spark: SparkSession, d: str) -> DataFrame:
-    return matrices.read_matrix(spark, _matrix_text(spark, d) + "/body")
+    return matrices.read_matrix(spark, _matrix_text(spark, d))
 
 
 @query
 def sink_matrix_ranges(spark: SparkSession, d: str) -> DataFrame:
     """The matrix as sorted Parquet, for each file's range of bins: rows, and whether another file's range overlaps it."""
-    path = _new_path(spark, "matrix")
+    path = new_path(spark, "matrix")
     matrices.write_matrix(X.contacts(spark, d), path)
     rows = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path"))
     files = rows.groupBy("file").agg(F.min("bin1").alias("low"), F.max("bin1").alias("high"))
@@ -108,14 +100,14 @@ def source_peaks_coordinates(spark: SparkSession, d: str) -> DataFrame:
 def source_fasta_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of records of a thousandth of the genome, in lines of 60 bases."""
     bases = F.regexp_replace(F.repeat(F.lit("ACGT"), (F.col("size_bp") / 4000).cast("int")), "(.{1,60})", "$1\n")
-    path = _new_path(spark, "fasta")
+    path = new_path(spark, "fasta")
     X.genome(spark, d).orderBy("ord").coalesce(1).select(F.concat(F.lit(">"), _word("chrom"), F.lit(" a record\n"), bases)).write.text(path)
     return sizes.fasta_sizes(spark, path)
 
 
 def _sam(spark: SparkSession, d: str) -> str:
     """Both lines of every read pair; those of line number 7 carry the filter bit 1024."""
-    genome, path = X.genome(spark, d), _new_path(spark, "sam")
+    genome, path = X.genome(spark, d), new_path(spark, "sam")
     genome.orderBy("ord").coalesce(1).select(F.concat(F.lit("@SQ\tSN:"), "chrom", F.lit("\tLN:"), "size_bp")).write.text(path)
     placed = G.locate(G.locate(X.reads(spark, d), genome, "a", "c1", "l1"), genome, "b", "c2", "l2")
     at = lambda c: (F.col(c) * R + 1).cast("string")
@@ -137,6 +129,68 @@ def source_sam_contacts(spark: SparkSession, d: str) -> DataFrame:
     return C.count_contacts(sizes.sam_contacts(spark, _sam(spark, d), X.genome(spark, d), R, 1024))
 
 
+def _bam(spark: SparkSession, d: str) -> str:
+    """The reads as BAM files, both lines of every pair; line number n has filter n in its tag, and those of number 7 flag bit 1024 too."""
+    genome, path = X.genome(spark, d), new_path(spark, "bam")
+    placed = G.locate(G.locate(X.reads(spark, d), genome, "a", "c1", "l1"), genome, "b", "c2", "l2")
+    extra, filters = F.when(F.col("line") == 7, 1024).otherwise(0), F.expr("shiftleft(1, cast(line as int) - 1)")
+    at = lambda c: F.col(c) * R + 1
+    one = placed.select((65 + extra).alias("flag"), "c1", at("l1").alias("p1"), "c2", at("l2").alias("p2"), filters.alias("filters"))
+    two = placed.select((129 + extra).alias("flag"), F.col("c2").alias("c1"), at("l2").alias("p1"), F.col("c1").alias("c2"), at("l1").alias("p2"), filters.alias("filters"))
+    bam.write_bam(one.union(two), [(r.chrom, r.size_bp) for r in genome.orderBy("ord").collect()], path)
+    return path
+
+
+@query
+def source_bam_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return bam.bam_sizes(spark, _bam(spark, d))
+
+
+@query
+def source_bam_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """The same as source_sam_contacts, from BAM files in splits of 50 KB."""
+    reads = bam.read_bam(spark, _bam(spark, d), split_bytes=50_000)
+    return C.count_contacts(sizes.read_ends(reads, X.genome(spark, d), R, 1024))
+
+
+@query
+def source_bam_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Contacts of the reads that the default filters leave, by the filter bits in the reads' tag."""
+    reads = bam.read_bam(spark, _bam(spark, d), "XF")
+    return C.count_contacts(C.drop_filtered(sizes.read_ends(reads, X.genome(spark, d), R), flag="filters"))
+
+
+def _counted_by_job(spark: SparkSession, d: str, window: str) -> DataFrame:
+    bias, out = _lines(X.bias(spark), "bias", "bin", "b"), new_path(spark, "counted")
+    count_reads(spark, _bam(spark, d), out, R, bias=bias, bad=[r.bin for r in X.bad(spark).collect()], excluded=(), window=window)
+    return matrices.read_matrix(spark, out)
+
+
+@query
+def job_count_reads_intra(spark: SparkSession, d: str) -> DataFrame:
+    """Reads from BAM files to a matrix by the counting job, with a window."""
+    return _counted_by_job(spark, d, "intra")
+
+
+@query
+def job_count_reads_range(spark: SparkSession, d: str) -> DataFrame:
+    return _counted_by_job(spark, d, Q.RANGE)
+
+
+@query
+def job_peak_waffles(spark: SparkSession, d: str) -> DataFrame:
+    """The waffle of two lists of peaks over a matrix that is one text file with its header, by the job."""
+    folder, single, out = _matrix_text(spark, d), new_path(spark, "matrix-file"), new_path(spark, "waffle")
+    lines = spark.read.text(folder).select("value", F.lit(0).alias("part")).unionByName(spark.read.text(folder + "/body").select("value", F.lit(1).alias("part")))
+    lines.coalesce(1).sortWithinPartitions("part").select("value").write.text(single)
+    beds_of = [_lines(X.raw_peaks(spark, d, side).withColumn("chrom", F.col("chrom")), "peaks", F.translate("chrom", " ", "_"), "p1", "p2") for side in "AB"]
+    renamed = new_path(spark, "matrix-file")
+    spark.read.text(single).select(F.when(F.col("value").startswith("#"), F.translate("value", " ", "_")).otherwise(F.col("value")).alias("value")).withColumn("value", F.regexp_replace("value", "^#_", "# ")).coalesce(1).write.text(renamed)
+    peak_waffles(spark, renamed, *beds_of, out, S)
+    cells, head = waffles.read_waffle(spark, out)
+    return _counted(cells, head).drop("grp")
+
+
 @query
 def source_bias_and_decay(spark: SparkSession, d: str) -> DataFrame:
     """The matrix normalised by the biases and decays that files hold."""
@@ -158,7 +212,7 @@ def _counted(cells: DataFrame, head: DataFrame) -> DataFrame:
 
 @query
 def sink_waffle_parquet(spark: SparkSession, d: str) -> DataFrame:
-    path = _new_path(spark, "waffle")
+    path = new_path(spark, "waffle")
     waffles.write_waffle(*_features(spark, d), path)
     return _counted(*waffles.read_waffle(spark, path))
 
@@ -166,24 +220,24 @@ def sink_waffle_parquet(spark: SparkSession, d: str) -> DataFrame:
 @query
 def sink_waffle_text(spark: SparkSession, d: str) -> DataFrame:
     """Sums to three places, as the text form has them; it holds no observation counts."""
-    path = _new_path(spark, "waffle-text")
+    path = new_path(spark, "waffle-text")
     waffles.write_text(*_features(spark, d), path)
     return _counted(*waffles.read_text(spark, path)).drop("passage")
 
 
 @query
 def sink_waffle_split(spark: SparkSession, d: str) -> DataFrame:
-    """Two runs into one folder for each group, which add up on reading."""
-    path = _new_path(spark, "waffle-split")
-    for cells, head in zip(*Q._halves(spark, d), strict=True):
-        waffles.write_split(cells, head, path)
+    """Two runs into one folder for each group, which add up on reading; one of them is written twice."""
+    path = new_path(spark, "waffle-split")
+    for run, (cells, head) in zip("aba", [*zip(*Q._halves(spark, d), strict=True)] * 2, strict=False):
+        waffles.write_split(cells, head, path, run)
     return _counted(*waffles.read_split(spark, path))
 
 
 @query
 def source_waffles_missed(spark: SparkSession, d: str) -> DataFrame:
     """Two waffles, a path without files and one of other files: the sum of what can be read, and how many could not."""
-    paths = [_new_path(spark, "waffle-part") for _ in range(4)]
+    paths = [new_path(spark, "waffle-part") for _ in range(4)]
     for (cells, head), path in zip(zip(*Q._halves(spark, d), strict=True), paths[::3], strict=True):
         waffles.write_waffle(cells, head, path)
     for part in ("cells", "head"):
@@ -194,7 +248,7 @@ def source_waffles_missed(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sink_submatrices(spark: SparkSession, d: str) -> DataFrame:
-    path = _new_path(spark, "submatrices")
+    path = new_path(spark, "submatrices")
     hit = W.match_cells(Q._pairs(spark, d, Q.RANGE), X.contacts(spark, d), S)
     waffles.write_submatrices(W.submatrix_rows(hit, X.genome(spark, d)).withColumn("what_new", F.lit("")), path)
     schema = "chrom1 string, local1 bigint, chrom2 string, local2 bigint, x int, y int, nrm double, grp string, what_new string"
@@ -203,14 +257,14 @@ def sink_submatrices(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sink_keyed_cells(spark: SparkSession, d: str) -> DataFrame:
-    path = _new_path(spark, "keyed")
+    path = new_path(spark, "keyed")
     waffles.write_keyed(W.keyed_rows(W.match_cells(Q._pairs(spark, d, Q.RANGE, labels=True), X.contacts(spark, d), S), S), path)
     return spark.read.csv(path, sep="\t", schema="what_new string, cell int, nrm double")
 
 
 @query
 def sink_prediction(spark: SparkSession, d: str) -> DataFrame:
-    path = _new_path(spark, "prediction")
+    path = new_path(spark, "prediction")
     waffles.write_prediction(stats.predict(Q._dense(spark, d, features=True).where("counter > 0")), path)
     rows = spark.read.csv(path, sep="\t", schema="grp string, spear double, pval double, center double, test string")
     return rows.select("grp", F.round(F.when(~F.isnan("spear"), F.col("spear")), 7).alias("spear"), Q._r("center"))
@@ -227,6 +281,8 @@ def places_for_readers(spark: SparkSession, d: str) -> DataFrame:
 _BED = f"WITH {PEAKS} SELECT replace(chrom, ' ', '_') AS chrom, CAST(pos AS BIGINT) AS p1, CAST(pos AS BIGINT) AS p2, {{}} AS feature FROM rawp WHERE side = 'B'"
 _SUMS = PLAIN["waffle_merge"]
 _ROUNDED = "CAST(round_even({0} * 1000, 0) AS DOUBLE) / 1000"
+_READS = """SELECT least(a, b) AS bin1, greatest(a, b) AS bin2, CAST(count(*) AS BIGINT) AS raw
+      FROM (SELECT (l_orderkey * 31 + l_linenumber * 17) % 755 AS a, (l_partkey * 13 + l_suppkey * 7) % 755 AS b FROM lineitem WHERE l_linenumber {}) t GROUP BY 1, 2"""
 
 SQL: dict[str, str] = {
     "source_matrix_header": f"""WITH {GENOME} SELECT 'chrom' AS tag, chrom, size_bp AS n FROM chroms
@@ -238,8 +294,13 @@ SQL: dict[str, str] = {
     "source_peaks_coordinates": _BED.format("replace(chrom, ' ', '_') || ':' || pos || '-' || pos"),
     "source_fasta_sizes": f"WITH {GENOME} SELECT ord, replace(chrom, ' ', '_') AS chrom, CAST(size_bp // 4000 * 4 AS BIGINT) AS size_bp FROM chroms",
     "source_sam_sizes": f"WITH {GENOME} SELECT chrom, size_bp FROM chroms",
-    "source_sam_contacts": """SELECT least(a, b) AS bin1, greatest(a, b) AS bin2, CAST(count(*) AS BIGINT) AS raw
-      FROM (SELECT (l_orderkey * 31 + l_linenumber * 17) % 755 AS a, (l_partkey * 13 + l_suppkey * 7) % 755 AS b FROM lineitem WHERE l_linenumber <> 7) t GROUP BY 1, 2""",
+    "source_sam_contacts": _READS.format("<> 7"),
+    "source_bam_sizes": f"WITH {GENOME} SELECT ord, chrom, size_bp FROM chroms",
+    "source_bam_contacts": _READS.format("<> 7"),
+    "source_bam_filters": _READS.format("= 5"),
+    "job_count_reads_intra": PLAIN["contacts_window_intra"],
+    "job_count_reads_range": PLAIN["contacts_window_range"],
+    "job_peak_waffles": PLAIN["waffle_intra"],
     "source_bias_and_decay": PLAIN["contacts_normalised"],
     "sink_waffle_parquet": _SUMS,
     "sink_waffle_split": _SUMS,

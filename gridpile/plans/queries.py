@@ -333,12 +333,12 @@ def moran_quadrants(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def moran_local(spark: SparkSession, d: str) -> DataFrame:
-    return stats.moran_local(_dense(spark, d))
+    return stats.moran_local(_dense(spark, d)).select("cell", _r("local", 6), "quadrant", _r("p_sim"))
 
 
 @query
 def moran_hot_spots(spark: SparkSession, d: str) -> DataFrame:
-    return stats.hot_spots(stats.moran_local(_dense(spark, d)))
+    return stats.hot_spots(stats.moran_local(_dense(spark, d))).select("cell", "level", "quadrant")
 
 
 @query

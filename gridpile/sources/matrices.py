@@ -58,8 +58,8 @@ def read_header(spark: SparkSession, path: str, most_lines: int = 100_000) -> He
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(bin1, bin2, raw, nrm); a line of other columns fails the read."""
-    return spark.read.csv(path, sep="\t", comment="#", schema=SCHEMA, mode="FAILFAST")
+    """(bin1, bin2, raw, nrm) of one file with its header, or of a folder as write_matrix_text leaves it; a line of other columns fails the read."""
+    return spark.read.csv(path, sep="\t", comment="#", schema=SCHEMA, mode="FAILFAST", recursiveFileLookup=True)
 
 
 def check_unique(contacts: DataFrame) -> None:

@@ -406,3 +406,117 @@ def test_jobs_from_files_to_files(spark, tmp_path):
     assert jobs.waffle_figures(spark, at("sum"))["mean"].count() == 25
     with pytest.raises(KeyError):
         jobs.waffle_figures(spark, at("sum"), "nobody")
+
+
+def test_a_run_written_twice_counts_once(spark, scene, tmp_path):
+    """A retried run of the split sink takes its own place, a failed attempt never counts, other runs add up."""
+    cells = spark.createDataFrame([("a", 0, 0, 0.0, 0.0, 1.5, 2.25, 1), ("", 1, 0, 0.0, 0.0, 2.0, 4.0, 2)], waffles.CELLS)
+    head = spark.createDataFrame([("a", 10, 5, 7), ("", 10, 5, 1)], waffles.HEAD)
+    path = str(tmp_path / "s")
+    for run in ("one", "two", "one"):
+        assert waffles.write_split(cells, head, path, run) == run
+    cells.write.partitionBy("grp").parquet(f"{path}/cells/run=three/attempt=lost")
+    c, h = waffles.read_split(spark, path)
+    assert {(r.grp, r.x, r.sum_nrm, r.passage) for r in c.collect()} == {("a", 0, 3.0, 2), ("", 1, 4.0, 4)}
+    assert {(r.grp, r.counter) for r in h.collect()} == {("a", 14), ("", 2)}
+
+
+def test_many_files_are_merged_in_few_jobs(spark, tmp_path):
+    """As many jobs for 60 waffles as for 3; paths that are not there, hold other files, torn ones or other tables are told."""
+    cells = spark.createDataFrame([("", 0, 0, 0.0, 0.0, 1.0, 1.0, 1)], waffles.CELLS).coalesce(1)
+    head = spark.createDataFrame([("", 10, 5, 2)], waffles.HEAD).coalesce(1)
+    waffles.write_waffle(cells, head, str(tmp_path / "w0"))
+    import shutil
+
+    for k in range(1, 60):
+        shutil.copytree(tmp_path / "w0", tmp_path / f"w{k}")
+    paths = [str(tmp_path / f"w{k}") for k in range(60)]
+    torn, other, text = (str(tmp_path / x) for x in ("torn", "other", "text"))
+    shutil.copytree(tmp_path / "w0", torn)
+    file = next((tmp_path / "torn" / "cells").glob("*.parquet"))
+    file.write_bytes(file.read_bytes()[:-9])
+    spark.range(3).toDF("something").write.parquet(f"{other}/head")
+    shutil.copytree(tmp_path / "w0" / "cells", f"{other}/cells")
+    for part in ("cells", "head"):
+        spark.range(3).select(F.col("id").cast("string")).write.text(f"{text}/{part}")
+    wrong = [torn, other, text, str(tmp_path / "nowhere")]
+
+    def jobs_of(group, p):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            c, h, missed = waffles.merge_files(spark, p)
+            assert c.first().passage == len(p) - len(missed) and h.first().counter == 2 * (len(p) - len(missed))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return missed, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, some = jobs_of("few", paths[:3])
+    many, as_many = jobs_of("many", paths + wrong)
+    # listing more than 32 folders is a job of its own for each of the four reads
+    assert (few, many) == ([], wrong) and as_many <= some + 4
+    with pytest.raises(FileNotFoundError):
+        waffles.merge_files(spark, wrong + paths)
+
+
+def test_bins_of_very_many_contigs(spark):
+    """100,000 contigs are searched by blocks: no nested loop, whatever the plan."""
+    contigs = spark.range(100_000).select(F.col("id").cast("int").alias("ord"), F.concat(F.lit("c"), "id").alias("chrom"), (F.col("id") % 5 + 1).alias("n"))
+    from pyspark.sql import Window
+
+    table = contigs.withColumn("bin_end", F.sum("n").over(Window.orderBy("ord"))).withColumn("bin_start", F.col("bin_end") - F.col("n")).cache()
+    got = G.locate(spark.createDataFrame([(0,), (1,), (14,), (299_999,), (300_000,), (-1,)], "b bigint"), table, "b")
+    assert {(r.b, r.chrom, r.local_bin) for r in got.collect()} == {(0, "c0", 0), (1, "c1", 0), (14, "c4", 4), (299_999, "c99999", 4)}
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    table.unpersist()
+
+
+def test_fasta_in_tiny_splits(spark, tmp_path):
+    """Records go on over splits: the bases before a split's first header belong to the last header before."""
+    r = random.Random(8)
+    sizes_of = {f"c{k}": r.randrange(0, 4_000) for k in range(12)}
+    text = "".join(f">{c} some words\n" + "".join("ACGTN"[i % 5] + ("\n" if i % 61 == 60 else "") for i in range(n)) + "\n" for c, n in sizes_of.items())
+    (tmp_path / "g.fa").write_text(text)
+    for split in (97, 1_000, None):
+        got = sizes.fasta_sizes(spark, str(tmp_path / "g.fa"), split).orderBy("ord").collect()
+        assert [(x.chrom, x.size_bp) for x in got] == list(sizes_of.items())
+
+
+@pytest.mark.parametrize("span", [0, 2, 31, 40, 100])
+def test_windows_that_are_bad_throughout(spark, span):
+    """Bad runs of all lengths at all places against the plain definition; no window without a partition."""
+    r = random.Random(span)
+    bad, at = set(), 0
+    while at < 3_000:
+        at += r.randrange(1, 40)
+        n = r.choice([1, 3, 64, 65, 2 * span, 2 * span + 1, 2 * span + 2, 300])
+        bad |= set(range(at, at + n))
+        at += n
+    peaks_at = list(range(span, 3_200))
+    df = spark.createDataFrame([("1", g, g, "") for g in peaks_at], "chrom string, bin bigint, gbin bigint, feature string")
+    got = K.drop_all_bad(df, span, spark.createDataFrame([(b,) for b in bad], "bin bigint"))
+    assert sorted(x.gbin for x in got.collect()) == [g for g in peaks_at if not all(b in bad for b in range(g - span, g + span + 1))]
+    assert "Window" not in got._jdf.queryExecution().toString()
+
+
+def test_draws_without_replacement():
+    """All orders of k of m things are as likely, and depend on seed, cell and draw alone."""
+    import numpy as np
+    from collections import Counter
+
+    got = stats.drawn_orders(1, 3, np.arange(24_000), 4, 3)
+    seen = Counter(map(tuple, got))
+    assert len(seen) == 24 and all(850 < n < 1150 for n in seen.values())
+    assert (stats.drawn_orders(1, 3, np.arange(500, 600), 4, 3) == got[500:600]).all()
+    assert (np.sort(stats.drawn_orders(2, 0, np.arange(50), 24, 24), axis=1) == np.arange(24)).all()
+
+
+def test_local_moran_is_dealt_out(spark):
+    """At span 20 many tasks draw, and blocks of cells do not change results."""
+    board = mean_cells(spark, [[2.0 ** ((r * 7 + c * c) % 5) for c in range(9)] for r in range(9)])
+    one = {(x.cell, x.p_sim) for x in stats.moran_local(board, permutations=99).collect()}
+    old, stats.MORAN_BLOCK = stats.MORAN_BLOCK, 50
+    try:
+        assert {(x.cell, x.p_sim) for x in stats.moran_local(board, permutations=99).collect()} == one and len(one) == 81
+    finally:
+        stats.MORAN_BLOCK = old
+    assert 41 * 41 / old > 200
