@@ -17,7 +17,6 @@ from __future__ import annotations
 import bisect
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +40,18 @@ _STEP = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+_known_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers() -> list[tuple[np.ndarray, np.ndarray]]:
     """Powers of two odd bases modulo 2**64, and of their inverses, for a step of text."""
-    out = []
-    for base in _BASES:
-        pair = [np.full(_STEP + LENGTH + 1, b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
-        for p in pair:
-            p[0] = 1
-        out.append(tuple(np.cumprod(p, dtype=np.uint64) for p in pair))
-    return tuple(out)
+    if not _known_powers:
+        for base in _BASES:
+            pair = [np.full(_STEP + LENGTH + 1, b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+            for p in pair:
+                p[0] = 1
+            _known_powers.append(tuple(np.cumprod(p, dtype=np.uint64) for p in pair))
+    return _known_powers
 
 
 class _Sums:
