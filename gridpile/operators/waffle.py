@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tiles as T
 from .genome import locate
 from .pairs import count_pairs, pair_cells
 
@@ -12,20 +13,11 @@ from .pairs import count_pairs, pair_cells
 def match_cells(pairs: DataFrame, contacts: DataFrame, span: int) -> DataFrame:
     """(what, what_new, bin1, bin2, x, y, raw, nrm): every contact in the square of every pair; contacts must hold no bad bins.
 
-    Matrix and squares are laid over tiles of the matrix. A square touches at most four tiles, so what is shuffled is the
-    pairs, up to four times, and the contacts once, not side^2 cells of each pair; inside a tile two ranges decide. Dense
-    tiles are split by adaptive execution.
+    Matrix and pairs meet by tiles of the matrix (tiles.py): shuffled are the pairs, up to four times, and the contacts once,
+    not side^2 cells of each pair, and only matches become rows.
     """
-    side = 2 * span + 1
-    t = max(8, side)
-    tile = lambda c: F.expr(f"({c}) div {t}")
-    squares = pairs.withColumn("t1", F.explode(F.sequence(tile(f"g1 - {span}"), tile(f"g1 + {span}")))).withColumn("t2", F.explode(F.sequence(tile(f"g2 - {span}"), tile(f"g2 + {span}"))))
-    tiled = contacts.withColumn("t1", tile("bin1")).withColumn("t2", tile("bin2"))
-    found = squares.join(tiled, ["t1", "t2"]).where(
-        (F.abs(F.col("bin1") - F.col("g1")) <= span) & (F.abs(F.col("bin2") - F.col("g2")) <= span))
-    raw = [c for c in ("raw", "nrm") if c in contacts.columns]
-    return found.select(
-        "what", "what_new", "bin1", "bin2", (F.col("bin1") - F.col("g1") + span).cast("int").alias("x"), (F.col("bin2") - F.col("g2") + span).cast("int").alias("y"), *raw)
+    side = T.tile_side(span)
+    return T.matched(T.listed(pairs, span, side, labels=True), T.tiled(contacts, side), side, span)
 
 
 def match_cells_by_key(pairs: DataFrame, contacts: DataFrame, windows: DataFrame) -> DataFrame:
@@ -52,7 +44,10 @@ def waffle_head(domain: DataFrame, pairs: DataFrame, resolution: int, span: int,
 
 
 def waffle(pairs: DataFrame, contacts: DataFrame, span: int, both_are_feature: bool = False, with_raw: bool = False) -> DataFrame:
-    return waffle_cells(match_cells(pairs, contacts, span), both_are_feature, with_raw)
+    """waffle_cells of match_cells, added up inside the tiles without a row for each match."""
+    side = T.tile_side(span)
+    made = T.summed(T.listed(pairs, span, side), T.tiled(contacts, side), side, span, both_are_feature)
+    return made if with_raw else made.withColumns({"sum_raw": F.lit(0.0), "sqr_raw": F.lit(0.0)})
 
 
 def dense(cells: DataFrame, head: DataFrame) -> DataFrame:

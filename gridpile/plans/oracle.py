@@ -235,3 +235,4 @@ for _label, _on in (("intra", _NEAR), *((f"{a}0000-{b}0000" if a else f"0-{b}000
 SQL["waffle_windows_total"] = (
     f"WITH {PEAKS}{MATRIX}" + "".join(_pairs(on, f"p{i}") + _cells(pairs=f"p{i}", name=f"h{i}") for i, (_, on) in enumerate(_parts))
     + " " + " UNION ALL ".join(f'SELECT \'{label}\' AS "window", CAST(coalesce(sum(nrm), 0) AS DOUBLE) AS total, CAST(count(*) AS BIGINT) AS passage FROM h{i}' for i, (label, _) in enumerate(_parts)))
+SQL["waffle_stored"] = SQL["waffle_intra"]

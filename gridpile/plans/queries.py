@@ -12,7 +12,9 @@ from ..operators import contacts as C
 from ..operators import genome as G
 from ..operators import pairs as P
 from ..operators import peaks as K
+from ..operators import tiles as T
 from ..operators import waffle as W
+from ..sources.scratch import new_path
 from . import fixture as X
 
 S, R = X.SPAN, X.RESOLUTION
@@ -128,6 +130,15 @@ def waffle_fine(spark: SparkSession, d: str) -> DataFrame:
     return _shown(cells).join(F.broadcast(P.count_pairs(p)), "grp").drop("grp")
 
 
+@query
+def waffle_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The waffle over a matrix that lies in buckets of tiles; its contacts are not moved."""
+    path = new_path(spark, "tiles")
+    T.write_tiles(X.contacts(spark, d), path, buckets=8)
+    p = _pairs(spark, d)
+    return _shown(T.stored_waffle(p, *T.open_tiles(spark, path), S)).join(F.broadcast(P.count_pairs(p)), "grp").drop("grp")
+
+
 @query
 def pairs_self(spark: SparkSession, d: str) -> DataFrame:
     """One list with features against itself: both orders of a label of two features occur."""
