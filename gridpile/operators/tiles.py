@@ -2,9 +2,9 @@
 
 A tile is one row: a square of bins as arrays of places and values. A pair's square touches at most four tiles, so pairs are
 listed by the tiles they touch, and a list meets its tile once. The kernel lays the tile out as a small matrix and takes all
-squares of a list from it by one array of indices; no row is made for a cell that is not there. Different pairs that touch a tile
-are no more than (side + 4 span)^2 for each label, and a list holds one of SPLITS parts of them, so a tile that all pairs fall
-into is still many small rows.
+squares of a list from it by one array of indices; no row is made for a cell that is not there. Different pairs of one label that
+touch a tile are no more than (side + 2 span)^2, so a tile that all pairs fall into has lists of bounded size; labels are dealt
+out to SPLITS lists.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bins of a tile's side, where squares are not wider.
-SIDE = 32
-#: Parts that a tile's pairs are dealt out to.
-SPLITS = 4
+SIDE = 64
+#: Lists that the labels of a tile's pairs are dealt out to.
+SPLITS = 8
 #: Array cells that the kernel gathers at a time, and that it holds as sums before it hands them on.
 GATHER, HOLD = 2_000_000, 4_000_000
 SUMS = ("sum_raw", "sqr_raw", "sum_nrm", "sqr_nrm", "passage")
-TILES = "tile bigint, at array<int>, " + ", ".join(f"{c} array<double>" for c in SUMS)
+TILES = "tile bigint, at array<int>, raw array<double>, nrm array<double>"
 
 
 def tile_side(span: int) -> int:
@@ -36,28 +36,24 @@ def _tile(one: Column, two: Column) -> Column:
 
 
 def tiled(contacts: DataFrame, side: int) -> DataFrame:
-    """(tile, at, and an array for each of SUMS) of contacts (bin1, bin2 and raw, nrm): a row for each tile with a contact in it.
+    """(tile, at, raw, nrm) of contacts (bin1, bin2, raw, nrm), each an array: a row for each tile with a contact in it.
 
-    at is row * side + column in the tile. Contacts may have columns of SUMS themselves, as changes of such sums do; else these
-    are raw, its square, nrm, its square and 1.
+    at is row * side + column in the tile. Contacts that have the columns of SUMS, as changes of such sums do, give arrays of these.
     """
-    has = lambda c: c in contacts.columns
-    zero = F.lit(0.0)
-    made = {"sum_raw": F.col("raw") if has("raw") else zero, "sqr_raw": F.col("raw") * F.col("raw") if has("raw") else zero,
-            "sum_nrm": F.col("nrm") if has("nrm") else zero, "sqr_nrm": F.col("nrm") * F.col("nrm") if has("nrm") else zero, "passage": F.lit(1.0)}
-    values = [(F.col(c) if has(c) else made[c]).cast("double").alias(c) for c in SUMS]
+    names = SUMS if "sqr_nrm" in contacts.columns else ("raw", "nrm")
+    values = [(F.col(c) if c in contacts.columns else F.lit(0.0)).cast("double").alias(c) for c in names]
     one, two = (F.expr(f"bin{k} div {side}") for k in (1, 2))
     at = ((F.col("bin1") - one * side) * side + F.col("bin2") - two * side).cast("int").alias("at")
     rows = contacts.select(_tile(one, two).alias("tile"), F.struct(at, *values).alias("v")).groupBy("tile").agg(F.collect_list("v").alias("v"))
-    return rows.select("tile", *[F.col(f"v.{c}").alias(c) for c in ("at", *SUMS)])
+    return rows.select("tile", *[F.col(f"v.{c}").alias(c) for c in ("at", *names)])
 
 
 def listed(pairs: DataFrame, span: int, side: int, labels: bool = False) -> DataFrame:
-    """(tile, pairs) of pairs (g1, g2, what): those whose square touches the tile, one of SPLITS parts of them in a row."""
+    """(tile, pairs) of pairs (g1, g2, what): those whose square touches the tile, of one of SPLITS parts of the labels in a row."""
     near = lambda g: F.sequence(F.expr(f"({g} - {span}) div {side}"), F.expr(f"({g} + {span}) div {side}"))
     touched = pairs.withColumn("t1", F.explode(near("g1"))).withColumn("t2", F.explode(near("g2")))
     pair = F.struct("g1", "g2", "what", *["what_new"] * labels)
-    part = F.pmod(F.xxhash64("g1", "g2", "what"), F.lit(SPLITS))
+    part = F.pmod(F.xxhash64("what"), F.lit(SPLITS))
     return touched.groupBy(_tile(F.col("t1"), F.col("t2")).alias("tile"), part.alias("part")).agg(F.collect_list(pair).alias("pairs")).drop("part")
 
 
@@ -87,12 +83,15 @@ def _pairs_of(column: pa.ListArray, i: int) -> tuple:
     return rows.field("g1").to_numpy(), rows.field("g2").to_numpy(), rows
 
 
-def summed(lists: DataFrame, tiles: DataFrame, side: int, span: int, one_group: bool = False) -> DataFrame:
+def summed(lists: DataFrame, tiles: DataFrame, side: int, span: int, one_group: bool = False, with_raw: bool = True) -> DataFrame:
     """(grp, x, y and SUMS): for each label the squares of its pairs added up, cells without a contact left out. A task hands on
-    its sums, not the squares."""
-    met = lists.join(tiles, "tile").select("tile", "pairs", "at", *SUMS)
+    its sums, not the squares. Without with_raw the sums of raw counts are 0."""
+    changes = "sqr_nrm" in tiles.columns
+    given = [c for c in (SUMS if changes else ("raw", "nrm")) if with_raw or "raw" not in c]
+    met = lists.join(tiles, "tile").select("tile", "pairs", "at", *given)
+    names_of = [c for c in SUMS if with_raw or "raw" not in c]
     wide = 2 * span + 1
-    schema = "grp string, x int, y int, " + ", ".join(f"{c} double" for c in SUMS)
+    schema = "grp string, x int, y int, " + ", ".join(f"{c} double" for c in names_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -101,13 +100,14 @@ def summed(lists: DataFrame, tiles: DataFrame, side: int, span: int, one_group:
             for grp, sums in held.items():
                 cell = np.flatnonzero((sums != 0).any(axis=0))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([grp] * len(cell), pa.string()), pa.array((cell // wide).astype(np.int32)), pa.array((cell % wide).astype(np.int32)), *[pa.array(s[cell]) for s in sums]], ["grp", "x", "y", *SUMS])
+                    [pa.array([grp] * len(cell), pa.string()), pa.array((cell // wide).astype(np.int32)), pa.array((cell % wide).astype(np.int32)), *[pa.array(s[cell]) for s in sums]], ["grp", "x", "y", *names_of])
             held.clear()
 
         for b in batches:
-            values = [b.column(k) for k in range(2, 3 + len(SUMS))]
             for i in range(b.num_rows):
-                at, *v = (c[i].values.to_numpy() for c in values)
+                at, *v = (b.column(k)[i].values.to_numpy() for k in range(2, 3 + len(given)))
+                if not changes:  # raw, its square, nrm, its square, 1
+                    v = [x for a in v for x in (a, a * a)] + [np.ones(len(at))]
                 laid = _Laid(b.column(0)[i].as_py(), at, v, side, span)
                 g1, g2, rows = _pairs_of(b.column(1), i)
                 if one_group:
@@ -116,8 +116,9 @@ def summed(lists: DataFrame, tiles: DataFrame, side: int, span: int, one_group:
                     coded = rows.field("what").dictionary_encode()
                     names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
                 order = np.argsort(code, kind="stable")
-                for a in range(0, len(order), max(1, GATHER // (wide * wide))):
-                    some = order[a : a + max(1, GATHER // (wide * wide))]
+                step = max(1, GATHER // (wide * wide))
+                for a in range(0, len(order), step):
+                    some = order[a : a + step]
                     first = np.flatnonzero(np.diff(code[some], prepend=-1))
                     index = laid.cells(g1[some], g2[some])
                     each = np.stack([np.add.reduceat(m[index], first, axis=0) for m in laid.values])
@@ -127,25 +128,25 @@ def summed(lists: DataFrame, tiles: DataFrame, side: int, span: int, one_group:
                             held[grp] += each[:, k]
                         else:
                             held[grp] = each[:, k].copy()
-                if len(held) * wide * wide * len(SUMS) > HOLD:
+                if len(held) * wide * wide * len(names_of) > HOLD:
                     yield from out()
         yield from out()
 
-    made = met.mapInArrow(run, schema).groupBy("grp", "x", "y").agg(*[F.sum(c).alias(c) for c in SUMS])
-    return made.withColumn("passage", F.col("passage").cast("bigint"))
+    made = met.mapInArrow(run, schema).groupBy("grp", "x", "y").agg(*[F.sum(c).alias(c) for c in names_of])
+    return made.select("grp", "x", "y", *[(F.col(c) if c in names_of else F.lit(0.0)).alias(c) for c in SUMS[:-1]], F.col("passage").cast("bigint").alias("passage"))
 
 
 def matched(lists: DataFrame, tiles: DataFrame, side: int, span: int) -> DataFrame:
     """(what, what_new, bin1, bin2, x, y, raw, nrm): every contact in the square of every pair of the lists, and no other row."""
-    met = lists.join(tiles, "tile").select("tile", "pairs", "at", "sum_raw", "sum_nrm", "passage")
+    met = lists.join(tiles, "tile").select("tile", "pairs", "at", "raw", "nrm")
     wide = 2 * span + 1
     schema = "what string, what_new string, bin1 bigint, bin2 bigint, x int, y int, raw bigint, nrm double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                at, *v = (b.column(k)[i].values.to_numpy() for k in range(2, 6))
-                laid = _Laid(b.column(0)[i].as_py(), at, v, side, span)
+                at, raw, nrm = (b.column(k)[i].values.to_numpy() for k in range(2, 5))
+                laid = _Laid(b.column(0)[i].as_py(), at, [raw, nrm, np.ones(len(at))], side, span)
                 g1, g2, rows = _pairs_of(b.column(1), i)
                 step = max(1, GATHER // (wide * wide))
                 for a in range(0, len(g1), step):

@@ -46,8 +46,7 @@ def waffle_head(domain: DataFrame, pairs: DataFrame, resolution: int, span: int,
 def waffle(pairs: DataFrame, contacts: DataFrame, span: int, both_are_feature: bool = False, with_raw: bool = False) -> DataFrame:
     """waffle_cells of match_cells, added up inside the tiles without a row for each match."""
     side = T.tile_side(span)
-    made = T.summed(T.listed(pairs, span, side), T.tiled(contacts, side), side, span, both_are_feature)
-    return made if with_raw else made.withColumns({"sum_raw": F.lit(0.0), "sqr_raw": F.lit(0.0)})
+    return T.summed(T.listed(pairs, span, side), T.tiled(contacts, side), side, span, both_are_feature, with_raw)
 
 
 def dense(cells: DataFrame, head: DataFrame) -> DataFrame:
