@@ -83,17 +83,17 @@ z AS (SELECT y + x * 5 AS cell, CASE WHEN min(mean) OVER () > 0 THEN log2(nullif
 rw AS (SELECT cell, ncell, w / sum(w) OVER (PARTITION BY cell) AS w FROM nbr),
 lag AS (SELECT rw.cell, sum(w * z) AS lag FROM rw JOIN z ON z.cell = ncell GROUP BY 1)"""
 #: Numbers are mixed as splitmix64 does, in whole numbers of 128 bits.
-_WORD = "CAST(18446744073709551616 AS UHUGEINT)"
+_WORD = "CAST(18446744073709551615 AS UHUGEINT)"
 
 
 #: Neighbourhoods drawn at random, 9,999 of each cell: a random number of 1 to j for each of the last numbers j, put in front, or j behind it.
 _DRAWN = _MORAN + f""",
 vals AS (SELECT list(z ORDER BY cell) AS v, avg(z * z) AS spread FROM z HAVING count(z) = count(*)),
 near AS (SELECT cell, list(ncell ORDER BY ncell) AS nb, list(w ORDER BY ncell) AS ws, count(*) AS k FROM rw GROUP BY cell),
-numbers AS (SELECT cell, draw.range AS draw, s.range AS s, 24 - k + 1 + s.range AS j, (CAST({1 << 46} + (CAST(cell AS BIGINT) << 26) + draw.range * 64 + s.range AS UHUGEINT) * CAST({0x9E3779B97F4A7C15} AS UHUGEINT)) % {_WORD} AS h0 FROM near, range(9999) draw, range(24) s WHERE s.range < k),
-once AS (SELECT *, CAST(xor(h0, h0 >> 30) AS UHUGEINT) * CAST({0xBF58476D1CE4E5B9} AS UHUGEINT) % {_WORD} AS h1 FROM numbers),
-again AS (SELECT *, CAST(xor(h1, h1 >> 27) AS UHUGEINT) * CAST({0x94D049BB133111EB} AS UHUGEINT) % {_WORD} AS h2 FROM once),
-steps AS (SELECT cell, draw, list([CAST(xor(h2, h2 >> 31) % CAST(j AS UHUGEINT) AS BIGINT) + 1, CAST(j AS BIGINT)] ORDER BY s) AS steps FROM again GROUP BY cell, draw),
+numbers AS (SELECT cell, draw.range AS draw, s.range AS s, 24 - k + 1 + s.range AS j, (CAST({1 << 46} + (CAST(cell AS BIGINT) << 26) + draw.range * 64 + s.range AS UHUGEINT) * CAST({0x9E3779B97F4A7C15} AS UHUGEINT)) & {_WORD} AS h0 FROM near, range(9999) draw, range(24) s WHERE s.range < k),
+once AS (SELECT *, (CAST(xor(h0, h0 >> 30) AS UHUGEINT) * CAST({0xBF58476D1CE4E5B9} AS UHUGEINT)) & {_WORD} AS h1 FROM numbers),
+again AS (SELECT *, (CAST(xor(h1, h1 >> 27) AS UHUGEINT) * CAST({0x94D049BB133111EB} AS UHUGEINT)) & {_WORD} AS h2 FROM once),
+steps AS (SELECT cell, draw, list([CAST(CAST(xor(h2, h2 >> 31) AS UBIGINT) % CAST(j AS UBIGINT) AS BIGINT) + 1, CAST(j AS BIGINT)] ORDER BY s) AS steps FROM again GROUP BY cell, draw),
 orders AS (SELECT cell, draw, list_reduce(list_prepend(CAST([] AS BIGINT[]), steps), lambda got, x: CASE WHEN list_contains(got, x[1])
   THEN list_concat(list_slice(got, 1, list_position(got, x[1])), [x[2]], list_slice(got, list_position(got, x[1]) + 1, len(got))) ELSE list_prepend(x[1], got) END) AS o FROM steps),
 sims AS (SELECT orders.cell, v[orders.cell + 1] * list_sum(list_transform(range(1, k + 1), lambda i: ws[i] * v[o[i] + CASE WHEN o[i] > orders.cell THEN 1 ELSE 0 END])) AS sim, spread,
