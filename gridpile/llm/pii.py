@@ -18,9 +18,14 @@ KINDS = ("email", "ip", "card", "phone")
 _LOOKS = dict(zip(
     "аеорсухіјѕԁһАВЕКМНОРСТХІЈЅαονρτΑΒΕΖΗΙΚΜΝΟΡΤΧΥ․。﹒﹫‐‑‒–—−﹣    ",
     "aeopcyxijsdhABEKMHOPCTXIJSaovptABEZHIKMNOPTXY...@-------    ", strict=True))
-_LOOKS_TABLE = {ord(k): v for k, v in _LOOKS.items()} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+#: Further ones: phonetic, Armenian, Cyrillic and Greek letters, as pairs of a sign and what it looks like.
+_MORE_LOOKS = ("\u0131i", "\u017fs", "\u0251a", "\u0261g", "\u0269i", "\u026fw", "\u028bu", "\u028fy", "\u03ba\u006b", "\u03c5u", "\u03c7x", "\u03c9w", "\u03f2c", "\u03f3j", "\u0410A", "\u0432b", "\u043ak", "\u043cm", "\u0442t", "\u0475v",
+               "\u04afy", "\u04c0l", "\u04cfl", "\u051bq", "\u051dw", "\u0561w", "\u0563q", "\u0566q", "\u0570h", "\u0578n", "\u057du", "\u0581g", "\u0585o")
+#: Small capitals, by their names.
+_SMALL_CAPITALS = {c: n[-1].lower() for c in (*range(0x0250, 0x02B0), *range(0x1D00, 0x1D2C), *range(0xA730, 0xA732)) if re.fullmatch("LATIN LETTER SMALL CAPITAL [A-Z]", n := unicodedata.name(chr(c), ""))}
+_LOOKS_TABLE = {ord(k): v for k, v in (*_MORE_LOOKS, *_LOOKS.items())} | _SMALL_CAPITALS | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _INVISIBLE = "­​‌‍⁠﻿"
-_BEYOND = re.compile("[ ­Ͱ-\U0010ffff]")
+_BEYOND = re.compile("[\u0131\u017f\u0250-\u02af ­Ͱ-\U0010ffff]")
 #: Digits spelled in English, German, French and Spanish.
 _SPELLED = (
     ("zero", "oh", "null", "zéro", "cero"), ("one", "eins", "un", "uno"), ("two", "zwei", "zwo", "deux", "dos"), ("three", "drei", "trois", "tres"), ("four", "vier", "quatre", "cuatro"),
@@ -29,20 +34,33 @@ DIGIT_WORDS = {w: str(d) for d, words in enumerate(_SPELLED) for w in words}
 #: By first letter, so that most words are passed over after one look.
 _W = "(?:" + "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in DIGIT_WORDS if w[0] == c), key=lambda w: (-len(w), w)))})" for c in sorted({w[0] for w in DIGIT_WORDS})) + ")"
 _P = r"(?:plus|más)[ -]+"
-_RUN = re.compile(rf"\b(?:{_P})?{_W}(?:[ ,.-]{{1,2}}{_W})+\b", re.I)
+#: A digit word, said once or twice or three times.
+_TIMES = {"double": 2, "doppel": 2, "doble": 2, "triple": 3}
+_U = rf"(?:(?:do(?:uble|ppel|ble)|triple)[ -])?{_W}"
+#: Two digit words or more, among which digits may stand; after a spelled sign a number may also come first.
+_N = r"[ -]{1,2}[0-9]{1,15}"
+_RUN = re.compile(rf"\b(?:{_P}[0-9]{{1,15}}(?:{_N}|[ -]{{1,2}}{_U})+|(?:{_P})?{_U}(?:[ ,.-]{{1,2}}{_U}|{_N})+)\b", re.I)
 #: Letters that equal ASCII ones where case is ignored.
 _CASELESS = str.maketrans("İıſ", "iis")
 #: Parts of a run: the sign, a digit, and what keeps digits apart.
-_PART = re.compile(rf"{_P}|{_W}|[,.] ", re.I)
+_PART = re.compile(rf"{_P}|{_U}|[,.] ", re.I)
 #: Letters and digits in other shapes, one or several in a character, whose compatibility form is ASCII: letter-like, circled, raised and mathematical ones, ligatures.
 _SHAPED = re.compile("[\u2070-\u209c\u2100-\u2134\u2460-\u24ff\u3380-\u33df\ufb00-\ufb06\U0001d400-\U0001d7ff\U0001f100-\U0001f12b\U0001f130-\U0001f149]")
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
-_BRACKETED = re.compile(rf"{_OPEN}(at|@|dot|\.|punkt|punto|point|arroba|arobase){_CLOSE}", re.I)
+_BRACKETED = re.compile(rf"{_OPEN}(at|ät|@|dot|\.|punkt|punto|point|ponto|arroba|arobase|klammeraffe){_CLOSE}", re.I)
 #: It matches wherever _BRACKETED does, but starts with the bracket, which is faster to look for.
-_BRACKETED_CORE = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|@|dot|\.|punkt|punto|point|arroba|arobase){_CLOSE}", re.I)
+_BRACKETED_CORE = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|ät|@|dot|\.|punkt|punto|point|ponto|arroba|arobase|klammeraffe){_CLOSE}", re.I)
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.I)
 #: A bare "at" counts only before a spelled or bracketed dot, or after a name with a digit or "_", or another sign inside it.
 _BARE_AT = re.compile(r"(?:(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}\s{0,3}[\[({<]?\s{0,3}\bdot\b)|(?<=[A-Za-z0-9._%+-])(?P<plain>\s{1,3}at\s{1,3})(?=[A-Za-z0-9-]{1,63}\.[A-Za-z]{2}))", re.I)
+#: Words for the signs that stand for nothing else, before a name and a dot in words or as a sign.
+_SAID_AT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}(?:arroba|arobase|klammeraffe)\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z]|\s{1,3}(?:punto|ponto|punkt|point|dot)\s))", re.I)
+#: A dot in words, which counts between digits and behind the one label that follows an "@" or a dot that counts.
+_SAID_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}(?:punto|ponto|punkt|point)\s{1,3}(?=[A-Za-z0-9])", re.I)
+#: name_at_host_dot_com, with _ or -.
+_TIED_AT = re.compile(r"(?<=[A-Za-z0-9])([_-])at\1(?=[A-Za-z0-9]{1,63}\1dot\1[A-Za-z0-9])", re.I)
+_TIED_DOT = re.compile(r"(?<=[A-Za-z0-9])([_-])dot\1(?=[A-Za-z0-9])", re.I)
+_LABEL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
 _SIGNED = re.compile(r"[0-9_]|(?<=[A-Za-z])[.%+-]+(?=[A-Za-z])")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+")
@@ -144,7 +162,7 @@ class Normalised:
 
 def _may_be_disguised(t: str) -> bool:
     """Whether normalise() changes t: a character beyond Latin letters is rewritten, or one of its patterns matches."""
-    return (not t.isascii() and _BEYOND.search(t) is not None) or any(p.search(t) for p in (_BRACKETED_CORE, _BARE_AT, _BARE_DOT, _RUN))
+    return (not t.isascii() and _BEYOND.search(t) is not None) or any(p.search(t) for p in (_BRACKETED_CORE, _BARE_AT, _BARE_DOT, _RUN, _SAID_AT, _SAID_DOT, _TIED_AT, _TIED_DOT))
 
 
 def _signed_before(m: re.Match) -> bool:
@@ -159,6 +177,12 @@ def _compatible(m: re.Match) -> str | None:
     return plain if plain.isascii() and (plain.isalnum() or plain == "+") else None
 
 
+def _said(words: str) -> str:
+    """The digit, or digits, of a digit word, which may have a word for a number of times before it."""
+    *times, digit = words.replace("-", " ").split(" ")
+    return DIGIT_WORDS[digit] * (_TIMES[times[0]] if times else 1)
+
+
 def normalise(t: str) -> Normalised:
     n = Normalised(t.translate(_LOOKS_TABLE) if not t.isascii() else t)  # one character for one: places stay
     if not n.text.isascii():
@@ -166,8 +190,25 @@ def normalise(t: str) -> Normalised:
         n.rewrite(_SHAPED, _compatible)
         n.rewrite(re.compile(r"(?![0-9])\d"), lambda m: str(unicodedata.digit(m[0])))
     n.rewrite(_BARE_AT, lambda m: "@" if m["plain"] is None or _signed_before(m) else None)
-    n.rewrite(_BRACKETED, lambda m: "@" if m[1].lower() in ("at", "@", "arroba", "arobase") else ".")
+    n.rewrite(_BRACKETED, lambda m: "." if m[1].lower() in ("dot", ".", "punkt", "punto", "ponto", "point") else "@")
     n.rewrite(_BARE_DOT, lambda m: ".")
+    n.rewrite(_TIED_AT, lambda m: "@")
+    n.rewrite(_TIED_DOT, lambda m: ".")
+    n.rewrite(_SAID_AT, lambda m: "@")
+    counted = -1
+
+    def said_dot(m: re.Match) -> str | None:
+        nonlocal counted
+        t, start = m.string, m.start()
+        while start > max(counted, 0) and start > m.start() - 256 and t[start - 1] in _LABEL_CHARS:
+            start -= 1
+        number = t[m.start() - 1].isdigit() and t[m.end()].isdigit()
+        if number or start == counted or (start < m.start() and start and t[start - 1] == "@"):
+            counted = m.end()
+            return "."
+        return None
+
+    n.rewrite(_SAID_DOT, said_dot)
     inside: list[tuple[int, int]] = [m.span() for m in _RUN.finditer(n.text)]
     if inside:
         runs = iter(inside)
@@ -179,7 +220,7 @@ def normalise(t: str) -> Normalised:
                 now = next(runs, None)
             if not now or m.start() < now[0]:
                 return None
-            return " " if m[0][0] in ",." else "+" if m[0][-1] in " -" else DIGIT_WORDS[m[0].translate(_CASELESS).lower()]
+            return " " if m[0][0] in ",." else "+" if m[0][-1] in " -" else _said(m[0].translate(_CASELESS).lower())
 
         n.rewrite(_PART, digit)
     return n

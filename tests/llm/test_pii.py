@@ -156,3 +156,44 @@ def test_planted_disguises_are_found_and_clean_text_is_left():
         found += (at, at + len(planted)) in got
         wrong += sum((s, e) != (at, at + len(planted)) for s, e in got)
     assert found >= 285 and wrong <= 25  # a digit word right after a spelled number belongs to it
+
+
+#: Forms that the patterns were not written from: each whole text is one span.
+OTHER_FORMS = [
+    ("plus 49 eins sieben null drei vier fünf sechs sieben acht", "phone"), ("plus 44 20 7946 0958", "phone"), ("plus four four double seven one two three triple four five", "phone"),
+    ("plus 33 six doble cero 12 34 56 78", "phone"), ("plus one-double five-seven 555 01 23", "phone"), ("bob@\u0261mail.com", "email"), ("\u1d0a\u1d0f\u1d07@mail.com", "email"),
+    ("\u0585l\u0585@mail.\u0441\u043em", "email"), ("m\u0131ke@site.org", "email"), ("jane.doe(ät)example.de", "email"), ("jane [klammeraffe] example [punkt] de", "email"), ("jane_at_example_dot_com", "email"),
+    ("jane-dot-doe-at-example-dot-co-dot-uk", "email"), ("juan arroba correo punto gob punto es", "email"), ("ana ARROBA correo ponto pt", "email"), ("luc arobase poste.fr", "email"),
+    ("192 punto 168 punto 0 punto 1", "ip"), ("10 point 0 point 0 point 7", "ip"), ("four 5 three 9 five 7 eight 7 six 3 six 2 one 4 eight 6", "card"), ("4 five 39 5787 63 six 2 1486", "card"),
+]
+
+
+@pytest.mark.parametrize("text, kind", OTHER_FORMS)
+@pytest.mark.parametrize("before, after", [("", ""), ("write to: ", "; thanks"), ("(", ")")])
+def test_forms_from_elsewhere(text, kind, before, after):
+    t = before + text + after
+    base, found = pii.spans(t)
+    assert [(k, t[s:e]) for s, k, e in found if (s, k, e) not in base] == [(kind, text)]
+    assert all(len(before) <= s and e <= len(before) + len(text) for s, _, e in base)
+    assert pii.redact(t) == f"{before}<{kind.upper()}>{after}"
+
+
+@pytest.mark.parametrize("text", [
+    "look_at_file.py and made-at-home.com", "a point b", "le point final, arobase seul", "plus 3 dogs and plus 4 5 cats", "plus 100, 200, 300, 400, 500", "double one and triple two", "we have one 5 and two 6",
+    "un point 5 point de vue", "punto a punto y punto", "set_dot_product at_once", "kıyı ve ığdır", "ɡreat ʏears", "version 2 point 5", "one two, 4111, 1111, 1111, 1111",
+])
+def test_clean_text_stays(text):
+    assert pii.spans(text)[1] == [] and pii.redact(text) == text
+
+
+def test_a_word_after_an_address_stays():
+    assert [(s, e) for s, _, e in pii.spans("me@x.com point taken")[1]] == [(0, 8)]
+
+
+def test_said_signs_take_linear_time():
+    import time
+
+    for t in ("a arroba b punto c " * 40_000, "a@" + "b punto " * 60_000, "x_at_y_dot_" * 40_000, "plus 1 " * 80_000, "plus " + "1 " * 300_000, "double " * 80_000, "one 1 " * 80_000):
+        began = time.time()
+        pii.spans(t)
+        assert time.time() - began < 20
