@@ -33,11 +33,11 @@ class Level:
     high: int
 
 
-#: Five-word k-mers, and shorter ones for texts so short that an edit in five leaves no five words together. Of pairs of likeness
-#: 0.8 with edits at random places 0.91 (32 words) to 0.99 (300 words) share one of 128 sketches, at 6 to 31 words 0.98 and more.
-#: The ranges overlap, so that two texts of near length always have a level in common.
-LEVELS = (Level(1, 4, 64, 0, 10), Level(2, 3, 64, 8, 40), Level(SHINGLE, 2, 128, 32, 1 << 62))
-#: Longer texts have their 128 sketches from 4 permutations of 32 bins, or from one of 128 (low, high, permutations).
+#: Five-word k-mers, and three-word ones, as an edit in every fifth word leaves no five words together; shorter ones for short
+#: texts. Of pairs of likeness 0.8 0.98 and more share a sketch where edits are at random places, 0.94 and more where they are in
+#: every fifth word. The ranges overlap, so that two texts of near length always have a level in common.
+LEVELS = (Level(1, 4, 64, 0, 10), Level(2, 3, 64, 8, 40), Level(3, 2, 64, 32, 1 << 62), Level(SHINGLE, 2, 64, 32, 1 << 62))
+#: Longer texts have a level's 64 sketches from 4 permutations of 16 bins, or from one of 64 (low, high, permutations).
 BINNED = ((320, 1600, 4), (1280, 1 << 62, 1))
 #: Sketches of whole texts by single words, for the members of large buckets alone: a passage that many share hardly counts.
 WORDS = (Level(1, 4, 64, 0, 40), Level(1, 8, 96, 32, 1 << 62))
@@ -199,11 +199,11 @@ def sketch_rows(words: np.ndarray, offsets: np.ndarray, levels: tuple[Level, ...
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     for level in levels:
         rows = np.flatnonzero((n >= max(1, level.low)) & (n <= level.high))
-        plain = rows[n[rows] < BINNED[0][0] * 5 // 4] if level.k == SHINGLE else rows
+        plain = rows[n[rows] < BINNED[0][0] * 5 // 4] if level.k > 2 else rows
         if len(plain):
             have, made = order_min_hash(*shingle_hashes(*_some(words, offsets, plain), level.k), level, first, last)
             found.append((np.repeat(plain[have], made.shape[1]), made.ravel()))
-        for low, high, permutations in BINNED if level.k == SHINGLE else ():
+        for low, high, permutations in BINNED if level.k > 2 else ():
             for r in rows[(n[rows] >= low) & (n[rows] < high)].tolist():
                 one = np.array([0, n[r]])
                 h, o = shingle_hashes(words[offsets[r] : offsets[r + 1]], one, level.k)

@@ -219,3 +219,30 @@ def test_profiles_never_part_alike_texts():
 def test_similarity_below_the_sketches(spark):
     with pytest.raises(ValueError):
         omh.near_duplicates(spark.createDataFrame([], SCHEMA), 0.5)
+
+
+@pytest.mark.parametrize("n", [32, 35, 40, 45, 60, 100, 300, 330, 450, 1300, 1700])
+def test_recall_where_every_fifth_word_is_edited(n):
+    """No five words stay together in such a copy, which is as near as the threshold asks for."""
+    r = np.random.default_rng(n)
+    found, trials = 0, 60 if n > 400 else 200
+    for t in range(trials):
+        a = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = a.copy()
+        at = np.arange(t % 5, n, 5)[: n // 5]
+        b[at] = r.integers(0, 1 << 63, len(at), dtype=np.uint64)
+        row, key = omh.sketch_rows(np.concatenate([a, b]), np.array([0, n, 2 * n]))
+        found += bool(np.intersect1d(key[row == 0], key[row == 1]).size)
+        assert omh.alike(a, b) is not None
+    assert found >= 0.92 * trials
+
+
+def test_regular_edits_are_tied(spark):
+    texts, made = [], random.Random(4)
+    for n in (35, 60, 100, 300):
+        for _ in range(10):
+            a = [f"w{made.randrange(10**9)}" for _ in range(n)]
+            texts += [" ".join(a), " ".join(f"e{made.randrange(10**9)}" if i % 5 == 4 else w for i, w in enumerate(a))]
+    got = classes_of(spark, texts)
+    assert sum(got[i] == got[i + 1] for i in range(0, len(texts), 2)) >= 36
+    assert all(got[i] == i for i in range(0, len(texts), 2))  # and no two of different origin
