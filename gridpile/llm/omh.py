@@ -34,7 +34,7 @@ class Level:
 
 
 #: Five-word k-mers, and three-word ones, as an edit in every fifth word leaves no five words together; shorter ones for short
-#: texts. Of pairs of likeness 0.8 0.98 and more share a sketch where edits are at random places, 0.94 and more where they are in
+#: texts. Of pairs of likeness 0.8 0.98 and more share a sketch where edits are at random places, 0.93 and more where they are in
 #: every fifth word. The ranges overlap, so that two texts of near length always have a level in common.
 LEVELS = (Level(1, 4, 64, 0, 10), Level(2, 3, 64, 8, 40), Level(3, 2, 64, 32, 1 << 62), Level(SHINGLE, 2, 64, 32, 1 << 62))
 #: Longer texts have a level's 64 sketches from 4 permutations of 16 bins, or from one of 64 (low, high, permutations).

