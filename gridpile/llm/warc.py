@@ -127,7 +127,7 @@ def _batched(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of archives from the rows (file, value) between separators, which follow each other as in the file."""
+    """Records of archives from the rows (file, value) between separators, in the order that they have in the file."""
 
     def rows() -> Iterator[tuple]:
         file, stream = None, _Stream()
@@ -142,18 +142,16 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batched(rows())
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _batched(r for b in batches for raw in b.column(0).to_pylist() for r in _Stream().feed(raw))
-
-
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archives in a folder: type, id, concurrent_to, refers_to, digest, block.
 
     Archives are read record by record. A block that itself holds the text between two records would be cut there; its length
-    then differs from Content-Length, and the archives where that happens are read again by the lengths alone: a compressed
-    archive, which no reader splits, as a stream of its pieces in their order; a plain one, which may be split, as one value.
+    then differs from Content-Length, and the archives where that happens are read again by the lengths alone, as a stream of
+    their pieces sorted by their split's start and their place in the split. A task holds a record and a piece at a time,
+    whatever the archive's size and whether it is compressed. A record has to fit a value (2 GB). Empty archives and a folder
+    without records give no rows.
     """
-    lines = spark.read.option("lineSep", _SEPARATOR).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.option("lineSep", _SEPARATOR).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
     header = F.substring_index("value", CRLF * 2, 1)
     parts = lines.withColumn("header", header).withColumn("length", _fields(F.col("header"), "Content-Length").cast("bigint"))
     body = F.expr("substring(cast(value as binary), octet_length(header) + 5)")
@@ -171,14 +169,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         return parts.where(whole).select(*columns)
     names = broadcast_if_small(torn)
     good = parts.where(whole).join(names, "file", "left_anti").select(*columns)
-    packed = F.lower("file").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate)$")
-    again = lines.where(packed).join(names, "file", "left_semi").select("file", F.col("value").cast("binary").alias("value")).mapInArrow(_in_order, _SCHEMA)
-    if torn.where(~packed).isEmpty():
-        return good.unionByName(again)
-    plain = spark.read.format("binaryFile").load(path).select("content", F.col("_metadata.file_path").alias("file")).join(names, "file", "left_semi").where(~packed)
-    if plain.select("file").distinct().count() != torn.where(~packed).count():
-        raise ValueError(f"not all archives in {path} could be read again")
-    return good.unionByName(again).unionByName(plain.select("content").mapInArrow(_whole, _SCHEMA))
+    # one task reads a split from its start to its end, so rows of a split are numbered in their order
+    pieces = lines.withColumn("place", F.monotonically_increasing_id()).join(names, "file", "left_semi").repartition("file").sortWithinPartitions("file", "split", "place")
+    return good.unionByName(pieces.select("file", F.col("value").cast("binary").alias("value")).mapInArrow(_in_order, _SCHEMA))
 
 
 def transactions(records: DataFrame) -> DataFrame:
@@ -214,6 +207,8 @@ def roundtrip(pages: DataFrame) -> DataFrame:
 
     page_id, payload_bytes, payload_digest, record_type, refers_to. Rows that share the smallest page_id of equal payloads are
     all responses; other rows of that payload, also with a null page_id, are revisits. Repeated rows are captures of their own.
+    Null html is an empty payload, a null url an empty URI; an empty table gives no rows; other columns are ignored. A payload
+    goes through whole, up to Spark's 2 GB for a value.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")

@@ -80,6 +80,33 @@ def test_torn_archives_in_any_folder(spark, tmp_path, folder, packed):
     assert any(r.id == revisit.refers_to and r.type == "response" and r.digest == revisit.digest for r in got)
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_torn_archives_keep_their_order(spark, tmp_path, packed):
+    """Many torn archives, in many splits where they are plain, with every join shuffled and sorting in small runs."""
+    trap = "x" * 50 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n" + "y" * 90
+    rows = [(i, f"http://{i}", f"<{i}>" + (trap * (i % 40 + 1) if i % 3 else "plain " * i)) for i in range(300)]
+    at = tmp_path / "w"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(12), str(at))
+    if not packed:
+        for f in at.glob("part*.gz"):
+            f.with_suffix("").write_bytes(gzip.decompress(f.read_bytes()))
+            f.unlink()
+    put = {"spark.sql.files.maxPartitionBytes": "7000", "spark.sql.files.openCostInBytes": "1000", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k) for k in put}
+    shuffled, warc.broadcast_if_small = warc.broadcast_if_small, lambda df, *a: df
+    try:
+        for k, x in put.items():
+            spark.conf.set(k, x)
+        read = warc.read_records(spark, str(at))
+        assert "BroadcastHashJoin" not in read._jdf.queryExecution().executedPlan().toString()
+        got = read.where("type = 'response'").collect()
+    finally:
+        warc.broadcast_if_small = shuffled
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert sorted(bytes(r.block).split(b"\r\n\r\n", 1)[1] for r in got) == sorted(h.encode() for _, _, h in rows)
+
+
 def test_transactions(spark):
     """Ties in either direction, over a record between, several of a kind, none, and loose or repeated records."""
     body = bytearray(b"HTTP/1.1 200 OK\r\n\r\nbody")
