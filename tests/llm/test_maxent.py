@@ -113,6 +113,71 @@ def test_updates_of_many_tasks_add_up(spark, monkeypatch):
     assert np.abs(one[1:]).max() > 0.01 and np.allclose(one, many, atol=1e-5)
 
 
+def test_score_by_brute_force(spark, monkeypatch):
+    """Every score again by loops over tokens, from the learned weights and classes alone: top, common, rare and unseen words, repeated, null and empty texts."""
+    seen = {}
+    build, fit = maxent.build_vocabulary, maxent.train
+    monkeypatch.setattr(maxent, "build_vocabulary", lambda *a: seen.setdefault("v", build(*a)))
+    monkeypatch.setattr(maxent, "train", lambda *a: seen.setdefault("w", fit(*a)))
+    r = random.Random(9)
+    rows = prose(5, 150, 0) + [(1000 + i, " ".join(f"w{i}x{j} " * (1 + (r.random() < 0.1)) for j in range(110))) for i in range(750)]
+    rows += [(5000, None), (5001, ""), (3, "Abc ABC"), (None, rows[0][1]), rows[0], (6000, rows[1][1] + " " + rows[160][1])]
+    got = maxent.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    v, w = seen["v"], seen["w"].astype(np.float64)
+
+    out = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+    words = sorted({x for _, t in rows for x in split(t)})
+    ids, offsets = maxent.tokens(pa.array([*words, ""]))
+    number = {x: int(ids[offsets[i]]) for i, x in enumerate([*words, None])}
+    texts_of = [(d, [number[x] for x in [*split(t), None]]) for d, t in rows]
+    c = Counter(x for d, t in texts_of if not out(d) for x in t)
+    assert len(c) > 65_536 and len(c) < len(number)  # words beyond those that tasks have, and unseen ones
+
+    end = number[None]
+    ranked = sorted((x for x in c if x != end), key=lambda x: (-c[x], x - (1 << 64) * (x >= 1 << 63)))
+    place = {int(x): i for i, x in enumerate(v.top)}
+    assert set(place) == {end, *ranked[:8191]}
+    kind = lambda x: int(v.top_class[place[x]]) if x in place else int(v.cell_class[x & 255])
+    rare, once, top_of = Counter(), Counter(), Counter()
+    for x, n in c.items():
+        if x in place:
+            top_of[kind(x)] += n
+        else:
+            rare[kind(x)] += n
+            once[kind(x)] += n == 1
+    ones, twos = (sum(n == k for n in c.values()) for k in (1, 2))
+    unseen = max(ones * ones / (2 * max(twos, 1)), len(c))
+    endings = set(v.cell_class.tolist())
+    share = lambda k: max(unseen * (once[k] + 0.5) / sum(once[j] + 0.5 for j in endings), 1.0)
+    fresh = lambda k: (once[k] + 0.5) / (rare[k] + 2)
+    fellows = {k: [x for x in place if kind(x) == k] for k in top_of}
+    cells = 1 + 2 * 8192 + 2 * 33 * 33
+    pair = lambda k, x: w[cells + (k * 8192 + place[x]) // 32, (k * 8192 + place[x]) % 32] + math.log(c[x] / top_of[kind(x)])
+    totals = {}
+
+    def word(x, before):
+        k = kind(x)
+        if x in place:
+            if (before, k) not in totals:
+                totals[before, k] = sum(math.exp(pair(before, y)) for y in fellows[k])
+            return (pair(before, x) - math.log(totals[before, k])) / math.log(10)
+        return math.log10(c[x] / rare[k] * (1 - fresh(k))) if c[x] else math.log10(fresh(k) / share(k))
+
+    cell = lambda x: int(maxent.mix(np.array([x], np.uint64))[0]) >> 51
+    begin = cell(0xBE61_0000_0000_0000)
+    want = []
+    for d, t in texts_of:
+        k, h, score = [32, 32, 32, *map(kind, t)], [begin, begin, begin, *map(cell, t)], 0.0
+        for i, x in enumerate(t):
+            z = w[0] + w[1 + h[i + 2]] + w[8193 + h[i + 1]] + w[16385 + k[i + 2] * 33 + k[i + 1]] + w[16385 + 33 * 33 + k[i + 2] * 33 + k[i]]
+            score += (z[k[i + 3]] - z.max() - math.log(np.exp(z - z.max()).sum())) / math.log(10) + word(x, k[i + 2])
+        want.append((d is None, d or 0, len(t), score))
+    mine = sorted((x.doc_id is None, x.doc_id or 0, x.n_tokens, x.score) for x in got)
+    for a, b in zip(mine, sorted(want), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-4 * a[2], (a, b)
+
+
 def test_empty(spark):
     assert maxent.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
