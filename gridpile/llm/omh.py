@@ -48,6 +48,8 @@ SMALL = 8
 BLOCK = 256
 #: Cells of a text's word counts, which tell that two texts have too few words in common.
 CELLS = 1024
+#: Bits of the mask of keys that large buckets left open, as a power of two; it is of this size whatever their number.
+MASK = 22
 
 
 def labelled(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -248,16 +250,34 @@ def _common_at_most(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def _entries(texts: DataFrame, levels: tuple[Level, ...], first: int, last: int | None, gather: bool, profiles: bool = False) -> DataFrame:
+def _mask(keys: DataFrame) -> np.ndarray:
+    """A bit for the first MASK bits of each key; at most 2**MASK / 64 numbers reach the driver, however many keys there are."""
+    bit = F.expr(f"cast(shiftrightunsigned(key, {64 - MASK}) & 63 as int)")
+    words = keys.groupBy(F.expr(f"cast(shiftrightunsigned(key, {64 - MASK + 6}) as int)").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
+    out = np.zeros(1 << (MASK - 6), np.int64)
+    for r in words.collect():
+        out[r.at] = r.bits
+    return out.view(np.uint64)
+
+
+def _may_hold(mask: np.ndarray, key: np.ndarray) -> np.ndarray:
+    top = key >> np.uint64(64 - MASK)
+    return (mask[top >> np.uint64(6)] >> (top & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _entries(texts: DataFrame, levels: tuple[Level, ...], first: int, last: int | None, gather: bool, profiles: bool = False, mask: np.ndarray | None = None) -> DataFrame:
     """(key, doc_id, comp, info) for the sketches of texts (doc_id, text, comp, meets). info: meets, whether the row stands for several, words.
 
     gather: of the texts of a batch that have one class and share a key, the one that meets most stands for all; so the many
-    copies of a text, already in one class, do not meet again in one task.
+    copies of a text, already in one class, do not meet again in one task. mask: only of keys that it may hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words, offsets in _slices(batches, 1):
             row, key = sketch_rows(words, offsets, levels, first, last)
+            if mask is not None:
+                wanted = _may_hold(mask, key)
+                row, key = row[wanted], key[wanted]
             doc, comp, meets = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
             info = (np.minimum(meets, (1 << 30) - 1) << _MEETS) | np.diff(offsets)
             if gather:
@@ -290,17 +310,18 @@ def _near(one: np.ndarray, two: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def _met(parts: list[list[np.ndarray]], similarity: float) -> pa.RecordBatch:
-    out = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-    a, b, ca, cb, large, na, nb = out
+    out = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)] + [np.zeros(0, np.int64)] * 3
+    a, b, ca, cb, large, na, nb, key = out
     words = np.int64((1 << _MANY) - 1)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(a, b), np.maximum(a, b), np.where(a < b, ca, cb), np.where(a < b, cb, ca), large, _near(na & words, nb & words, similarity))], ["a", "b", "ca", "cb", "large", "near"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(a, b), np.maximum(a, b), np.where(a < b, ca, cb), np.where(a < b, cb, ca), large, _near(na & words, nb & words, similarity), key)], ["a", "b", "ca", "cb", "large", "near", "key"])
 
 
-_MET = "a bigint, b bigint, ca bigint, cb bigint, large boolean, near boolean"
+_MET = "a bigint, b bigint, ca bigint, cb bigint, large boolean, near boolean, key bigint"
 
 
-def _across(entries: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, ca, cb, large, near) for texts of different classes that share a key, near in length or not.
+def _across(entries: DataFrame, similarity: float, keyed: bool = False) -> DataFrame:
+    """(a, b, ca, cb, large, near, key) for texts of different classes that share a key, near in length or not. key: that of a
+    large bucket with keyed, else 0, so that two texts are one row.
 
     In a small bucket all such pairs; in a large one, or where a row stands for several texts, the text that meets most with each
     of another class. Buckets are read as a sorted stream, of which a task keeps at most a batch and SMALL rows.
@@ -314,12 +335,12 @@ def _across(entries: DataFrame, similarity: float) -> DataFrame:
         for d in range(1, SMALL):
             i = np.flatnonzero(small[:-d] & (k[d:] == k[:-d]) & (comp[d:] != comp[:-d])) if len(k) > d else np.zeros(0, np.int64)
             if len(i):
-                yield [doc[i], doc[i + d], comp[i], comp[i + d], np.zeros(len(i), bool), info[i], info[i + d]]
+                yield [doc[i], doc[i + d], comp[i], comp[i + d], np.zeros(len(i), bool), info[i], info[i + d], np.zeros(len(i), np.int64)]
         head = np.repeat(first, size)
         i = np.flatnonzero(~small & (comp != comp[head]))
         if len(i):
             h = head[i]
-            yield [doc[h], doc[i], comp[h], comp[i], np.ones(len(i), bool), info[h], info[i]]
+            yield [doc[h], doc[i], comp[h], comp[i], np.ones(len(i), bool), info[h], info[i], k[i] if keyed else np.zeros(len(i), np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -379,7 +400,7 @@ def _every(entries: DataFrame, similarity: float) -> DataFrame:
             if both.any():
                 both &= _common_at_most(x[7][f:to], x[7][f:to]) >= similarity * np.maximum(n[:, None], n[None]) - 1e-6
             r, c = np.nonzero(both)
-            yield [doc[r], doc[c], comp[r], comp[c], np.zeros(len(r), bool), n[r], n[c]]
+            yield [doc[r], doc[c], comp[r], comp[c], np.zeros(len(r), bool), n[r], n[c], np.zeros(len(r), np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list | None = None
@@ -460,8 +481,9 @@ def near_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Two texts that share a sketch are compared, unless they are in one class already: after FIRST sketches of each text classes
     are formed, and then texts of different classes meet in the buckets of all other sketches. Where a large bucket holds
     texts of other classes that do not align with the one compared, all texts of those classes, linked ones too, get sketches of
-    single words over the whole text, in which a passage that many share hardly counts. What still meets in large buckets
-    there is compared pair by pair, in blocks.
+    single words over the whole text, in which a passage that many share hardly counts. The buckets of those that are large and
+    hold texts that do not align are compared pair by pair, in blocks; smaller ones have been, and in other large ones all are of
+    one class.
     """
     plain = texts.withColumns({"comp": F.col("doc_id"), "meets": F.lit(0).cast("bigint")})
     links, meets = _first_wave(plain, similarity)
@@ -474,23 +496,25 @@ def near_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         rows = texts if some is None else texts.join(broadcast_if_small(some, 1_000_000), "doc_id", "left_semi")
         return rows.join(label, "doc_id", "left").select("doc_id", "text", F.coalesce("c", "doc_id").alias("comp"), F.coalesce("m", F.lit(0)).cast("bigint").alias("meets"))
 
-    def wave(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links across classes, and the doc_ids of the classes that met in a large bucket without aligning there."""
-        met = stored(_across(entries, similarity), "omh-met")
+    def wave(entries: DataFrame, keyed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Links across classes, the doc_ids of the classes that met in a large bucket without aligning there, and pairs that did."""
+        met = stored(_across(entries, similarity, keyed), "omh-met")
         links = _verify(met.where("near").select("a", "b", "ca", "cb").distinct(), texts, similarity)
         loose = met.where("large").join(links.select("a", "b"), ["a", "b"], "left_anti")
         comps = loose.select(F.explode(F.array("ca", "cb")).alias("component")).distinct()
         comps = stored(comps, "omh-open")
         inside = classes.join(broadcast_if_small(comps, 1_000_000), "component", "left_semi").select("node")
-        return links, stored(inside.union(comps).toDF("doc_id").distinct(), "omh-hot")
+        return links, stored(inside.union(comps).toDF("doc_id").distinct(), "omh-hot"), loose
 
-    links, hot = wave(_entries(with_classes(), LEVELS, FIRST, None, True))
+    links, hot, _ = wave(_entries(with_classes(), LEVELS, FIRST, None, True))
     classes = _merged(classes, links)
     if not hot.isEmpty():
-        links, hot = wave(_entries(with_classes(hot), WORDS, 0, None, True))
+        links, hot, loose = wave(_entries(with_classes(hot), WORDS, 0, None, True), True)
         classes = _merged(classes, links)
         if not hot.isEmpty():
-            pairs = stored(_every(_entries(with_classes(hot), WORDS, 0, None, False, True), similarity), "omh-pairs")
+            keys = stored(loose.select("key").distinct(), "omh-keys")
+            entries = _entries(with_classes(hot), WORDS, 0, None, False, True, _mask(keys)).join(broadcast_if_small(keys, 1_000_000), "key", "left_semi")
+            pairs = stored(_every(entries, similarity), "omh-pairs")
             classes = _merged(classes, _verify(pairs, texts, similarity))
     return classes
 

@@ -164,6 +164,35 @@ def test_a_chain_of_edits_and_families_with_one_core(spark):
     assert got[60:] == [60 + 6 * f for f in range(families) for _ in range(6)]
 
 
+def test_pairwise_wave_takes_open_buckets_alone(spark, monkeypatch):
+    """Of families that share most of a text only those sketches go on to be compared pair by pair whose large buckets hold texts that did not align."""
+    r = random.Random(3)
+    word = lambda: f"n{r.randrange(10**9)}"
+    core = [word() for _ in range(90)]
+    texts = []
+    for _ in range(60):
+        own = [word() for _ in range(40)]
+        texts += [core + own, core + own[:-1] + [word()]]
+    seen, every = [], omh._every
+    monkeypatch.setattr(omh, "_every", lambda entries, similarity: seen.append(entries.select("key", "doc_id").collect()) or every(entries, similarity))
+    got = classes_of(spark, [" ".join(t) for t in texts])
+    assert got == [i - i % 2 for i in range(120)]
+    sizes = Counter(x.key for x in seen[0])
+    assert sizes and min(sizes.values()) > 1
+    assert len(seen[0]) < 120 * 96 / 2  # all of their sketches before
+    row, key = omh.sketch_rows(*word_hashes(pa.array([" ".join(t) for t in texts]), True), omh.WORDS)
+    own = Counter(key.view(np.int64).tolist())
+    assert all(n == own[k] for k, n in sizes.items())  # and whole buckets
+
+
+def test_mask_of_keys(spark):
+    r = np.random.default_rng(2)
+    key = r.integers(0, 1 << 64, 3000, np.uint64)
+    mask = omh._mask(spark.createDataFrame([(int(k),) for k in key.view(np.int64)], "key long"))
+    assert omh._may_hold(mask, key).all()
+    assert omh._may_hold(mask, r.integers(0, 1 << 64, 100_000, np.uint64)).mean() < 0.002
+
+
 @pytest.mark.parametrize("n", [5, 6, 8, 10, 11, 14, 20, 30, 33, 40, 60, 100, 300, 380, 450, 1300, 1700])
 def test_recall_at_the_threshold(n):
     """Of pairs of n words with n / 5 edits at random places nine in ten and more share a sketch, by k-mers as by single words."""
