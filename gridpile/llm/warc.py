@@ -142,8 +142,17 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batched(rows())
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives in a folder: type, id, concurrent_to, refers_to, digest, block.
+def _facts(records: DataFrame, *others: str) -> DataFrame:
+    """What transactions need of each record: for captures bytes and sha256 of the payload, for requests and metadata the block as text."""
+    capture = F.col("type").isin("response", "revisit")
+    body = F.expr("substring(block, octet_length(substring_index(cast(block as string), '\\r\\n\\r\\n', 1)) + 5)")
+    records = records.withColumn("body", F.when(capture, body))
+    return records.select(*others, "type", "id", "concurrent_to", "refers_to", "digest", F.octet_length("body").cast("bigint").alias("bytes"), F.sha2("body", 256).alias("sha256"), F.when(F.col("type").isin("request", "metadata"), F.col("block").cast("string")).alias("block"))
+
+
+def read_records(spark: SparkSession, path: str, facts: bool = False) -> DataFrame:
+    """All records of the archives in a folder: type, id, concurrent_to, refers_to, digest, block; with facts, what _facts gives of
+    them, which is stored as archives are read, so that they are read and parsed once.
 
     Archives are read record by record. A block that itself holds the text between two records would be cut there; its length
     then differs from Content-Length, and the archives where that happens are read again by the lengths alone, as a stream of
@@ -159,19 +168,25 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     # the last record of a file still has its closing CRLF CRLF
     ended = (F.col("after") == 4) & (F.expr("substring(block, cast(length as int) + 1)") == F.lit(b"\r\n\r\n"))
     whole = F.coalesce((F.col("after") == 0) | ended, F.lit(False))
-    torn = stored(parts.where(~whole & (F.length(F.trim("value")) > 0)).select("file").distinct(), "warc-torn")
     get = lambda n: _fields(F.col("header"), n)
-    kinds = _SCHEMA.split(", ")[:-1]
+    kinds = [k.split()[0] for k in _SCHEMA.split(", ")]
     # few records refer to others: most headers need not be searched for it
     of = lambda n: F.when(F.lower("header").contains(n.lower()), get(n)) if n == "WARC-Refers-To" else get(n)
-    columns = [*[of(n).alias(k.split()[0]) for n, k in zip(_NAMES, kinds, strict=True)], F.expr("substring(block, 1, cast(length as int))").alias("block")]
+    block = F.when(F.col("whole"), F.expr("substring(block, 1, cast(length as int))"))
+    parts = parts.withColumn("whole", whole).withColumn("torn", ~F.col("whole") & (F.length(F.trim("value")) > 0))
+    parts = parts.select("file", "whole", "torn", *[of(n).alias(k) for n, k in zip(_NAMES, kinds, strict=False)], block.alias("block"))
+    if facts:
+        parts = stored(_facts(parts.where("whole or torn"), "file", "whole", "torn"), "warc-facts")
+    columns = [c for c in parts.columns if c not in ("file", "whole", "torn")]
+    torn = stored(parts.where("torn").select("file").distinct(), "warc-torn")
     if torn.isEmpty():
-        return parts.where(whole).select(*columns)
+        return parts.where("whole").select(*columns)
     names = broadcast_if_small(torn)
-    good = parts.where(whole).join(names, "file", "left_anti").select(*columns)
+    good = parts.where("whole").join(names, "file", "left_anti").select(*columns)
     # one task reads a split from its start to its end, so rows of a split are numbered in their order
     pieces = lines.withColumn("place", F.monotonically_increasing_id()).join(names, "file", "left_semi").repartition("file").sortWithinPartitions("file", "split", "place")
-    return good.unionByName(pieces.select("file", F.col("value").cast("binary").alias("value")).mapInArrow(_in_order, _SCHEMA))
+    again = pieces.select("file", F.col("value").cast("binary").alias("value")).mapInArrow(_in_order, _SCHEMA)
+    return good.unionByName(stored(_facts(again), "warc-facts") if facts else again)
 
 
 def transactions(records: DataFrame) -> DataFrame:
@@ -181,11 +196,13 @@ def transactions(records: DataFrame) -> DataFrame:
     record in between. Of several requests or metadata records the one with the smallest id is shown and `further` counts
     the rest. Records tied to no capture are left out; repeated records of one id and type count once.
     """
-    body = F.expr("substring(block, octet_length(substring_index(cast(block as string), '\\r\\n\\r\\n', 1)) + 5)")
-    captures = records.where("type in ('response', 'revisit')")
-    captures = captures.select("id", "type", "digest", "concurrent_to", "refers_to", F.octet_length(body).cast("bigint").alias("bytes"), F.sha2(body, 256).alias("sha256"))
+    return _assembled(_facts(records))
+
+
+def _assembled(facts: DataFrame) -> DataFrame:
+    captures = facts.where("type in ('response', 'revisit')").select("id", "type", "digest", "concurrent_to", "refers_to", "bytes", "sha256")
     captures = stored(captures.dropDuplicates(["id"]), "warc-captures")
-    small = records.where("type in ('request', 'metadata')").select("id", "type", "concurrent_to", F.col("block").cast("string").alias("block"))
+    small = facts.where("type in ('request', 'metadata')").select("id", "type", "concurrent_to", "block")
     small = stored(small.dropDuplicates(["id", "type"]), "warc-small")
     ids = captures.select(F.col("id").alias("capture"))
     direct = small.join(ids, F.col("concurrent_to") == F.col("capture"))
@@ -213,7 +230,7 @@ def roundtrip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
-    got = transactions(read_records(spark, path))
+    got = _assembled(read_records(spark, path, facts=True))
     got = got.select(
         F.nullif(F.regexp_extract(F.col("metadata.block"), r"(?m)^page-id: (-?\d+)", 1), F.lit("")).cast("bigint").alias("page_id"), "id",
         F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("refers"), F.regexp_replace("response.digest", "^sha256:", "").alias("digest"), F.col("response.bytes").alias("bytes"), F.col("response.sha256").alias("sha256"))

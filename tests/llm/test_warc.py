@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import shutil
 
 import pytest
 
@@ -107,6 +108,25 @@ def test_torn_archives_keep_their_order(spark, tmp_path, packed):
     assert sorted(bytes(r.block).split(b"\r\n\r\n", 1)[1] for r in got) == sorted(h.encode() for _, _, h in rows)
 
 
+@pytest.mark.parametrize("payload", ["plain " * 40, "x" * 50 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n" + "y" * 90])
+def test_archives_are_read_once(spark, tmp_path, payload):
+    """What transactions need of the records is there without the archives, whole and torn ones."""
+    at = tmp_path / "w"
+    warc.write_archives(spark.createDataFrame([(i, f"http://{i}", f"{i}{payload}" if i else None) for i in range(9)], "page_id long, url string, html string").repartition(2), str(at))
+    plain = {(r.type, r.id): bytes(r.block) for r in warc.read_records(spark, str(at)).collect()}
+    facts = warc.read_records(spark, str(at), facts=True)
+    shutil.rmtree(at)
+    got = facts.collect()
+    assert len(got) == len(plain) == 27
+    for r in got:
+        whole = plain[r.type, r.id]
+        if r.type == "response":
+            body = whole.split(b"\r\n\r\n", 1)[1]
+            assert (r.bytes, r.sha256, r.block) == (len(body), hashlib.sha256(body).hexdigest(), None)
+        else:
+            assert (r.bytes, r.sha256, r.block) == (None, None, whole.decode())
+
+
 def test_transactions(spark):
     """Ties in either direction, over a record between, several of a kind, none, and loose or repeated records."""
     body = bytearray(b"HTTP/1.1 200 OK\r\n\r\nbody")
