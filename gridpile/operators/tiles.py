@@ -4,7 +4,7 @@ A tile is one row: a square of bins as arrays of places and values. A pair's squ
 listed by the tiles they touch, and a list meets its tile once. The kernel lays the tile out as a small matrix and takes all
 squares of a list from it by one array of indices; no row is made for a cell that is not there. Different pairs of one label that
 touch a tile are no more than (side + 2 span)^2, so a tile that all pairs fall into has lists of bounded size; labels are dealt
-out to SPLITS lists.
+out to SPLITS lists, and to more where a tile has so many pairs that a list would hold more than LIST of them on average.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 #: Bins of a tile's side, where squares are not wider.
 SIDE = 64
-#: Lists that the labels of a tile's pairs are dealt out to.
+#: Lists that the labels of a tile's pairs are dealt out to at least, and pairs of a list on average at most.
 SPLITS = 8
+LIST = 8192
 #: Array cells that the kernel gathers at a time, and that it holds as sums before it hands them on.
 GATHER, HOLD = 2_000_000, 4_000_000
 SUMS = ("sum_raw", "sqr_raw", "sum_nrm", "sqr_nrm", "passage")
@@ -49,12 +50,16 @@ def tiled(contacts: DataFrame, side: int) -> DataFrame:
 
 
 def listed(pairs: DataFrame, span: int, side: int, labels: bool = False) -> DataFrame:
-    """(tile, pairs) of pairs (g1, g2, what): those whose square touches the tile, of one of SPLITS parts of the labels in a row."""
+    """(tile, pairs) of pairs (g1, g2, what): those whose square touches the tile, of one part of the labels in a row.
+
+    Labels may be as many as the pairs, so a tile's parts are counted by its pairs. Few tiles have more than SPLITS of them."""
     near = lambda g: F.sequence(F.expr(f"({g} - {span}) div {side}"), F.expr(f"({g} + {span}) div {side}"))
     touched = pairs.withColumn("t1", F.explode(near("g1"))).withColumn("t2", F.explode(near("g2")))
+    touched = touched.withColumn("tile", _tile(F.col("t1"), F.col("t2")))
+    many = touched.groupBy("tile").agg(F.ceil(F.count("*") / LIST).alias("parts")).where(F.col("parts") > SPLITS)
     pair = F.struct("g1", "g2", "what", *["what_new"] * labels)
-    part = F.pmod(F.xxhash64("what"), F.lit(SPLITS))
-    return touched.groupBy(_tile(F.col("t1"), F.col("t2")).alias("tile"), part.alias("part")).agg(F.collect_list(pair).alias("pairs")).drop("part")
+    part = F.pmod(F.xxhash64("what"), F.coalesce("parts", F.lit(SPLITS)))
+    return touched.join(many, "tile", "left").groupBy("tile", part.alias("part")).agg(F.collect_list(pair).alias("pairs")).drop("part")
 
 
 class _Laid:

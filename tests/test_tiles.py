@@ -131,3 +131,12 @@ def test_stream_of_reads_that_meet_again(spark, tmp_path):
     assert q.awaitTermination(240) and q.exception() is None
     assert sums(increments.read_increments(spark, str(tmp_path / "out"))) == sums(want) and len(sums(want)) > 20
     assert len(list((tmp_path / "out").glob("batch=*"))) >= 3
+
+
+def test_lists_are_bounded_however_many_labels(spark):
+    """Every pair of a tile has a label of its own: lists grow in number, not in length."""
+    n = 200_000
+    pairs = spark.range(n).selectExpr("id % 60 + 2 AS g1", "(id div 60) % 60 + 2 AS g2", "concat('a', id) AS what")
+    sizes = [r.n for r in T.listed(pairs, 2, 64).select(F.size("pairs").alias("n")).collect()]
+    assert sum(sizes) == n and max(sizes) < 1.5 * T.LIST < n / T.SPLITS
+    assert T.listed(pairs.where("g1 < 4"), 2, 64).count() == T.SPLITS
