@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,6 +25,8 @@ MAGIC = b"\x1f\x8b\x08\x04"
 END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 SCHEMA = "flag int, c1 string, p1 bigint, mapq int, c2 string, p2 bigint, filters int"
 SPLIT_BYTES = 64 << 20
+#: Smaller splits than SPLIT_BYTES are asked for to spread small files; they grow rather than become more than about so many.
+SPLITS = 512
 #: Records that must follow one another for a place to be taken as a record's beginning, unless the file ends before.
 CHAIN = 20
 BATCH = 50_000
@@ -199,12 +202,13 @@ class BamReader(DataSourceReader):
         self.headers: dict[str, Header] = {}
 
     def partitions(self) -> list[InputPartition]:
-        out = []
-        for path, size in bam_files(self.path):
+        out, files = [], bam_files(self.path)
+        step = max(self.split_bytes, min(SPLIT_BYTES, sum(size for _, size in files) // SPLITS))
+        for path, size in files:
             head = read_header(path)
             self.headers[path] = head
-            for low in range(head.block, size, self.split_bytes):
-                out.append(Split(path, low, min(size, low + self.split_bytes), head.inside if low == head.block else -1))
+            for low in range(head.block, size, step):
+                out.append(Split(path, low, min(size, low + step), head.inside if low == head.block else -1))
         return out or [Split("", 0, 0, 0)]
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
@@ -332,12 +336,41 @@ def _packed(data: bytes) -> bytes:
     return MAGIC + b"\0\0\0\0\0\xff\x06\0BC\x02\0" + (len(body) + 25).to_bytes(2, "little") + body + zlib.crc32(data).to_bytes(4, "little") + len(data).to_bytes(4, "little")
 
 
+def _fit(values: np.ndarray, kind: str) -> np.ndarray:
+    out = values.astype(kind)
+    if (out != values).any():
+        raise OverflowError("a number of a read does not fit its field")
+    return out
+
+
+def _encoded(reads: pa.RecordBatch, names: pa.Array, tag: bytes) -> bytes:
+    """Records of a batch of reads (flag, c1, p1, c2, p2, filters), called r0, r1 and on; those of names as long are made together."""
+    if any(reads.column(i).null_count for i in (0, 2, 4, 5)):
+        raise ValueError("a read without flag, place or filters")
+    place = lambda i: _fit(reads.column(i).to_numpy(), "<i4")
+    number = lambda i: pa.compute.index_in(reads.column(i).cast(pa.string()), value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)
+    flag, filters = _fit(reads.column(0).to_numpy(), "<u2"), place(5)
+    ends = {"ref": number(1), "pos": place(2) - 1, "next_ref": number(3), "next_pos": place(4) - 1}
+    out, low, digits = [], 0, 1
+    while low < reads.num_rows:
+        high = min(reads.num_rows, 10**digits)
+        rows = np.zeros(high - low, [("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_cigar", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("next_ref", "<i4"), ("next_pos", "<i4"), ("length", "<i4"),
+                                     ("r", "S1"), ("name", f"S{digits + 1}"), ("tag", "S3"), ("filters", "<i4")])
+        rows["size"], rows["l_name"], rows["mapq"], rows["bin"], rows["r"], rows["tag"] = rows.itemsize - 4, digits + 2, 60, 4680, b"r", tag + b"i"
+        rows["name"], rows["flag"], rows["filters"] = np.arange(low, high).astype(f"S{digits}"), flag[low:high], filters[low:high]
+        for k, v in ends.items():
+            rows[k] = v[low:high]
+        out.append(rows.tobytes())
+        low, digits = high, digits + 1
+    return b"".join(out)
+
+
 def write_bam(reads: DataFrame, chroms: list[tuple[str, int]], path: str, filter_tag: str = "XF", block_bytes: int = 65_280) -> int:
     """Reads (flag, c1, p1, c2, p2, filters) as BAM files in a folder, one for each partition; gives their number.
 
     Records have no sequence. A file gets its name when it is whole, and a task that runs again replaces it.
     """
-    number = {c: i for i, (c, _) in enumerate(chroms)}
+    names = pa.array([c for c, _ in chroms], pa.string())
     text = "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in chroms).encode()
     head = b"BAM\x01" + len(text).to_bytes(4, "little") + text + len(chroms).to_bytes(4, "little")
     for c, n in chroms:
@@ -354,13 +387,10 @@ def write_bam(reads: DataFrame, chroms: list[tuple[str, int]], path: str, filter
         with system.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
             held = bytearray(head)
             for b in batches:
-                for i, (flag, c1, p1, c2, p2, filters) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
-                    label = b"r%d\0" % i
-                    body = struct.pack("<iiBBHHHiiii", number.get(c1, -1), p1 - 1, len(label), 60, 4680, 0, flag, 0, number.get(c2, -1), p2 - 1, 0) + label + tag + b"i" + struct.pack("<i", filters)
-                    held += len(body).to_bytes(4, "little") + body
-                    while len(held) >= block_bytes:
-                        out.write(_packed(bytes(held[:block_bytes])))
-                        del held[:block_bytes]
+                held += _encoded(b, names, tag)
+                while len(held) >= block_bytes:
+                    out.write(_packed(bytes(held[:block_bytes])))
+                    del held[:block_bytes]
             if held:
                 out.write(_packed(bytes(held)))
             out.write(END)

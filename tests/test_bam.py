@@ -99,3 +99,21 @@ def test_command_line(spark, tmp_path):
     assert {r.passage for r in spark.read.parquet(at("sum/cells")).collect()} == {2 * c[-1] for c in cells[0]}
     cli.main(["predict", "--path", at("sum"), "--out", at("prediction")], spark)
     assert spark.read.text(at("prediction")).count() == 1
+
+
+def test_small_splits_grow_with_the_files(spark, tmp_path):
+    """Splits of a byte do not become as many as the bytes, and together hold every read once."""
+    at = str(tmp_path / "b")
+    reads = spark.range(12_000).selectExpr("cast(65 AS int) AS flag", "'x' AS c1", "id + 1 AS p1", "'y' AS c2", "id * 7 % 5000 + 1 AS p2", "cast(id % 9 AS int) AS filters")
+    bam.write_bam(reads.repartition(3), [("x", 20_000), ("y", 9_000)], at, block_bytes=3000)
+    parts = bam.BamReader({"path": at, "splitbytes": "1"}).partitions()
+    assert 100 < len(parts) <= bam.SPLITS + 6
+    got = bam.read_bam(spark, at, "XF", 1)
+    assert got.count() == 12_000 and {tuple(r) for r in got.select("c1", "p1", "c2", "p2", "filters").collect()} == {("x", i + 1, "y", i * 7 % 5000 + 1, i % 9) for i in range(12_000)}
+
+
+def test_reads_that_do_not_fit_fail(spark, tmp_path):
+    for row in ((65, "x", 1 << 40, "x", 1, 0), (1 << 17, "x", 1, "x", 1, 0), (65, "x", None, "x", 1, 0)):
+        df = spark.createDataFrame([row], "flag int, c1 string, p1 bigint, c2 string, p2 bigint, filters int")
+        with pytest.raises(Exception, match="fit its field|without flag"):
+            bam.write_bam(df, [("x", 100)], str(tmp_path / "f"))
